@@ -1,9 +1,19 @@
 """The queries of the engine's own operators and their SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def oracle_sql():
-    return {}
+from lexforge.plans import corpus
+
+PARTS = (corpus.QUERIES,)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: run for part in PARTS for name, (run, _) in part.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for part in PARTS for name, (_, sql) in part.items() if sql}
