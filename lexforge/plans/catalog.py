@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexforge.plans import corpus
+from lexforge.plans import corpus, evaluation
 
-PARTS = (corpus.QUERIES,)
+PARTS = (corpus.QUERIES, evaluation.QUERIES)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
