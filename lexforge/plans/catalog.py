@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexforge.plans import corpus, evaluation
+from lexforge.plans import corpus, evaluation, training
 
-PARTS = (corpus.QUERIES, evaluation.QUERIES)
+PARTS = (corpus.QUERIES, evaluation.QUERIES, training.QUERIES)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
