@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def selected(files: DataFrame, pattern: str) -> DataFrame:
     """files (dataset, repo, path, size) whose path matches, with filename and the address to fetch it from."""
     return files.filter(F.col("path").rlike(pattern)).withColumn("filename", F.regexp_extract("path", "([^/]+)$", 1)).withColumn(
-        "url", F.concat(F.lit("https://host/"), "repo", F.lit("/resolve/main/"), F.array_join(F.transform(F.split("path", "/"), lambda x: F.url_encode(x)), "/"))
+        "url", F.concat(F.lit("https://host/"), "repo", F.lit("/resolve/main/"), F.array_join(F.transform(F.split("path", "/"), lambda x: F.replace(F.url_encode(x), F.lit("+"), F.lit("%20"))), "/"))
     )
 
 
