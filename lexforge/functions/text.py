@@ -143,3 +143,15 @@ def extract_text(schema, c: Column) -> Column:
         each = F.transform(c, lambda x: extract_text(schema.elementType, x))
         return F.coalesce(F.array_join(F.filter(each, lambda x: x != ""), "\n\n"), F.lit(""))
     return F.lit("")
+
+
+def compacted(c: Column, head: int = 8, tail: int = 8) -> Column:
+    """A long text's first and last lines with the number of those left out between them."""
+    lines = F.split(c, "\n")
+    n = F.size(lines)
+    short = F.concat(F.slice(lines, 1, head), F.array(F.concat(F.lit("... "), (n - head - tail).cast("string"), F.lit(" lines ..."))), F.slice(lines, -tail, tail))
+    return F.when(n <= head + tail, c).otherwise(F.array_join(short, "\n"))
+
+
+def percent(c: Column, digits: int = 1) -> Column:
+    return F.format_string(f"%.{digits}f%%", c * 100.0)

@@ -165,3 +165,31 @@ def compared(a: DataFrame, b: DataFrame) -> DataFrame:
 def mean_of_cells(summary: DataFrame) -> DataFrame:
     """Accuracy by num_keys as the plain mean of its cells."""
     return summary.groupBy("num_keys").agg(F.avg("first_value_match").alias("mean_accuracy"))
+
+
+def matched(examples: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Examples with their predictions; a prediction without an example fails."""
+    own = predictions.select("example_id", *[c for c in predictions.columns if c not in examples.columns])
+    known = examples.withColumn("__known", F.lit(True))
+    out = own.join(known, "example_id", "left")
+    return out.withColumn("example_id", F.when(F.col("__known"), F.col("example_id")).otherwise(F.raise_error(F.concat(F.lit("no example for "), F.col("example_id"))))).drop("__known")
+
+
+def first_of(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The first row of each key."""
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in rows.columns if c not in keys]), order).alias("r")).select(*keys, "r.*")
+
+
+def answer_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows (match, answer_mean_nll, ...) -> accuracy, right and wrong answers apart, mean loss and its perplexity."""
+    nll = F.avg("answer_mean_nll")
+    right = F.col("match") == 1
+    return rows.groupBy(*keys).agg(
+        F.count("*").alias("n"),
+        F.avg("match").alias("accuracy"),
+        F.count_if(right).alias("right"),
+        F.avg(F.when(right, F.col("answer_mean_nll"))).alias("nll_right"),
+        F.avg(F.when(~right, F.col("answer_mean_nll"))).alias("nll_wrong"),
+        nll.alias("answer_mean_nll"),
+        F.exp(F.least(F.lit(80.0), nll)).alias("answer_ppl"),
+    )

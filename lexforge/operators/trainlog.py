@@ -65,3 +65,8 @@ def split(rows: DataFrame, key: str, share: float, seed: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("__p").orderBy("__h", key))
     part = F.when((F.col("__p") < edge) | ((F.col("__p") == edge) & (rank <= want - at)), "val").otherwise("train")
     return marked.withColumn("part", part).drop("__h", "__p")
+
+
+def mean_loss(batches: DataFrame, most: int) -> DataFrame:
+    """batches (split, batch, loss) -> by split the mean loss of its first `most` batches."""
+    return batches.filter(F.col("batch") < most).groupBy("split").agg(F.count("*").alias("batches"), F.avg("loss").alias("loss"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexforge.plans import corpus, evaluation, training
+from lexforge.plans import corpus, evaluation, more, training
 
-PARTS = (corpus.QUERIES, evaluation.QUERIES, training.QUERIES)
+PARTS = (corpus.QUERIES, evaluation.QUERIES, training.QUERIES, more.QUERIES)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

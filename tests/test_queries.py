@@ -13,11 +13,11 @@ def sql():
     return views(SF)
 
 
-def test_every_query_has_sql():
-    assert catalog.queries().keys() == catalog.oracle_sql().keys()
+def test_every_query_has_sql_but_for_the_encoder():
+    assert catalog.queries().keys() - catalog.oracle_sql().keys() == {"bpe_encode"}
 
 
-@pytest.mark.parametrize("name", sorted(catalog.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query(spark, sql, name):
     assert difference(catalog.queries()[name](spark, SF), catalog.oracle_sql()[name], sql) == ""
 
