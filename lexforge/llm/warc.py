@@ -261,19 +261,21 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
 
 
 def with_verdicts(pages: DataFrame, least: int = 0) -> DataFrame:
-    """pages with payload_digest and refers_to: the smallest page_id of those of an equal payload of `least` bytes or more."""
+    """pages (page_id, url, html) with payload_digest and refers_to: the smallest page_id of those of an equal payload of
+    `least` bytes or more. Verdicts are joined on page and digest, so a page_id that repeats with other html does no harm."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "html"):
-            html = utf8(b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(digest, html), pa.string()), pa.array(map(len, html), pa.int64())], ["page_id", "payload_digest", "n"])
+            html = utf8(b.column(2))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(map(digest, html), pa.string()), pa.array(map(len, html), pa.int64())], [*b.schema.names, "payload_digest", "n"])
 
-    hashed = cut(pages.select("page_id", "html").mapInArrow(run, "page_id long, payload_digest string, n long"))
-    first = hashed.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1")
-    verdicts = hashed.join(first, "payload_digest", "left").select(
+    hashed = pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, html string, payload_digest string, n long")
+    slim = cut(hashed.select("page_id", "payload_digest", "n").distinct())
+    first = slim.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1")
+    verdicts = slim.join(first, "payload_digest", "left").select(
         "page_id", "payload_digest", F.when((F.col("n") >= least) & (F.col("first") < F.col("page_id")), F.col("first")).alias("refers_to")
     )
-    return pages.join(verdicts.dropDuplicates(["page_id"]), "page_id")
+    return hashed.drop("n").join(verdicts, ["page_id", "payload_digest"])
 
 
 def warc_round_trip(pages: DataFrame, folder: str | None = None, least: int = 0, roll: int = ROLL) -> DataFrame:
@@ -282,7 +284,7 @@ def warc_round_trip(pages: DataFrame, folder: str | None = None, least: int = 0,
 
     Archives go to a new folder below the shared one (or to `folder`, a URI that pyarrow opens). A null html is an empty
     payload and a null url an empty URI. page_id is the table's key: pages without one are left out, since a record
-    cannot be named without it, and rows that repeat a page_id with equal html write a record each. An empty table
+    cannot be named without it, and rows that repeat a page_id write a record each. An empty table
     gives no rows.
     """
     folder = folder or f"{shared_dir(pages.sparkSession).rstrip('/')}/archives-{uuid.uuid4().hex}"
