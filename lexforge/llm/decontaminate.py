@@ -18,8 +18,9 @@ from lexforge.llm.licenses import WORDS
 SIMILARITY = 0.8
 #: Sampled symbols for a key; keys for each walk; most walks; share of worst-case windows to be found.
 SAMPLED, KEYS, WALKS, RECALL = 3, 12, 16, 0.999
-#: Items that are looked for in one pass over the documents; more take more passes.
-BLOCK = 4_096
+#: Items, and words of them, that are looked for in one pass over the documents; more take more passes. What tasks hold
+#: of a block is at most about BLOCK * WORDS_HELD bytes.
+BLOCK, WORDS_HELD = 512, 32_768
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -221,12 +222,15 @@ def matches(index: Index, texts: list[bytes]) -> list[tuple[int, int, int, int]]
 
 def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
     now: list[tuple[int, bytes]] = []
+    held = 0
     rows = benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long"), F.encode("text", "UTF-8")).orderBy("item_id")
     for item, text in rows.toLocalIterator():
-        now.append((item, bytes(text)))
-        if len(now) == BLOCK:
+        n = len(words_of(bytes(text)))
+        if now and (len(now) == BLOCK or held + n > WORDS_HELD):
             yield now
-            now = []
+            now, held = [], 0
+        now.append((item, bytes(text)))
+        held += n
     if now:
         yield now
 
