@@ -12,9 +12,13 @@ UUID = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]
 TEXT_FIELDS = ("text", "content", "contents", "body", "body_text", "article", "document", "markdown", "raw_text", "abstract")
 
 
+#: Unicode white space; fixed values.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    """Without Unicode white space at either end; trim() knows the plain space only."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+    """Without Unicode white space at either end; trim() alone knows the plain space only."""
+    return F.trim(c, F.lit(SPACES))
 
 
 def clean_text(c: Column) -> Column:

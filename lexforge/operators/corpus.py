@@ -10,8 +10,13 @@ from lexforge.operators.prefix import with_running_total
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
-    """docs (seq, source, text) with the text cleaned."""
-    return docs.withColumn("text", T.clean_text(F.col("text")))
+    """docs (seq, source, text) with the text cleaned.
+
+    The one-element explode keeps the optimiser from moving later filters below the cleaning, which would then run once
+    for every use of the text in them.
+    """
+    once = F.explode(F.array(T.clean_text(F.col("text")))).alias("text")
+    return docs.select(*[c for c in docs.columns if c != "text"], once).select(*docs.columns)
 
 
 def usable_only(docs: DataFrame, min_chars: int = 200, min_alpha: float = 0.25) -> DataFrame:
@@ -22,10 +27,10 @@ def with_duplicate_flag(docs: DataFrame, scope: str = "source") -> DataFrame:
     """docs with `duplicate`: an earlier row (by seq) of the same source, or of any, has the same text.
 
     The first row of each text comes from a partial aggregation and is matched by (text, seq), so copies of one text,
-    however many, are spread over all tasks.
+    however many, are spread over all tasks. docs may have the text's fingerprint `fp` instead of it: then no text is moved.
     """
     keys = ["source", "fp"] if scope == "source" else ["fp"]
-    marked = docs.withColumn("fp", T.fingerprint(F.col("text")))
+    marked = docs if "fp" in docs.columns else docs.withColumn("fp", T.fingerprint(F.col("text")))
     first = marked.groupBy(*keys).agg(F.min("seq").alias("seq")).withColumn("first", F.lit(True))
     out = marked.withColumn("key_source", F.col("source")) if scope == "source" else marked
     if scope == "source":
@@ -80,8 +85,8 @@ def labelled(docs: DataFrame, min_chars: int, least: int, most: int, target: int
     Cleaned; unusable ones are dropped; then outcomes are `duplicate`, `short`, `taken` or `over_quota`.
     """
     base = usable_only(cleaned(docs.select("seq", "source", "text")), min_chars)
-    marked = with_duplicate_flag(base).withColumn("chars", F.length("text").cast("long")).withColumn("full", T.token_count(F.col("text")))
-    sized = marked.withColumn("n", F.least(F.col("full"), F.lit(most)) + 1).drop("text")
+    slim = base.select("seq", "source", T.fingerprint(F.col("text")).alias("fp"), F.length("text").cast("long").alias("chars"), T.token_count(F.col("text")).alias("full"))
+    sized = with_duplicate_flag(slim).drop("fp").withColumn("n", F.least(F.col("full"), F.lit(most)) + 1)
     sized = sized.withColumn("stage", F.when(F.col("duplicate"), "duplicate").when(F.col("n") < least, "short").otherwise("open"))
     counted = sized.withColumn("counts", F.when(F.col("stage") == "open", F.col("n")).otherwise(0))
     run = with_running_total(counted, ["source"], "seq", "counts", "before")

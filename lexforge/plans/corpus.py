@@ -20,8 +20,8 @@ def _usable(spark, d):
 
 def _sized(spark, d):
     """Usable documents without copies, with their token count, end included."""
-    kept = corpus.without_duplicates(_usable(spark, d))
-    return kept.withColumn("n", T.token_count(F.col("text")) + 1).drop("text")
+    slim = _usable(spark, d).select("seq", "source", T.fingerprint(F.col("text")).alias("fp"), (T.token_count(F.col("text")) + 1).alias("n"))
+    return corpus.without_duplicates(slim).drop("fp")
 
 
 def _ids(spark, d):
@@ -49,11 +49,13 @@ def corpus_usable_filter(spark, d):
 
 
 def corpus_exact_dedup(spark, d):
-    return plain(corpus.with_duplicate_flag(_usable(spark, d)).select("seq", "source", "duplicate"))
+    slim = _usable(spark, d).select("seq", "source", T.fingerprint(F.col("text")).alias("fp"))
+    return plain(corpus.with_duplicate_flag(slim).select("seq", "source", "duplicate"))
 
 
 def corpus_dedup_scope_global(spark, d):
-    return plain(corpus.with_duplicate_flag(_usable(spark, d), "global").select("seq", "source", "duplicate"))
+    slim = _usable(spark, d).select("seq", "source", T.fingerprint(F.col("text")).alias("fp"))
+    return plain(corpus.with_duplicate_flag(slim, "global").select("seq", "source", "duplicate"))
 
 
 def corpus_quota_fill(spark, d):
@@ -69,7 +71,8 @@ def source_balance(spark, d):
 
 
 def char_budget_sample(spark, d):
-    kept = corpus.without_duplicates(_usable(spark, d)).withColumn("n", F.length("text").cast("long")).drop("text")
+    slim = _usable(spark, d).select("seq", "source", T.fingerprint(F.col("text")).alias("fp"), F.length("text").cast("long").alias("n"))
+    kept = corpus.without_duplicates(slim).drop("fp")
     return plain(corpus.char_budget(kept, 60_000, MIN_CHARS).select("seq", "source", "n", "take"))
 
 
