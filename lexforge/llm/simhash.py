@@ -281,6 +281,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def survivors(docs: DataFrame) -> DataFrame:
-    """One row of each near-duplicate group, that of the smallest doc_id, with the columns of docs."""
+    """One row of each near-duplicate group, that of the smallest doc_id, with the columns of docs.
+
+    Of rows that repeat a doc_id one stays. A row without a doc_id cannot be named as a group's representative and goes.
+    """
     keep = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
     return docs.join(keep, docs["doc_id"] == keep["__keep"], "left_semi").dropDuplicates(["doc_id"])
