@@ -76,3 +76,10 @@ def windows(rows: DataFrame, length: int, stride: int) -> DataFrame:
     each = rows.withColumn("n", n).filter("n > 0").withColumn("w", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     at = F.col("w") * stride
     return each.withColumn("x", F.slice("ids", at + 1, length)).withColumn("y", F.slice("ids", at + 2, length)).drop("ids", "n")
+
+
+def blocks(placed: DataFrame, docs: DataFrame, size: int, end: int) -> DataFrame:
+    """placed (source, seq, block, start), docs (seq, ids) -> (source, block, ids): blocks of `size` tokens, filled up with ends."""
+    rows = F.array_sort(F.collect_list(F.struct("start", "ids")))
+    whole = placed.join(docs.select("seq", "ids"), "seq").groupBy("source", "block").agg(F.flatten(F.transform(rows, lambda r: r["ids"])).alias("ids"))
+    return whole.withColumn("ids", F.concat("ids", F.array_repeat(F.lit(end), F.lit(size) - F.size("ids"))))

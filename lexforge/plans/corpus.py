@@ -113,6 +113,12 @@ def block_packing(spark, d):
     return plain(folds.next_fit(_sized(spark, d), BLOCK))
 
 
+def block_payloads(spark, d):
+    ids = _usable(spark, d).select("seq", F.concat(T.token_ids(F.col("text")), F.array(F.lit(END))).alias("ids"))
+    out = shards.blocks(folds.next_fit(_sized(spark, d), BLOCK), ids, BLOCK, END)
+    return plain(out.select("source", "block", F.size("ids").alias("n"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum")))
+
+
 def tok_doc_metrics(spark, d):
     return plain(tokenmetrics.doc_metrics(_docs(spark, d)))
 
@@ -195,7 +201,7 @@ walk AS (
   UNION ALL
   SELECT d.source, d.i, d.seq, CASE WHEN w."end" + d.n > {BLOCK} THEN w.block + 1 ELSE w.block END, CASE WHEN w."end" + d.n > {BLOCK} THEN 0 ELSE w."end" END,
     CASE WHEN w."end" + d.n > {BLOCK} THEN d.n ELSE w."end" + d.n END FROM walk w JOIN d ON d.source = w.source AND d.i = w.i + 1
-) SELECT source, seq, block, start, "end" FROM walk WHERE i > 0"""
+), placed AS (SELECT source, seq, block, start, "end" FROM walk WHERE i > 0)"""
 
 QUERIES: dict[str, Query] = {
     "corpus_clean": (corpus_clean, f"WITH {_CLEAN} SELECT seq, source, md5(text) AS text_md5, length(text)::BIGINT AS chars FROM clean"),
@@ -231,7 +237,11 @@ SELECT shard_idx::BIGINT AS shard_idx, w::BIGINT AS w, ids[w * {STRIDE} + 1]::BI
     ),
     "phase_routing": (phase_routing, _route_sql("SELECT * FROM routed")),
     "phase_stats": (phase_stats, _route_sql("SELECT phase, source, count(*) AS docs_written, sum(take)::BIGINT AS tokens_written FROM routed GROUP BY phase, source")),
-    "block_packing": (block_packing, _BLOCKS),
+    "block_packing": (block_packing, f"{_BLOCKS} SELECT * FROM placed"),
+    "block_payloads": (
+        block_payloads,
+        f"""{_BLOCKS} SELECT p.source, block, {BLOCK}::BIGINT AS n, (sum(list_sum(list_transform({tokens_sql('text')}, lambda t: {token_id_sql('t')})) + {END}) + ({BLOCK} - max("end")) * {END})::BIGINT AS id_sum FROM placed p JOIN usable USING (seq) GROUP BY 1, 2""",
+    ),
     "tok_doc_metrics": (
         tok_doc_metrics,
         f"WITH {_METRICS} SELECT source, seq, chars, bytes, tokens, {', '.join(f'round({x}, 6) AS {x}' for x in ('chars_per_token', 'bytes_per_token', 'tokens_per_1k_chars', 'unk_rate', 'single_piece_rate'))} FROM metrics",
