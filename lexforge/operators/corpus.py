@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexforge.functions import text as T
@@ -119,10 +119,10 @@ def source_stats(rows: DataFrame, most: int) -> DataFrame:
 
 
 def balance(stats: DataFrame, tokens: str = "tokens_written") -> DataFrame:
-    """Each source's share of the tokens against an equal share. One row for each source."""
-    total = stats.agg(F.sum(tokens).alias("total"), F.count("*").alias("sources"))
-    return stats.join(F.broadcast(total)).select(  # one row
+    """Each source's share of the tokens against an equal share. A row for each source goes in and comes out."""
+    every = Window.partitionBy(F.lit(0))
+    return stats.select(
         "source",
-        F.round(F.try_divide(F.col(tokens), F.col("total")), 9).alias("share"),
-        F.round(F.lit(1.0) / F.col("sources"), 9).alias("target_share"),
+        F.round(F.try_divide(F.col(tokens), F.sum(tokens).over(every)), 9).alias("share"),
+        F.round(F.lit(1.0) / F.count("*").over(every), 9).alias("target_share"),
     )

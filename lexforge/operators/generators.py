@@ -68,8 +68,10 @@ def near_misses(gold: Column, kind: Column, family: Column, seed: Column, n: int
     return F.slice(F.array_distinct(F.filter(tries, lambda x: x != gold)), 1, n)
 
 
-def templates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TEMPLATES, "task_type string, split string, header string, line string, final string")
+def templates() -> Column:
+    """An array of all templates as structs."""
+    names = ("task_type", "split", "header", "line", "final")
+    return F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(names, row)]) for row in TEMPLATES])
 
 
 def filled(template: Column, key: Column, value: Column) -> Column:
@@ -78,7 +80,7 @@ def filled(template: Column, key: Column, value: Column) -> Column:
 
 def groups(spark: SparkSession, n: int, records: int, seed: int) -> DataFrame:
     """n groups for each template: (group_id, task_type, split, answer_type, records of distinct keys, the template)."""
-    rows = spark.range(n).withColumnRenamed("id", "g").join(F.broadcast(templates(spark)))  # a few rows
+    rows = spark.range(n).select(F.col("id").alias("g"), F.inline(templates()))
     gid = F.concat_ws("-", F.lit(str(seed)), "task_type", "split", F.col("g").cast("string"))
     rows = rows.withColumn("group_id", gid).withColumn("answer_type", F.when(number(F.col("group_id"), "t") % 100 < 60, "alphanumeric").otherwise("number"))
 

@@ -40,10 +40,11 @@ def dealt(rows: DataFrame, key: str, ranks: int, seed: int, drop_last: bool = Tr
     """
     marked = rows.withColumn("__h", order_key(F.col(key), seed)).withColumn("__p", F.substring("__h", 1, 4))
     counts = marked.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = counts.withColumn("__b", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # 65,536 rows at most
-    total = counts.agg(F.sum("__n").alias("__t"))
+    before = counts.withColumns(  # 65,536 rows at most
+        {"__b": F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "__t": F.sum("__n").over(Window.partitionBy(F.lit(0)))}
+    )
     at = F.row_number().over(Window.partitionBy("__p").orderBy("__h", key)) - 1
-    out = marked.withColumn("__i", at).join(before.drop("__n"), "__p").join(F.broadcast(total))  # one row
+    out = marked.withColumn("__i", at).join(before.drop("__n"), "__p")
     out = out.withColumn("__at", F.col("__b") + F.col("__i"))
     if drop_last:
         out = out.filter(F.col("__at") < F.col("__t") - F.col("__t") % ranks)
