@@ -65,11 +65,11 @@ def most_frequent(counts: DataFrame, column: str, most: int) -> DataFrame:
     The levels are cut by a histogram of counts, itself limited to the counts' distinct values.
     """
     kept, least = 0, None
-    levels = counts.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc(column))
+    levels = counts.groupBy(column).agg(F.count("*").alias("__rows")).orderBy(F.desc(column))
     for row in levels.toLocalIterator():
-        if kept + row["n"] > most:
+        if kept + row["__rows"] > most:
             break
-        kept, least = kept + row["n"], row[column]
+        kept, least = kept + row["__rows"], row[column]
     return counts.filter(F.col(column) >= F.lit(least)) if least is not None else counts.limit(0)
 
 

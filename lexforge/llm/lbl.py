@@ -86,6 +86,8 @@ def vocabulary_of(counts: DataFrame) -> Vocabulary:
     rows = most_frequent(counts, "n", HEAD).toPandas().sort_values(["n", "h"], ascending=[False, True])
     h, c = rows["h"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
     ends = counts.filter(F.col("h") == END_HASH).select("n").first()
+    if ends and END_HASH not in h:  # the one token that all texts share is always at hand
+        h, c = np.append(h, END_HASH), np.append(c, ends[0])
     words = h[h != END_HASH][: NAMED - 3]
     named = {int(x): k + 3 for k, x in enumerate(words)}
     named_n = np.zeros(NAMED, np.int64)
