@@ -15,6 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt to all cores if it comes in fewer parts than there are: one small file is else one task. Large inputs have
+    more parts than that and stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def plain(df: DataFrame) -> DataFrame:
     """Integers as long, doubles rounded to six digits: types and digits that any engine can return."""
     out = []
@@ -30,7 +37,7 @@ def plain(df: DataFrame) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq, source, text) of the documents."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), "source", "text")
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), "source", "text"))
 
 
 TOKEN_SQL = r"'\p{L}+|\p{N}+|[^\s\p{L}\p{N}]'"
