@@ -20,11 +20,12 @@ PHRASES = {
     b"cc by nc": "cc-by-nc",
 }
 
-#: label | keyword | name, as a regex over lower-case words with one space between. Longer names come before those
+#: label | keyword that every alternative contains | name, as a regex over lower-case words with one space between. Longer names come before those
 #: that they contain only for the reader: priority and containment settle overlaps.
 NAMES = r"""
 mit | mit | mit
-mit-0 | mit 0 | mit 0|mit no attribution
+mit-0 | mit 0 | mit 0
+mit-0 | mit no attribution | mit no attribution
 x11 | x11 | x11
 apache-1.0 | apache | apache (?:software )?(?:license )?(?:version |v )?1 0
 apache-1.1 | apache | apache (?:software )?(?:license )?(?:version |v )?1 1
@@ -81,7 +82,8 @@ zlib | zlib | zlib(?: libpng)?
 libpng | libpng | libpng
 openssl | openssl | openssl
 curl | curl | curl
-boost-1.0 | boost | boost (?:software )?(?:license )?(?:version |v )?1 0|bsl 1 0
+boost-1.0 | boost | boost (?:software )?(?:license )?(?:version |v )?1 0
+boost-1.0 | bsl 1 0 | bsl 1 0
 boost | boost | boost software
 unlicense | unlicense | (?:the )?unlicense
 wtfpl | wtfpl | wtfpl
@@ -91,10 +93,14 @@ postgresql | postgresql | postgresql
 vim | vim | vim
 ncsa | ncsa | (?:university of illinois )?ncsa(?: open source)?
 json | json | json
-ms-pl | microsoft public | microsoft public|ms pl
-ms-rl | microsoft reciprocal | microsoft reciprocal|ms rl
-osl-3.0 | open software | open software license (?:version |v )?3 0|osl 3 0
-afl-3.0 | academic free | academic free license (?:version |v )?3 0|afl 3 0
+ms-pl | microsoft public | microsoft public
+ms-pl | ms pl | ms pl
+ms-rl | microsoft reciprocal | microsoft reciprocal
+ms-rl | ms rl | ms rl
+osl-3.0 | open software | open software license (?:version |v )?3 0
+osl-3.0 | osl 3 0 | osl 3 0
+afl-3.0 | academic free | academic free license (?:version |v )?3 0
+afl-3.0 | afl 3 0 | afl 3 0
 ecl-2.0 | educational community | educational community license (?:version |v )?2 0
 lppl-1.3 | lppl | lppl ?v?(?:ersion )?1 3c?
 lppl | latex project public | latex project public
@@ -109,11 +115,13 @@ blueoak-1.0 | blue oak | blue oak model
 elastic-2.0 | elastic | elastic (?:license )?(?:version |v )?2(?: 0)?
 sspl-1.0 | sspl | sspl ?v?(?:ersion )?1(?: 0)?
 sspl | server side public | server side public
-busl-1.1 | business source | business source license (?:version |v )?1 1|busl 1 1
+busl-1.1 | business source | business source license (?:version |v )?1 1
+busl-1.1 | busl 1 1 | busl 1 1
 polyform-nc | polyform | polyform noncommercial
 polyform-sb | polyform | polyform small business
 commons-clause | commons clause | commons clause
-openrail | openrail | (?:creativeml |bigscience )?(?:bloom )?open ?rail(?: m)?(?: ?\+\+)?
+openrail | openrail | (?:creativeml |bigscience )?(?:bloom )?openrail(?: m)?(?: ?\+\+)?
+openrail | open rail | (?:creativeml |bigscience )?(?:bloom )?open rail(?: m)?(?: ?\+\+)?
 llama-community | llama | llama ?[0-9 ]*community
 gemma-terms | gemma | gemma terms of use
 odbl-1.0 | odbl | odbl(?: ?v?1 0)?
@@ -146,7 +154,7 @@ proprietary | proprietary | (?:a )?proprietary
 SENTENCES = r"""
 mit | hereby granted | permission is hereby granted free of charge to any person obtaining a copy
 mit | software is provided as is | the software is provided as is without warranty of any kind express or implied
-isc | fee is hereby granted | permission to use copy modify and or distribute this software for any purpose with or without fee
+isc | with or without fee | permission to use copy modify and or distribute this software for any purpose with or without fee
 apache-2 | apache org licenses | apache org licenses license 2 0
 apache-2 | in compliance with the license | you may not use this file except in compliance with the license
 bsd | redistribution and use | redistribution and use in source and binary forms with or without modification
@@ -176,7 +184,8 @@ odbl-1.0 | opendatacommons | opendatacommons org licenses odbl
 odc-by-1.0 | opendatacommons | opendatacommons org licenses by
 ofl-1.1 | scripts sil org | scripts sil org ofl
 all-rights-reserved | all rights reserved | all rights reserved
-no-commercial-use | commercial | (?:for )?(?:non ?commercial|personal) use only
+no-commercial-use | commercial | (?:for )?non ?commercial use only
+no-commercial-use | personal use only | (?:for )?personal use only
 no-commercial-use | commercial | may not be used for commercial purposes
 no-redistribution | redistribut | (?:may not|must not|do not|cannot) (?:be )?redistribut(?:e|ed)
 confidential | confidential | (?:strictly )?confidential and proprietary

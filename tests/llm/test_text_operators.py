@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 
 import pytest
@@ -59,6 +60,44 @@ def test_there_are_hundreds_of_rules_and_each_is_gated_by_its_own_words():
     assert len(found) > 300 and [r.priority for r in found] == sorted((r.priority for r in found), reverse=True)
 
 
+def spelled(parsed):
+    """Strings of a parsed regex: every alternative, each repeat at its least and once more, of ranges the first."""
+    out = [""]
+    for kind, x in parsed:
+        name = str(kind)
+        if name == "LITERAL":
+            ways = [chr(x)]
+        elif name == "IN":
+            ways = [chr(y[0] if str(k) == "RANGE" else y) for k, y in x]
+        elif name == "SUBPATTERN":
+            ways = spelled(x[-1])
+        elif name == "BRANCH":
+            ways = [w for y in x[1] for w in spelled(y)]
+        elif name == "MAX_REPEAT":
+            ways = [w * n for n in {x[0], min(x[0] + 1, x[1])} for w in spelled(x[2])]
+        else:
+            assert name == "ASSERT_NOT"
+            ways = [""]
+        out = [a + b for a in out for b in dict.fromkeys(ways)]
+    return out
+
+
+def test_every_alternative_of_a_rule_contains_its_keywords():
+    pairs = [line.split(" | ", 2)[1:] for line in (licenses.NAMES.strip() + licenses.SENTENCES.rstrip()).split("\n")]
+    pairs += [(word, frame.format("x")) for frame, words, *_ in licenses.FRAMES for word in words]
+    for keyword, regex in pairs:
+        assert all(keyword in text for text in spelled(re._parser.parse(regex))), (keyword, regex)
+
+
+@pytest.mark.parametrize(
+    "text, labels",
+    [(f"SPDX-License-Identifier: {x}", [x.lower()]) for x in ("MS-PL", "MS-RL", "OSL-3.0", "AFL-3.0", "BUSL-1.1")]
+    + [("SPDX-License-Identifier: BSL-1.0", ["boost-1.0"]), ("MIT No Attribution License", ["mit-0"]), ("under the Open RAIL-M license", ["openrail"]), ("For personal use only.", ["no-commercial-use"]), ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee", ["isc"])],
+)
+def test_short_names_stand_alone(text, labels):
+    assert labels_of(text) == labels
+
+
 def test_the_prefilter_changes_nothing():
     rng = random.Random(1)
     parts = ["licensed under", "the gnu gpl v2", "mit license", "cc by sa 4 0", "apache license version 2 0", "all rights reserved", "bsd 2 clause license", "some words", "public domain", "spdx license identifier isc"]
