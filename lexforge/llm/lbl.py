@@ -1,4 +1,8 @@
-"""Language-model scores: exact add-one unigrams, and a log-bilinear model trained by noise-contrastive estimation."""
+"""Language-model scores: exact add-one unigrams, and a log-bilinear model trained by noise-contrastive estimation.
+
+The most frequent words are scored by exact normalisers. All others are leaves of a binary tree whose nodes are
+log-bilinear too, so that each has a normalised probability in its context and, as context, a vector of its own.
+"""
 
 from __future__ import annotations
 
@@ -14,12 +18,16 @@ from pyspark.sql import functions as F
 
 from lexforge.llm.common import cut, fold, most_frequent, pieces, utf8
 
-#: Words the model knows by name, the end and the two below included; size of their vectors.
+#: Words scored by exact normalisers, the end and the two below included; size of all words' vectors.
 NAMED, WIDTH = 512, 16
 #: Noise words shared by a batch; positions in a batch; learning rate.
 NOISE, BATCH, RATE = 32, 2048, 0.15
 #: Counts that travel to every task: the most frequent words, 16 bytes each. The other words are joined.
 HEAD = 400_000
+#: Words beyond HEAD share leaves by hash: one for so many words, and so many at most.
+SHARING, GROUPS = 16, 1 << 16
+#: Tokens between two steps of the tree; leaves whose weights are sent together; tokens normalised together.
+CHUNK, BLOCK, ROWS = 8192, 1024, 4096
 #: Distinct words that a counting task holds before it passes them on.
 HELD = 300_000
 OTHER, END, START = 0, 1, 2
@@ -64,13 +72,18 @@ def word_counts(train: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """What every task knows of the counts. head: sorted hashes of the most frequent tokens; named: hash -> model id."""
+    """What every task knows of the counts. head: sorted hashes of the most frequent tokens.
+
+    Model ids are those of named words, then NAMED + leaf: the head's other words, then the groups of words beyond.
+    """
 
     tokens: int  # N
     distinct: int  # V
     head: np.ndarray
     head_n: np.ndarray
-    named: dict[int, int]
+    head_id: np.ndarray
+    mass: np.ndarray  # of each leaf: its occurrences, its distinct words, and in a group one for what was never seen
+    groups: int
     named_n: np.ndarray  # occurrences by model id; those of OTHER are of all other words
 
     def lookup(self, h: np.ndarray) -> np.ndarray:
@@ -80,6 +93,14 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.head, h), len(self.head) - 1)
         return np.where(self.head[at] == h, self.head_n[at], -1)
 
+    def ids(self, h: np.ndarray) -> np.ndarray:
+        """Model ids of the hashes."""
+        shared = NAMED + len(self.mass) - self.groups + h % self.groups
+        if not len(self.head):
+            return np.where(h == END_HASH, END, shared)
+        at = np.minimum(np.searchsorted(self.head, h), len(self.head) - 1)
+        return np.where(h == END_HASH, END, np.where(self.head[at] == h, self.head_id[at], shared))
+
 
 def vocabulary_of(counts: DataFrame) -> Vocabulary:
     n, v = counts.agg(F.sum("n"), F.count("*")).first()
@@ -88,14 +109,25 @@ def vocabulary_of(counts: DataFrame) -> Vocabulary:
     ends = counts.filter(F.col("h") == END_HASH).select("n").first()
     if ends and END_HASH not in h:  # the one token that all texts share is always at hand
         h, c = np.append(h, END_HASH), np.append(c, ends[0])
-    words = h[h != END_HASH][: NAMED - 3]
-    named = {int(x): k + 3 for k, x in enumerate(words)}
+    words, n_words = h[h != END_HASH], c[h != END_HASH]
     named_n = np.zeros(NAMED, np.int64)
-    named_n[3 : 3 + len(words)] = c[h != END_HASH][: NAMED - 3]
+    named = n_words[: NAMED - 3]
+    named_n[3 : 3 + len(named)] = named
     named_n[END] = ends[0] if ends else 0
     named_n[OTHER] = (n or 0) - named_n.sum()
+    rest = n_words[NAMED - 3 :] + 1
+    groups = max(1, min(GROUPS, ((v or 0) - len(h)) // SHARING))
+    mass = np.concatenate((rest, np.ones(groups, np.int64)))
+    least = int(n_words.min()) if len(n_words) else None  # whole count levels are in the head
+    beyond = counts.filter((F.col("h") != END_HASH) & (F.col("n") < least if least is not None else F.lit(True)))
+    if len(h) < (v or 0):
+        for g, x in beyond.groupBy(F.pmod("h", F.lit(groups)).alias("g")).agg(F.sum(F.col("n") + 1)).toLocalIterator():
+            mass[len(rest) + g] += x
+    ids = np.full(len(h), END, np.int64)
+    k = np.arange(len(words))
+    ids[h != END_HASH] = k + 3  # leaves follow the named words
     order = np.argsort(h)
-    return Vocabulary(n or 0, v or 0, h[order], c[order], named, named_n)
+    return Vocabulary(n or 0, v or 0, h[order], c[order], ids[order], mass, groups, named_n)
 
 
 class Reader:
@@ -118,7 +150,7 @@ class Reader:
             if not self.h:
                 h.insert(0, END_HASH)
             self.h += h
-            self.model_id += [self.v.named.get(x, END if x == END_HASH else OTHER) for x in h]
+            self.model_id += self.v.ids(np.array(h, np.int64)).tolist()
             self.count += self.v.lookup(np.array(h, np.int64)).tolist()
             self.flat = np.array(self.h, np.int64), np.array(self.count, np.int64), np.array(self.model_id, np.int64)
         sizes = np.array([len(x) + 1 for x in split], np.int64)
@@ -166,26 +198,126 @@ class Weights:
         return np.concatenate([x.ravel() for x in (self.R, self.C1, self.C2, self.Q, self.b)])
 
 
+class Tree:
+    """A binary tree over the leaves, halved by mass: node s parts the leaves below s from s and those above.
+
+    A step to the right has probability sigmoid(h Q[s] + b[s]) in context h; b starts at the log ratio of the masses, so
+    that before training each leaf has its share of the mass. X: context vectors of named words, then of the leaves.
+    """
+
+    def __init__(self, mass: np.ndarray):
+        n = len(mass)
+        cum = np.concatenate(([0], np.cumsum(mass))).astype(np.float64)
+        self.left, self.right, self.b = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, np.float32)
+        self.Q = np.zeros((n, WIDTH), np.float32)
+        self.X = 0.1 * np.random.default_rng(12).standard_normal((NAMED + n, WIDTH), np.float32)
+        self.root = 0
+        lo, hi, parent, side = np.array([0]), np.array([n]), np.array([-1]), np.array([False])
+        while len(at := np.flatnonzero(hi - lo > 1)):
+            lo, hi, parent, side = lo[at], hi[at], parent[at], side[at]
+            s = np.clip(np.searchsorted(cum, (cum[lo] + cum[hi]) / 2), lo + 1, hi - 1)
+            self.b[s] = np.log((cum[hi] - cum[s]) / (cum[s] - cum[lo]))
+            if parent[0] < 0:
+                self.root = int(s[0])
+            else:
+                self.left[parent[~side]], self.right[parent[side]] = s[~side], s[side]
+            lo, hi, parent, side = np.append(lo, s), np.append(s, hi), np.append(s, s), np.repeat([False, True], len(s))
+
+    def walk(self, h: np.ndarray, leaf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Level by level: rows of h that have a node there, the nodes, their scores, and whether the leaf lies right."""
+        leaf = leaf.astype(np.int32)
+        row = np.arange(len(leaf) if self.root else 0, dtype=np.int32)
+        node = np.full(len(row), self.root, np.int32)
+        while len(row):
+            right = leaf[row] >= node
+            yield row, node, np.einsum("ij,ij->i", h[row], self.Q[node]) + self.b[node], right
+            node = np.where(right, self.right[node], self.left[node])
+            more = node > 0
+            row, node = row[more], node[more]
+
+    def scores(self, h: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """Natural logarithms of the leaves' probabilities."""
+        out = np.zeros(len(leaf))
+        for row, _, z, right in self.walk(h, leaf):
+            out[row] -= np.log1p(np.exp(-np.clip(np.where(right, z, -z), -50, 50)))
+        return out
+
+
+def sums(at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of the rows by `at`, whose numbers have no gaps."""
+    return np.stack([np.bincount(at, x) for x in np.ascontiguousarray(rows.T)], axis=1).astype(np.float32)
+
+
 class Trainer:
-    """Noise-contrastive estimation with Adagrad: each token against NOISE words drawn from the unigram distribution."""
+    """Noise-contrastive estimation with Adagrad: each token against NOISE words drawn from the unigram distribution.
+
+    Tokens beyond the named words are OTHER there, and then learn the steps to their leaf.
+    """
 
-    def __init__(self, noise: np.ndarray, seed: int):
+    def __init__(self, noise: np.ndarray, seed: int, tree: Tree | None = None):
         self.noise, self.w = noise, Weights.start(noise)
         self.log_kp = np.log(NOISE * np.maximum(noise, 1e-9))
         self.cum = np.cumsum(noise)
         self.rng = np.random.default_rng(seed)
         self.seen = [np.full(s, 0.1) for s in Weights.shapes()]
         self.tokens = 0
+        self.tree = tree or Tree(np.ones(1))
+        self.tree.X[:NAMED] = self.w.R
+        n = len(self.tree.b)
+        self.flag, self.slot = np.zeros(n, bool), np.zeros(n, np.int32)
+        #: By leaf: squares seen and tokens seen, of nodes and of context vectors.
+        self.node_g, self.word_g = np.full((n, 1), 0.1, np.float32), np.full((n, 1), 0.1, np.float32)
+        self.node_n, self.word_n = np.zeros(n, np.float32), np.zeros(n, np.float32)
 
     def learn(self, one: np.ndarray, two: np.ndarray, ids: np.ndarray) -> None:
-        for a in range(0, len(ids), BATCH):
-            self._step(one[a : a + BATCH], two[a : a + BATCH], ids[a : a + BATCH])
+        for a in range(0, len(ids), CHUNK):
+            w1, w2, w = one[a : a + CHUNK], two[a : a + CHUNK], ids[a : a + CHUNK]
+            top = np.where(w < NAMED, w, OTHER)
+            dh = [self._step(w1[k : k + BATCH], w2[k : k + BATCH], top[k : k + BATCH]) for k in range(0, len(w), BATCH)]
+            self._descend(w1, w2, w, np.concatenate(dh).astype(np.float32))
         self.tokens += len(ids)
 
-    def _step(self, w1: np.ndarray, w2: np.ndarray, w: np.ndarray) -> None:
+    def _distinct(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct ids, and the place of each among them."""
+        self.flag[ids] = True
+        u = np.flatnonzero(self.flag)
+        self.flag[u] = False
+        self.slot[u] = np.arange(len(u), dtype=np.int32)
+        return u, self.slot[ids]
+
+    def _descend(self, w1: np.ndarray, w2: np.ndarray, w: np.ndarray, dh: np.ndarray) -> None:
+        """A step of the nodes on the way to the tokens' leaves, then of the leaves' context vectors."""
+        t, c1, c2 = self.tree, self.w.C1.astype(np.float32), self.w.C2.astype(np.float32)
+        rare = np.flatnonzero(w >= NAMED)
+        h = t.X[w1[rare]] @ c1 + t.X[w2[rare]] @ c2
+        steps, back = [], np.zeros_like(h)
+        for row, s, z, right in t.walk(h, w[rare] - NAMED):
+            e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - right).astype(np.float32)
+            back[row] += e[:, None] * t.Q[s]
+            steps.append((s, e, e[:, None] * h[row]))
+        if steps:
+            s, e, rows = map(np.concatenate, zip(*steps))
+            u, at = self._distinct(s)
+            dq, db = sums(at, rows), np.bincount(at, e).astype(np.float32)
+            dh[rare] += back
+            self.node_g[u, 0] += ((dq * dq).sum(axis=1) + db * db) / (WIDTH + 1)
+            rate = RATE / np.sqrt(self.node_g[u])
+            t.Q[u] -= rate * dq
+            t.b[u] -= rate[:, 0] * db
+            self.node_n[u] += np.bincount(at)
+        k1, k2 = np.flatnonzero(w1 >= NAMED), np.flatnonzero(w2 >= NAMED)
+        if len(k1) + len(k2):
+            u, at = self._distinct(np.concatenate((w1[k1], w2[k2])) - NAMED)
+            g = sums(at, np.concatenate((dh[k1] @ c1.T, dh[k2] @ c2.T)))
+            self.word_g[u, 0] += (g * g).mean(axis=1)
+            t.X[NAMED + u] -= RATE * g / np.sqrt(self.word_g[u])
+            self.word_n[u] += np.bincount(at)
+
+    def _step(self, w1: np.ndarray, w2: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """A step of the named words' weights; returns the gradients of the contexts."""
         m, n = self.w, len(w)
         z = np.minimum(np.searchsorted(self.cum, self.rng.random(NOISE) * self.cum[-1], "right"), NAMED - 1)
-        r1, r2, q, qz = m.R[w1], m.R[w2], m.Q[w], m.Q[z]
+        r1, r2, q, qz = self.tree.X[w1], self.tree.X[w2], m.Q[w], m.Q[z]
         h = r1 @ m.C1 + r2 @ m.C2
         own = 1 / (1 + np.exp(-np.clip((h * q).sum(axis=1) + m.b[w] - self.log_kp[w], -30, 30))) - 1
         other = 1 / (1 + np.exp(-np.clip(h @ qz.T + m.b[z] - self.log_kp[z], -30, 30)))
@@ -199,41 +331,84 @@ class Trainer:
         np.add.at(dq, z, other.T @ h)
         db = np.bincount(w, own, NAMED)
         np.add.at(db, z, other.sum(axis=0))
-        dr = by_word(w1, dh @ m.C1.T) + by_word(w2, dh @ m.C2.T)
+        k1, k2 = w1 < NAMED, w2 < NAMED
+        dr = by_word(w1[k1], dh[k1] @ m.C1.T) + by_word(w2[k2], dh[k2] @ m.C2.T)
         for x, g, seen in zip((m.R, m.C1, m.C2, m.Q, m.b), (dr, r1.T @ dh, r2.T @ dh, dq, db), self.seen):
             g = g / n
             seen += g * g
             x -= RATE * g / np.sqrt(seen)
+        self.tree.X[:NAMED] = m.R
+        return dh
 
+    def leaves(self) -> Iterator[tuple[int, np.ndarray, bytes]]:
+        """Block, leaves that this task has seen, and the tokens behind their node and word, then their weights as half floats."""
+        t, seen = self.tree, np.flatnonzero((self.node_n > 0) | (self.word_n > 0)).astype(np.int32)
+        for k in np.split(seen, np.flatnonzero(np.diff(seen // BLOCK)) + 1):
+            if len(k):
+                a, b = self.node_n[k, None], self.word_n[k, None]
+                halves = np.hstack((t.Q[k], t.b[k, None], t.X[NAMED + k])).astype(np.float16)
+                yield int(k[0]) // BLOCK, k, np.hstack((a, b)).tobytes() + halves.tobytes()
 
-def train(texts: DataFrame, vocabulary: Vocabulary) -> Weights:
+
+def train(texts: DataFrame, vocabulary: Vocabulary) -> tuple[Weights, Tree]:
     """Every task trains on all of its tokens from one start; the mean of the tasks' weights by tokens is the model.
 
-    The means are taken in two levels of groups, so neither a task nor the driver holds the weights of all tasks.
+    The means of named words' weights are taken in 64 groups, then of those, and the means of leaves' by block of leaves
+    and by the tokens of each, so neither a task nor the driver holds the weights of all tasks.
     """
     noise = vocabulary.named_n / max(1, vocabulary.named_n.sum())
+    tree = Tree(vocabulary.mass)
     if not vocabulary.tokens:
-        return Weights.start(np.full(NAMED, 1 / NAMED))
+        return Weights.start(np.full(NAMED, 1 / NAMED)), tree
     shared = texts.sparkSession.sparkContext.broadcast(vocabulary)  # HEAD entries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        read, t = Reader(shared.value), Trainer(noise, part)
+        read, t = Reader(shared.value), None
         for b in pieces(batches, "text", 1 << 20):
+            t = t or Trainer(noise, part, Tree(shared.value.mass))
             _, _, ids, sizes = read(utf8(b.column(0)))
             t.learn(*contexts(ids, sizes), ids)
-        if t.tokens:
-            yield pa.RecordBatch.from_arrays([pa.array([part % 64]), pa.array([float(t.tokens)]), pa.array([t.w.packed().tobytes()])], ["part", "tokens", "weights"])
 
-    def mean(rows: pa.Table) -> pa.Table:
-        n = rows.column("tokens").to_numpy()
-        x = sum(k * np.frombuffer(w, np.float64) for k, w in zip(n, rows.column("weights").to_pylist())) / n.sum()
-        return pa.table({"part": [0], "tokens": [float(n.sum())], "weights": [x.tobytes()]})
+        def out(part: int, tokens: float, weights: bytes, leaves: np.ndarray | None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([tokens]), pa.array([weights]), pa.array([leaves is not None and leaves.tobytes() or None], pa.binary())], names)
 
-    schema = "part long, tokens double, weights binary"
+        if t:
+            yield out(-1 - part % 64, float(t.tokens), t.w.packed().tobytes(), None)
+            for block, leaves, weights in t.leaves():
+                yield out(block, 0.0, weights, leaves)
+
+    def mean(rows: pa.Table) -> pa.Table:
+        part, n = rows.column("part")[0].as_py(), rows.column("tokens").to_numpy()
+        if part < 0:
+            x, leaves = sum(k * np.frombuffer(w.as_py(), np.float64) for k, w in zip(n, rows.column("weights"))) / n.sum(), None
+        else:
+            total = np.zeros((BLOCK, 2 * WIDTH + 3), np.float32)
+            for w, k in zip(rows.column("weights"), rows.column("leaves")):
+                at, w = np.frombuffer(k.as_py(), np.int32) - part * BLOCK, w.as_py()
+                a, b = np.frombuffer(w, np.float32, 2 * len(at)).reshape(-1, 2).T[:, :, None]
+                x = np.frombuffer(w, np.float16, offset=8 * len(at)).reshape(-1, 2 * WIDTH + 1).astype(np.float32)
+                total[at] += np.hstack((a * x[:, : WIDTH + 1], a, b * x[:, WIDTH + 1 :], b))
+            at = np.flatnonzero(total[:, WIDTH + 1] + total[:, -1]).astype(np.int32)
+            x, leaves = total[at], (at + np.int32(part * BLOCK)).tobytes()
+        return pa.table([pa.array([part]), pa.array([float(n.sum())]), pa.array([x.tobytes()]), pa.array([leaves], pa.binary())], names=names)
+
+    schema = "part long, tokens double, weights binary, leaves binary"
+    names = [x.split()[0] for x in schema.split(", ")]
     each = texts.select("text").mapInArrow(run, schema)
-    found = each.groupBy("part").applyInArrow(mean, schema).groupBy("part").applyInArrow(mean, schema).first()
-    return Weights.unpacked(np.frombuffer(bytes(found["weights"]), np.float64)) if found else Weights.start(noise)
+    tokens, packed = 0.0, 0.0
+    for r in each.groupBy("part").applyInArrow(mean, schema).collect():
+        if r["leaves"] is None:
+            tokens, packed = tokens + r["tokens"], packed + r["tokens"] * np.frombuffer(bytes(r["weights"]), np.float64)
+            continue
+        k, x = np.frombuffer(bytes(r["leaves"]), np.int32), np.frombuffer(bytes(r["weights"]), np.float32).reshape(-1, 2 * WIDTH + 3)
+        node, word = x[:, WIDTH + 1] > 0, x[:, -1] > 0
+        tree.Q[k[node]] = x[node, :WIDTH] / x[node, WIDTH + 1, None]
+        tree.b[k[node]] = x[node, WIDTH] / x[node, WIDTH + 1]
+        tree.X[NAMED + k[word]] = x[word, WIDTH + 2 : -1] / x[word, -1, None]
+    w = Weights.unpacked(packed / tokens) if tokens else Weights.start(noise)
+    tree.X[:NAMED] = w.R
+    return w, tree
 
 
 @dataclass
@@ -265,29 +440,65 @@ def tables_of(m: Weights, named_n: np.ndarray) -> Tables:
     return Tables(*((x * ten).astype(np.float32) for x in (np.clip(first, -50, 50), np.clip(second, -50, 50), bias, norm)))
 
 
+@dataclass
+class Model:
+    """log10 probabilities of all words: tables for named words after named words, products for others."""
+
+    tables: Tables
+    tree: Tree
+    c1: np.ndarray
+    c2: np.ndarray
+    q: np.ndarray
+    bias: np.ndarray
+
+    @classmethod
+    def of(cls, m: Weights, tree: Tree, named_n: np.ndarray) -> Model:
+        tables = tables_of(m, named_n)
+        c1, c2, q = (x.astype(np.float32) for x in (m.C1, m.C2, m.Q))
+        return cls(tables, tree, c1, c2, q, tables.bias * np.float32(np.log(10)))
+
+    def scores(self, one: np.ndarray, two: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Of each token's named word, or of OTHER and the leaf."""
+        named, top = (one < NAMED) & (two < NAMED), np.where(ids < NAMED, ids, OTHER)
+        out = np.empty(len(ids))
+        out[named] = self.tables.scores(one[named], two[named], top[named])
+        ten = 1 / np.log(10)
+        for a in range(0, len(ids), ROWS):
+            h = self.tree.X[one[a : a + ROWS]] @ self.c1 + self.tree.X[two[a : a + ROWS]] @ self.c2
+            k = np.flatnonzero(~named[a : a + ROWS])
+            z = h[k] @ self.q.T
+            np.clip(z, -50, 50, out=z)
+            z += self.bias
+            own = z[np.arange(len(k)), top[a + k]]
+            np.exp(z, out=z)
+            out[a + k] = ten * (own - np.log(z.sum(axis=1)))
+            k = np.flatnonzero(ids[a : a + ROWS] >= NAMED)
+            out[a + k] += ten * self.tree.scores(h[k], ids[a + k] - NAMED)
+        return out
+
+
 def lm_scores(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) -> (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row.
 
     Tokens are words without ASCII white space, A-Z lower-cased, then one end. Learned from documents outside fold 2 of
     7; null texts are empty texts, which count as such. base_score is exact: every word's count is either among those
-    that each task has, or joined. score is the log-bilinear model's log10 probability: of the named words, the end and
-    `other` given two tokens before, and of a word within `other` by its count plus one. Repeated rows are scored each;
-    with nothing to learn from, counts are 0; an empty table gives no rows.
+    that each task has, or joined. score is the log-bilinear model's log10 probability given two tokens before: of the
+    named words, the end and `other`, times that of a word within `other` by its steps in the tree. Words beyond HEAD
+    share leaves, within which they are drawn by their counts plus one. Repeated rows are scored each; with nothing to
+    learn from, counts are 0; an empty table gives no rows.
     """
     slim = docs.select(F.col("doc_id").cast("long"), "text").withColumn("held_out", fold("doc_id", 7) == 2)
     learn = slim.filter("NOT held_out")
     counts = cut(word_counts(learn))
     v = vocabulary_of(counts)
-    tables = tables_of(train(learn, v), v.named_n)
-    shared = docs.sparkSession.sparkContext.broadcast((v, tables))
-    named = int((v.named_n[3:] > 0).sum() + (v.named_n[END] > 0))
-    inside = float(np.log10(v.named_n[OTHER] + max(0, v.distinct - named) + 1))
+    shared = docs.sparkSession.sparkContext.broadcast((v, Model.of(*train(learn, v), v.named_n)))
     base = float(np.log10(v.tokens + v.distinct + 1))
-    schema = "uid long, doc_id long, held_out boolean, n_tokens long, known long, logs double, other_logs double, others long, model double, tail array<long>, tail_n array<long>"
+    schema = "uid long, doc_id long, held_out boolean, n_tokens long, known long, logs double, model double, tail array<long>, tail_n array<long>"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, tables = shared.value
+        v, model = shared.value
+        single = NAMED + len(v.mass) - v.groups
         read, uid = Reader(v), TaskContext.get().partitionId() << 36
         for b in pieces(batches, "text", 1 << 20):
             h, n, ids, sizes = read(utf8(b.column(1)))
@@ -298,7 +509,9 @@ def lm_scores(docs: DataFrame) -> DataFrame:
 
             one, two = contexts(ids, sizes)
             logs = np.log10(np.maximum(n, 0) + 1.0)
-            other = ids == OTHER
+            scores = model.scores(one, two, ids)
+            beyond = ids >= single
+            scores[beyond] -= np.log10(v.mass[ids[beyond] - NAMED])  # what a word has of its group is joined
             doc = np.repeat(np.arange(len(sizes)), sizes)
             tail = np.flatnonzero(n < 0)
             order = tail[np.lexsort((h[tail], doc[tail]))]
@@ -311,7 +524,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(uid + np.arange(len(sizes))), b.column(0), b.column(2), pa.array(sizes), pa.array(each((n > 0).astype(np.int64))), pa.array(each(logs)),
-                    pa.array(each(np.where(other, logs, 0.0))), pa.array(each(other.astype(np.int64))), pa.array(each(tables.scores(one, two, ids).astype(np.float64))), *lists,
+                    pa.array(each(scores)), *lists,
                 ],
                 names,
             )
@@ -332,5 +545,5 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(v.tokens).cast("long").alias("train_tokens"),
         (F.col("logs") + logs - F.col("n_tokens") * base).alias("base_score"),
-        (F.col("model") + F.col("other_logs") + logs - F.col("others") * inside).alias("score"),
+        (F.col("model") + logs).alias("score"),
     )

@@ -312,6 +312,40 @@ def test_model_is_normalised_and_learns_order(spark):
         assert (10.0 ** tables.scores(np.full(8, one), np.full(8, two), ids)).sum() == pytest.approx(1, abs=1e-3)
 
 
+def test_rare_words_have_probabilities_of_their_own(spark):
+    rng = random.Random(4)
+    common = " ".join(f"c{k}" for k in range(600)) + " "  # more words than are named, each more often than the rest
+    pairs = [(f"left{k}", f"right{k}") for k in range(8)]
+    rows = [(i, common * 12 + " ".join(" ".join(rng.choice(pairs)) for _ in range(85))) for i in range(60)]
+    held = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    rows += [(held[0], " ".join(f"{a} {b}" for a, b in pairs)), (held[1], " ".join(f"{a} {pairs[k - 1][1]}" for k, (a, _) in enumerate(pairs)))]
+    got = {r["doc_id"]: r for r in lbl.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert got[held[0]]["base_score"] == pytest.approx(got[held[1]]["base_score"])
+    assert got[held[0]]["score"] > got[held[1]]["score"] + 0.5
+
+
+def test_probabilities_of_all_words_sum_to_one():
+    import numpy as np
+
+    rng, n = np.random.default_rng(3), lbl.NAMED
+    mass = rng.integers(1, 50, 300)
+    counts = rng.integers(60, 900, n)
+    counts[lbl.START] = 0
+    counts[lbl.OTHER] = mass.sum()
+    ids = np.concatenate((rng.choice(np.r_[lbl.END, 3:n], 3000), n + rng.choice(300, 3000, p=mass / mass.sum())))
+    rng.shuffle(ids)
+    trainer = lbl.Trainer(counts / counts.sum(), 1, lbl.Tree(mass))
+    share = trainer.tree.scores(np.zeros((300, lbl.WIDTH), np.float32), np.arange(300))
+    assert np.exp(share) == pytest.approx(mass / mass.sum(), rel=1e-4)
+    trainer.learn(*lbl.contexts(ids, np.array([len(ids)])), ids)
+    model = lbl.Model.of(trainer.w, trainer.tree, counts)
+    every = np.r_[lbl.END, 3 : n + 300]
+    for one, two in ((3, 4), (n + 7, 5), (6, n + 8), (n, n + 299)):
+        p = 10.0 ** model.scores(np.full(len(every), one), np.full(len(every), two), every)
+        other = 10.0 ** model.scores(np.array([one]), np.array([two]), np.array([lbl.OTHER]))[0]
+        assert p.sum() == pytest.approx(1, abs=2e-3) and p[every >= n].sum() == pytest.approx(other, rel=1e-3)
+
+
 # --- decontamination ----------------------------------------------------------------------------------------------------
 
 
