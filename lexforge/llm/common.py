@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -11,19 +12,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch between Spark and a worker, and rows of a checkpointed part of a small table.
+BATCH_BYTES, PART_ROWS = 4 << 20, 20_000
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local master gets a folder of
+    its own, and a cluster, whose executors could not read that, an error."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lexforge-"))
     return named or sc._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder once and read from there ever after."""
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df, written to the shared folder once and read from there ever after; with `rows`, at most as many as it has, in
+    files of PART_ROWS about instead of one for each shuffle partition."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(1 + rows // PART_ROWS)).checkpoint(eager=True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,5 +82,13 @@ def most_frequent(counts: DataFrame, column: str, most: int) -> DataFrame:
     return counts.filter(F.col(column) >= F.lit(least)) if least is not None else counts.limit(0)
 
 
-def mapped(df: DataFrame, f: Callable, schema: str) -> DataFrame:
+def mapped(df: DataFrame, f: Callable, schema) -> DataFrame:
+    """df.mapInArrow(f, schema) in batches bounded by bytes: rows of long texts else make batches of any size on both sides.
+
+    The bound is a setting of the session, which is set here unless the session has a smaller one.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", conf.get(name))
+    if not now or int(now[1]) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
     return df.mapInArrow(f, schema)

@@ -38,7 +38,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .unionByName(least.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        e, before = cut(small), state
+        e, before = cut(small, state[0]), state
         state = _state(e)
         if state == before:
             break

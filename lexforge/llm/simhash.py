@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import cut, partitions, pieces, utf8
+from lexforge.llm.common import cut, mapped, partitions, pieces, utf8
 from lexforge.llm.components import connected_components
 
 BITS, SEED, SHINGLE, RADIUS = 64, 42, 4, 4
@@ -19,6 +19,8 @@ TILE = 16_384
 #: Buckets up to this size are compared together, many in one pass.
 SMALL = 512
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Rows up to this many, 16 bytes each, are broadcast when documents are taken out; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def fingerprint(text: bytes) -> int:
@@ -41,15 +43,21 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(2 * votes > n, bitorder="little").view("<u8")[0])
 
 
+def same() -> F.Column:
+    """A hash of the text; a null text is an empty one. Texts that differ share it with a chance of 2^-64."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, fp long): the fingerprint's 64 bits as a signed long. Null texts count as empty."""
+    """docs (doc_id, text) -> (doc_id, same long, fp long): the fingerprint's 64 bits as a signed long, and a hash that equal
+    texts share. Null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
-            fp = np.fromiter(map(fingerprint, utf8(b.column(1))), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            fp = np.fromiter(map(fingerprint, utf8(b.column(2))), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["doc_id", "same", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return mapped(docs.select(F.col("doc_id").cast("long"), same().alias("same"), "text"), run, "doc_id long, same long, fp long")
 
 
 def bucket_masks(n: int) -> list[int]:
@@ -234,8 +242,8 @@ def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links(distinct: DataFrame, n: int) -> DataFrame:
-    """distinct (fp long, rep long), n rows -> links (u, v) between reps whose fingerprints differ in RADIUS bits at most, thinned to
-    a spanning forest of each bucket.
+    """distinct (fp long, rep long), n rows -> links (u, v) between reps whose fingerprints differ in RADIUS bits at most,
+    thinned to a spanning forest of each bucket.
 
     Each fingerprint goes into one bucket for each mask. A bucket of over TILE fingerprints is dealt into parts, and
     each pair of parts is compared by another task, so no task holds more than about twice TILE and no pair is lost.
@@ -263,27 +271,56 @@ def links(distinct: DataFrame, n: int) -> DataFrame:
     return ready.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_bucketed, "u long, v long")
 
 
+def grouped(fps: DataFrame) -> DataFrame:
+    """fps (doc_id, fp, ...), checkpointed -> (fp, root): the smallest fingerprint reachable, as signed longs go, for each
+    distinct one. Fingerprints are the nodes, so rows without a doc_id link like any other."""
+    distinct = cut(fps.select("fp").distinct(), fps.count())
+    roots = connected_components(links(distinct.withColumn("rep", F.col("fp")), distinct.count()))
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) -> (doc_id, fingerprint string, component_id long), a row for each row.
 
     Words are runs without ASCII white space, A-Z lower-cased; shingles are four words, repeats included; XXH64 with
     seed 42; a bit is set if over half of the hashes have it. Null, empty and wordless texts have fingerprint 0 and are
     linked like any other. Equal fingerprints and those up to 4 bits apart are linked; component_id is the smallest
-    doc_id reachable. Repeated rows stay; an empty table gives no rows. A null doc_id keeps a null in its own row and,
-    where it is the only one of its group, a null component.
+    doc_id reachable. Repeated rows stay; an empty table gives no rows. A row without a doc_id links others and gets
+    their component_id, which is null only if no row of its component has a doc_id.
     """
     fps = cut(fingerprints(docs))
-    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    pairs = links(distinct.filter("rep IS NOT NULL"), distinct.count())
-    roots = connected_components(pairs)
-    group = distinct.join(roots, distinct["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return fps.join(group, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    group = grouped(fps)
+    least = fps.groupBy("fp").agg(F.min("doc_id").alias("m")).join(group, "fp")
+    of_root = least.groupBy("root").agg(F.min("m").alias("component_id"))
+    named = group.join(of_root, "root").select("fp", "component_id")
+    return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def survivors(docs: DataFrame) -> DataFrame:
-    """One row of each near-duplicate group, that of the smallest doc_id, with the columns of docs.
+    """One row of each near-duplicate group, with the columns of docs: that of the smallest doc_id, a null one being larger
+    than any other; of several texts with that doc_id, the one of the smallest hash.
 
-    Of rows that repeat a doc_id one stays. A row without a doc_id cannot be named as a group's representative and goes.
+    Rows that share doc_id and text are one. A null text is an empty one. Texts move only where a row's doc_id and text
+    repeat: what goes is found on ids and hashes, and taken out by a broadcast if it is small.
     """
-    keep = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(keep, docs["doc_id"] == keep["__keep"], "left_semi").dropDuplicates(["doc_id"])
+    fps = cut(fingerprints(docs))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "same")
+    best = fps.groupBy("fp").agg(F.min(order).alias("w"))  # before any join: copies are many
+    first = best.join(grouped(fps), "fp").groupBy("root").agg(F.min("w").alias("w"))
+    kept = first.select(F.col("w.doc_id").alias("k_id"), F.col("w.same").alias("k_same"))
+    rows = fps.groupBy(F.col("doc_id").alias("__id"), F.col("same").alias("__same")).agg(F.count("*").alias("rows"))
+    is_kept = F.col("__id").eqNullSafe(F.col("k_id")) & (F.col("__same") == F.col("k_same"))
+    judged = cut(rows.join(kept, is_kept, "left").select("__id", "__same", F.col("k_same").isNotNull().alias("kept"), "rows").filter("NOT kept OR rows > 1"), fps.count())
+    gone, twice = (judged.filter(x).select("__id", "__same") for x in ("NOT kept", "kept"))
+
+    def bounded(x: DataFrame) -> tuple[DataFrame, int]:
+        n = x.count()
+        return (F.broadcast(x) if n <= BROADCAST_ROWS else x), n
+
+    here = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (same() == F.col("__same"))
+    (gone, _), (twice, repeated) = bounded(gone), bounded(twice)
+    out = docs.join(gone, here, "left_anti")
+    if not repeated:
+        return out
+    marked = out.join(twice, here, "left_semi").withColumns({"__id": F.col("doc_id").cast("long"), "__same": same()})
+    return out.join(twice, here, "left_anti").unionByName(marked.dropDuplicates(["__id", "__same"]).select(*docs.columns))

@@ -303,3 +303,60 @@ def test_queries_with_sql(spark, name):
 
     sf = "/root/testdata/sf0.001"
     assert difference(queries()[name](spark, sf), oracle_sql()[name], views(sf)) == ""
+
+
+# --- null and repeated ids ---------------------------------------------------------------------------------------------
+
+
+def with_print(spark, monkeypatch, rows):
+    """A table whose texts are their fingerprints, in decimal."""
+    monkeypatch.setattr(simhash, "fingerprint", lambda text: int(text or b"0"))
+    return spark.createDataFrame(rows, "doc_id long, text string, kept boolean, root long").repartition(3)
+
+
+def test_a_row_without_an_id_links_others(spark, monkeypatch):
+    df = with_print(spark, monkeypatch, [(1, "0", True, 1), (None, "15", True, 1), (3, "255", True, 1), (None, str(2**63), True, 1), (9, str(2**40 * 1023), True, 1)])
+    got = {r["fingerprint"].lstrip("0"): (r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(df).collect()}
+    assert got == {"": (1, 1), "f": (None, 1), "ff": (3, 1), "8" + "0" * 15: (None, 1), "3ff0000000000": (9, 9)}
+    df = with_print(spark, monkeypatch, [(None, "0", True, 1), (None, "1048575", True, 1)])
+    assert [r["component_id"] for r in simhash.near_duplicates(df).collect()] == [None, None]
+
+
+def test_one_row_of_each_group_survives_whatever_its_id(spark, monkeypatch):
+    far = str(2**63 + 2**62 + 2**61 + 2**60 + 2**59 + 2**58)
+    rows = [(5, "0"), (4, "1"), (4, "1"), (4, "3"), (None, "7"), (None, far), (None, far), (7, str(2**40 * 1023)), (7, str(2**40 * 1023))]
+    df = with_print(spark, monkeypatch, [(*r, True, 1) for r in rows])
+    for bound in (simhash.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(simhash, "BROADCAST_ROWS", bound)
+        out = simhash.survivors(df)
+        got = sorted(out.collect(), key=str)
+        assert out.columns == df.columns and len(got) == 3
+        assert {r["doc_id"] for r in got} == {4, 7, None} and {r["text"] for r in got if r["doc_id"] is None} == {far}
+
+
+def test_repeated_and_missing_page_ids_write_a_record_each(spark, tmp_path):
+    rows = [(1, "x"), (1, "x"), (2, "x"), (None, "y"), (None, "y"), (None, "z"), (3, "z"), (4, None), (4, ""), (1, "w"), (None, "x")]
+    df = spark.createDataFrame([(i, "u", h, "c") for i, h in rows], "page_id long, url string, html string, row string").repartition(4)
+    got = Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.warc_round_trip(df, f"file://{tmp_path}/w").collect())
+    assert got == Counter(
+        [(1, 1, "response", None), (1, 1, "revisit", 1), (2, 1, "revisit", 1), (None, 1, "revisit", 1), (None, 1, "response", None), (None, 1, "revisit", None)]
+        + [(3, 1, "response", None), (None, 1, "revisit", 3), (4, 0, "response", None), (4, 0, "revisit", 4), (1, 1, "response", None)]
+    )
+    raw = b"".join((tmp_path / "w" / n).read_bytes() for n in os.listdir(tmp_path / "w"))
+    names = []
+    for part in raw.split(b"\x1f\x8b\x08\x00")[1:]:
+        try:
+            names.append(zlib.decompressobj(31).decompress(b"\x1f\x8b\x08\x00" + part).split(b"WARC-Record-ID: ")[1].split(b"\r\n")[0])
+        except (zlib.error, IndexError):
+            pass
+    assert len(names) == len(set(names)) == len(rows)
+
+
+def test_a_cluster_must_name_the_shared_folder():
+    from types import SimpleNamespace as N
+
+    from lexforge.llm import common
+
+    context = N(getConf=lambda: N(get=lambda *_: None), master="spark://host:7077", _jsc=N(sc=lambda: N(getCheckpointDir=lambda: N(isDefined=lambda: False))))
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(N(sparkContext=context, conf=N(get=lambda *_: None)))
