@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import cut, partitions, pieces, shared_dir, utf8
+from lexforge.llm.common import cut, mapped, partitions, pieces, shared_dir, utf8
 
 #: An archive is closed when its records have this many bytes.
 ROLL = 128 << 20
@@ -131,26 +131,28 @@ def members(f, length: int) -> dict[str, tuple[int, int, int]]:
 # --- WARC ----------------------------------------------------------------------------------------------------------
 
 
-def record(page_id: int, url: str, payload: bytes, sha: str, refers_to: int | None) -> bytes:
-    """One gzipped record. A revisit has the response's HTTP header, Content-Length included, without the payload."""
-    kind = "response" if refers_to is None else "revisit"
+def name_of(page_id: int | None, row: int) -> str:
+    """The record's id. row tells apart what shares a page_id, or has none."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{row}')}>"
+
+
+def record(page_id: int | None, row: int, url: str, payload: bytes, sha: str, of: tuple[int | None, int] | None) -> bytes:
+    """One gzipped record. of: page_id and row of the response that it revisits; a revisit has the response's HTTP header,
+    Content-Length included, without the payload. A null page_id has no header of its own."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    block = http + (payload if refers_to is None else b"")
+    block = http + (payload if of is None else b"")
     head = [
         "WARC/1.1",
-        f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>",
+        f"WARC-Type: {'response' if of is None else 'revisit'}",
+        f"WARC-Record-ID: {name_of(page_id, row)}",
         "WARC-Date: 2000-01-01T00:00:00Z",
         f"WARC-Target-URI: {re.sub('[' + chr(0) + '-' + chr(32) + ']', '', url)}",
         f"WARC-Payload-Digest: sha1:{sha}",
-        f"X-Page-ID: {page_id}",
+        *([f"X-Page-ID: {page_id}"] if page_id is not None else []),
     ]
-    if refers_to is not None:
-        head += [
-            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-            f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers_to}')}>",
-            f"X-Refers-To-Page-ID: {refers_to}",
-        ]
+    if of is not None:
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {name_of(*of)}"]
+        head += [f"X-Refers-To-Page-ID: {of[0]}"] if of[0] is not None else []
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return gzip.compress("\r\n".join(head).encode() + block + b"\r\n\r\n", 6, mtime=0)
 
@@ -174,7 +176,8 @@ def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def write_archives(pages: DataFrame, folder: str, roll: int = ROLL, zip64: bool = False) -> DataFrame:
-    """pages (page_id, url, html, payload_digest, refers_to) -> (archive string, records long): files in the shared folder.
+    """pages (page_id, row, url, html, payload_digest, response struct<page_id,row>) -> (archive string, records long): files
+    in the shared folder. response: the record that this one revisits, null for a response.
 
     Each task writes archives of its own under a name of its attempt and moves them to their final name when they are
     whole, so a retried or doubled task leaves the same files and no halves.
@@ -185,7 +188,7 @@ def write_archives(pages: DataFrame, folder: str, roll: int = ROLL, zip64: bool
         part, attempt = context.partitionId(), context.taskAttemptId()
         store, base = filesystem(folder)
         store.create_dir(base, recursive=True)
-        rows, now, done = [], None, 0
+        now, done = None, 0
         out: list[tuple[str, int]] = []
 
         def close() -> None:
@@ -200,8 +203,8 @@ def write_archives(pages: DataFrame, folder: str, roll: int = ROLL, zip64: bool
             out.append((final.rsplit("/", 1)[-1], len(index)))
 
         for b in pieces(batches, "html"):
-            rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), utf8(b.column(2)), b.column(3).to_pylist(), b.column(4).to_pylist())
-            for page, url, html, sha, refers in rows:
+            own, of = zip(b.column(0).to_pylist(), b.column(1).to_pylist()), b.column(5).to_pylist()
+            for (page, row), url, html, sha, first in zip(own, b.column(2).to_pylist(), utf8(b.column(3)), b.column(4).to_pylist(), of):
                 if now is None:
                     final = f"{base}/part-{part:06d}-{done:04d}.wacz"
                     temp = f"{final}.{attempt}"
@@ -209,8 +212,8 @@ def write_archives(pages: DataFrame, folder: str, roll: int = ROLL, zip64: bool
                     now = (StoredZip(stream, zip64), stream, temp, final, [])
                     now[0].begin(WARC)
                 z, index = now[0], now[4]
-                raw = record(page, url or "", html, sha, refers)
-                index.append(f"{page:020d} {json.dumps({'url': url, 'digest': sha, 'offset': z.open['size'], 'length': len(raw)})}\n")
+                raw = record(page, row, url or "", html, sha, first and (first["page_id"], first["row"]))
+                index.append(f"{'-' if page is None else f'{page:020d}'} {json.dumps({'url': url, 'digest': sha, 'offset': z.open['size'], 'length': len(raw)})}\n")
                 z.write(raw)
                 if z.open["size"] >= roll:
                     close()
@@ -220,7 +223,7 @@ def write_archives(pages: DataFrame, folder: str, roll: int = ROLL, zip64: bool
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["archive", "records"])
 
-    return pages.select("page_id", "url", "html", "payload_digest", "refers_to").mapInArrow(run, "archive string, records long")
+    return mapped(pages.select("page_id", "row", "url", "html", "payload_digest", "response"), run, "archive string, records long")
 
 
 def read_archives(archives: DataFrame, folder: str) -> DataFrame:
@@ -249,8 +252,8 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
                         # a response's figures come from the payload itself, a revisit's from its headers
                         size_of = len(r["payload"]) if response else int(r["http"]["content-length"])
                         sha = digest(r["payload"]) if response else r["warc-payload-digest"].removeprefix("sha1:")
-                        refers = None if response else int(r["x-refers-to-page-id"])
-                        rows.append((int(r["x-page-id"]), size_of, sha, r["warc-type"], refers, r["warc-target-uri"], name, entry["offset"], entry["length"]))
+                        page, refers = (int(r[x]) if x in r else None for x in ("x-page-id", "x-refers-to-page-id"))
+                        rows.append((page, size_of, sha, r["warc-type"], refers, r["warc-target-uri"], name, entry["offset"], entry["length"]))
                         if len(rows) == 4096:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
                             rows = []
@@ -261,33 +264,53 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
 
 
 def with_verdicts(pages: DataFrame, least: int = 0) -> DataFrame:
-    """pages (page_id, url, html) with payload_digest and refers_to: the smallest page_id of those of an equal payload of
-    `least` bytes or more. Verdicts are joined on page and digest, so a page_id that repeats with other html does no harm."""
+    """pages (page_id, url, html) -> (page_id, row, url, html, payload_digest, response): of the rows of an equal payload of
+    `least` bytes or more, the one with the smallest page_id has a null response, and is that of the others.
+
+    row is the row's place in its part of the input. Verdicts are found without the texts, one for each page_id and
+    digest, and joined back on these, so a page that very many rows copy is spread by their page_id. Only among rows that
+    share both does the place decide which is first.
+    """
+    schema = "page_id long, url string, html string, row long, payload_digest string, n long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 36
         for b in pieces(batches, "html"):
             html = utf8(b.column(2))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(map(digest, html), pa.string()), pa.array(map(len, html), pa.int64())], [*b.schema.names, "payload_digest", "n"])
-
-    hashed = pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, html string, payload_digest string, n long")
-    slim = cut(hashed.select("page_id", "payload_digest", "n").distinct())
-    first = slim.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1")
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, pa.array(range(at, at + len(html)), pa.int64()), pa.array(map(digest, html), pa.string()), pa.array(map(len, html), pa.int64())],
+                [*b.schema.names, "row", "payload_digest", "n"],
+            )
+            at += len(html)
+
+    hashed = mapped(pages.select("page_id", "url", "html"), run, schema)
+    slim = cut(hashed.groupBy("page_id", "payload_digest", "n").agg(F.min("row").alias("first_row"), F.count("*").alias("rows")))
+    order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", F.col("first_row").alias("row"))
+    first = slim.groupBy("payload_digest").agg(F.min(order).alias("f"), F.sum("rows").alias("copies")).filter("copies > 1")
     verdicts = slim.join(first, "payload_digest", "left").select(
-        "page_id", "payload_digest", F.when((F.col("n") >= least) & (F.col("first") < F.col("page_id")), F.col("first")).alias("refers_to")
+        F.col("page_id").alias("__page"),
+        F.col("payload_digest").alias("__digest"),
+        "rows",
+        F.when(F.col("f").isNotNull() & (F.col("n") >= least), F.struct(F.col("f.page_id").alias("page_id"), F.col("f.row").alias("row"))).alias("response"),
     )
-    return hashed.drop("n").join(verdicts, ["page_id", "payload_digest"])
+    same = hashed["page_id"].eqNullSafe(F.col("__page")) & (hashed["payload_digest"] == F.col("__digest"))
+    joined = hashed.drop("n").join(verdicts, same)
+    # a page_id and digest of one row is itself the first if it has the first's page_id, whatever its place
+    alone = (F.col("rows") == 1) & F.col("page_id").eqNullSafe(F.col("response.page_id"))
+    own = F.col("response").isNull() | alone | (F.col("page_id").eqNullSafe(F.col("response.page_id")) & (F.col("row") == F.col("response.row")))
+    return joined.withColumn("response", F.when(~own, F.col("response"))).drop("__page", "__digest", "rows")
 
 
 def warc_round_trip(pages: DataFrame, folder: str | None = None, least: int = 0, roll: int = ROLL) -> DataFrame:
     """pages (page_id, url, html, ...) -> what the archives say: page_id, payload_bytes, payload_digest, record_type, refers_to,
-    and url, archive, offset, length.
+    and url, archive, offset, length. A record for each row.
 
     Archives go to a new folder below the shared one (or to `folder`, a URI that pyarrow opens). A null html is an empty
-    payload and a null url an empty URI. page_id is the table's key: pages without one are left out, since a record
-    cannot be named without it, and rows that repeat a page_id write a record each. An empty table
-    gives no rows.
+    payload and a null url an empty URI. A null page_id counts as larger than any other. Rows that repeat a page_id
+    write a record each; if their payloads are equal too, one of them is the response and the others revisit its
+    page_id. An empty table gives no rows.
     """
     folder = folder or f"{shared_dir(pages.sparkSession).rstrip('/')}/archives-{uuid.uuid4().hex}"
-    pages = pages.filter("page_id IS NOT NULL").select(F.col("page_id").cast("long"), "url", "html")
+    pages = pages.select(F.col("page_id").cast("long"), "url", "html")
     archives = cut(write_archives(with_verdicts(pages, least), folder, roll))
     return read_archives(archives.repartition(partitions(pages.sparkSession)), folder)
