@@ -7,11 +7,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import pieces, utf8
+from lexforge.llm.common import mapped, pieces, utf8
 
 #: Phrases that stand for a label wherever their words stand consecutively; fixed values.
 PHRASES = {
@@ -147,6 +148,92 @@ cc-by-nd | creative commons | creative commons attribution no ?deriv(?:ative)?s(
 cc-by-nc | creative commons | creative commons attribution non ?commercial(?: [1-4] [05])?
 cc-by-nc-sa | creative commons | creative commons attribution non ?commercial share ?alike(?: [1-4] [05])?
 cc-by-nc-nd | creative commons | creative commons attribution non ?commercial no ?deriv(?:ative)?s(?: [1-4] [05])?
+intel | intel open source | intel open source
+ipl-1.0 | ibm public | ibm public
+apsl-2.0 | apple public | apple public source license (?:version |v )?2 0
+apsl | apple public | apple public source
+spl-1.0 | sun public | sun public
+sissl | sissl | sissl(?: 1 [12])?
+sissl | sun industry standards | sun industry standards source
+npl-1.1 | netscape public | netscape public license (?:version |v )?1 1
+npl | netscape public | netscape public
+qpl-1.0 | q public | q public
+sleepycat | sleepycat | sleepycat
+oldap-2.8 | openldap | openldap (?:public )?(?:license )?(?:version |v )?2 8
+oldap | openldap | openldap(?: public)?
+w3c | w3c | w3c(?: software)?(?: notice)?(?: and)?
+ipa | ipa font | ipa font
+bitstream-vera | bitstream vera | bitstream vera(?: font)?
+hpnd | historical permission | historical permission notice and disclaimer
+ftl | freetype | freetype(?: project)?
+ijg | independent jpeg | independent jpeg group
+imagemagick | imagemagick | imagemagick
+info-zip | info zip | info zip
+bzip2-1.0.6 | bzip2 | bzip2(?: 1 0 6)?
+tcl | tcl | tcl(?: tk)?
+xfree86-1.1 | xfree86 | xfree86(?: 1 1)?
+zpl-2.1 | zpl | zpl(?: 2 1)?
+zpl-2.1 | zope public | zope public
+unicode-3.0 | unicode | unicode(?: v3)?
+icu | icu | icu
+naist | naist | naist(?: 2003)?
+nasa-1.3 | nasa open source | nasa open source(?: agreement)?
+rpl-1.5 | reciprocal public | reciprocal public
+rpsl | realnetworks public | realnetworks public source
+sgi-b-2.0 | sgi free software | sgi free software(?: license b)?(?: 2 0)?
+simpl-2.0 | simple public | simple public
+sugarcrm | sugarcrm public | sugarcrm public
+vsl-1.0 | vovida | vovida software
+wxwindows | wxwindows | wxwindows(?: library)?
+nokia | nokia open source | nokia open source
+motosoto | motosoto | motosoto
+multics | multics | multics
+ms-lpl | microsoft limited public | microsoft limited public
+eudatagrid | eu datagrid | eu datagrid(?: software)?
+entessa | entessa public | entessa public
+efl-2.0 | eiffel forum | eiffel forum(?: license)?(?: version)?(?: 2)?
+cua-opl-1.0 | cua office | cua office public
+cpal-1.0 | common public attribution | common public attribution
+cnri-python | cnri | cnri(?: python)?
+catosl-1.1 | computer associates trusted | computer associates trusted open source
+aal | attribution assurance | attribution assurance
+adaptive-1.0 | adaptive public | adaptive public
+apl-1.0 | adaptive public source | adaptive public source
+frameworx-1.0 | frameworx | frameworx(?: open)?
+lucent-1.02 | lucent public | lucent public(?: license)?(?: version)?(?: 1 02)?
+miros | miros | miros
+ntp | ntp | ntp
+ogtsl | open group test suite | open group test suite
+oclc-2.0 | oclc research public | oclc research public
+pgsql-docs | open publication | open publication
+osl | open software | open software
+afl | academic free | academic free
+ecl | educational community | educational community
+upl-1.0 | universal permissive | universal permissive
+upl-1.0 | upl 1 0 | upl 1 0
+eupl-1.0 | eupl | eupl ?v?(?:ersion )?1 0
+liliq-p | liliq | liliq p(?: 1 1)?
+liliq-r | liliq | liliq r(?: 1 1)?
+ncgl-uk | non commercial government | (?:uk )?non commercial government
+ogl-canada | open government canada | open government canada
+cc-pdm | public domain mark | (?:creative commons )?public domain mark(?: 1 0)?
+cc-by-3.0-igo | igo | cc by (?:nc )?(?:sa |nd )?3 0 igo
+fal-1.3 | free art | free art
+gust-font | gust font | gust font
+mpl-2.0-no-copyleft | no copyleft exception | mpl 2 0 no copyleft exception
+parity-7.0 | parity public | parity public
+prosperity-3.0 | prosperity public | prosperity public
+hippocratic-2.1 | hippocratic | hippocratic(?: license)?(?: 2 1| 3 0)?
+anti-996 | anti 996 | anti 996
+cern-ohl-p | cern | cern (?:open hardware licence|ohl) (?:version 2 )?p(?:ermissive)?
+cern-ohl-s | cern | cern (?:open hardware licence|ohl) (?:version 2 )?s(?:trongly reciprocal)?
+cern-ohl-w | cern | cern (?:open hardware licence|ohl) (?:version 2 )?w(?:eakly reciprocal)?
+solderpad | solderpad | solderpad(?: hardware)?
+tapr-ohl | tapr | tapr open hardware
+fsl-1.1 | functional source | functional source
+community-1.0 | confluent community | confluent community
+redis-sal | redis source available | redis source available
+timescale | timescale | timescale
 proprietary | proprietary | (?:a )?proprietary
 """
 
@@ -189,6 +276,68 @@ no-commercial-use | personal use only | (?:for )?personal use only
 no-commercial-use | commercial | may not be used for commercial purposes
 no-redistribution | redistribut | (?:may not|must not|do not|cannot) (?:be )?redistribut(?:e|ed)
 confidential | confidential | (?:strictly )?confidential and proprietary
+gpl-1.0 | general public | (?:gnu )?general public licen[sc]e (?:version |v )1(?: 0)?(?: or later| only)?
+gpl-2.0 | general public | (?:gnu )?general public licen[sc]e (?:version |v )2(?: 0)?(?: or later| only)?
+gpl-3.0 | general public | (?:gnu )?general public licen[sc]e (?:version |v )3(?: 0)?(?: or later| only)?
+lgpl-2.0 | lesser general | (?:gnu )?lesser general public licen[sc]e (?:version |v )2(?: 0)?(?: or later| only)?
+lgpl-2.1 | lesser general | (?:gnu )?lesser general public licen[sc]e (?:version |v )2 1(?: or later| only)?
+lgpl-3.0 | lesser general | (?:gnu )?lesser general public licen[sc]e (?:version |v )3(?: 0)?(?: or later| only)?
+lgpl-2.0 | library general | (?:gnu )?library general public licen[sc]e(?: version 2| v2)?(?: 0)?
+agpl-3.0 | affero general | (?:gnu )?affero general public licen[sc]e (?:version |v )3(?: 0)?(?: or later| only)?
+agpl-1.0 | affero general | affero general public licen[sc]e (?:version |v )1(?: 0)?
+gfdl-1.1 | free documentation | (?:gnu )?free documentation licen[sc]e (?:version |v )1 1(?: or later| only)?
+gfdl-1.2 | free documentation | (?:gnu )?free documentation licen[sc]e (?:version |v )1 2(?: or later| only)?
+gfdl-1.3 | free documentation | (?:gnu )?free documentation licen[sc]e (?:version |v )1 3(?: or later| only)?
+mpl-1.0 | mozilla public | mozilla public licen[sc]e (?:version |v )1 0
+mpl-1.1 | mozilla public | mozilla public licen[sc]e (?:version |v )1 1
+mpl-2.0 | mozilla public | mozilla public licen[sc]e (?:version |v )2 0
+epl-1.0 | eclipse public | eclipse public licen[sc]e (?:version |v )?1 0
+epl-2.0 | eclipse public | eclipse public licen[sc]e (?:version |v )?2 0
+cddl-1.0 | common development and distribution | common development and distribution licen[sc]e (?:version |v )?1 0
+cddl-1.1 | common development and distribution | common development and distribution licen[sc]e (?:version |v )?1 1
+eupl-1.1 | european union public | european union public licen[sc]e (?:version |v )?1 1
+eupl-1.2 | european union public | european union public licen[sc]e (?:version |v )?1 2
+apache-1.0 | apache | apache (?:software )?licen[sc]e (?:version |v )1 0
+apache-1.1 | apache | apache (?:software )?licen[sc]e (?:version |v )1 1
+apache-2 | apache | apache (?:software )?licen[sc]e (?:version |v )2(?: 0)?
+artistic-1.0 | artistic | artistic licen[sc]e (?:version |v )?1 0
+artistic-2.0 | artistic | artistic licen[sc]e (?:version |v )?2 0
+boost-1.0 | boost software | boost software licen[sc]e (?:version |v )?1 0
+ofl-1.1 | open font | (?:sil )?open font licen[sc]e (?:version |v )?1 1
+osl-3.0 | open software | open software licen[sc]e (?:version |v )?3 0
+afl-3.0 | academic free | academic free licen[sc]e (?:version |v )?3 0
+elastic-2.0 | elastic | elastic licen[sc]e (?:version |v )?2 0
+sspl-1.0 | server side public | server side public licen[sc]e (?:version |v )?1(?: 0)?
+busl-1.1 | business source | business source licen[sc]e (?:version |v )?1 1
+odbl-1.0 | open database | open database licen[sc]e(?: odbl)?(?: v1 0| 1 0)?
+psf | python software | python software foundation licen[sc]e(?: version 2)?
+cc-by | creative commons | creative commons attribution (?:[1-4] [05] )?(?:international|unported|generic)(?: licen[sc]e)?
+cc-by-sa | creative commons | creative commons attribution share ?alike (?:[1-4] [05] )?(?:international|unported|generic)(?: licen[sc]e)?
+cc-by-nc | creative commons | creative commons attribution non ?commercial (?:[1-4] [05] )?(?:international|unported|generic)(?: licen[sc]e)?
+cc-by-nc-sa | creative commons | creative commons attribution non ?commercial share ?alike (?:[1-4] [05] )?(?:international|unported|generic)(?: licen[sc]e)?
+mit | opensource org licenses | opensource org licenses mit
+bsd | opensource org licenses | opensource org licenses bsd [23] clause
+zlib | in no event will the authors | in no event will the authors be held liable for any damages arising from the use of this software
+unlicense | unlicense org | (?:please )?refer to http(?:s)? unlicense org
+beerware | beer | buy me a beer in return
+agpl-3.0 | remote network interaction | remote network interaction use with the gnu general public license
+elastic-2.0 | hosted or managed service | you may not provide the software to third parties as a hosted or managed service
+commons-clause | right to sell | the license does not grant to you the right to sell the software
+busl-1.1 | change date | effective on the change date
+openrail | use based restrictions | use based restrictions as referenced in paragraph
+llama-community | materials | llama materials
+no-derivatives | derivative | (?:no|may not (?:create|make)) derivative works(?: may be made)?
+no-ai-training | machine learning | may not be used (?:for|to train) (?:any )?machine learning(?: models)?
+no-ai-training | artificial intelligence | may not be used (?:for|to train) (?:any )?artificial intelligence(?: models)?
+attribution-required | attribution | attribution (?:is )?required
+share-alike | same license | distributed? under the same license
+royalty-free | royalty free | (?:worldwide )?(?:non exclusive )?royalty free licen[sc]e
+evaluation-only | evaluation | for evaluation purposes only
+academic-only | academic | for (?:non commercial )?academic (?:research )?(?:use|purposes) only
+research-only | research | for (?:non commercial )?research (?:use|purposes) only
+educational-only | educational | for educational (?:use|purposes) only
+not-for-resale | resale | not for resale
+trade-secret | trade secret | (?:contains )?trade secrets? (?:and confidential information )?of
 permission-required | permission | reproduced without (?:the )?(?:prior )?written permission
 """
 
@@ -250,11 +399,28 @@ WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122
 
 
 def resolved(found: list[Detection]) -> list[Detection]:
-    """Without those that lie within the interval of one of higher priority, or of a longer one of the same."""
+    """Without those that lie within the interval of one of higher priority, or of a longer one of the same; of equal
+    intervals of one priority the first label stands.
+
+    What contains a suppressed detection's container contains it too, so it is enough to ask what came before, kept or
+    not: a tree over the starts holds the furthest end of any start up to each, n log n steps for n detections.
+    """
+    starts = sorted({d.start for d in found})
+    place = {x: k + 1 for k, x in enumerate(starts)}
+    furthest = [-1] * (len(starts) + 1)
     kept: list[Detection] = []
     for d in sorted(found, key=lambda d: (-d.priority, d.start - d.end, d.start, d.label)):
-        if not any(k.start <= d.start and d.end <= k.end and (k.label != d.label or (k.start, k.end) != (d.start, d.end)) for k in kept) and d not in kept:
-            kept.append(d)
+        k, reach = place[d.start], -1
+        while k:
+            reach = max(reach, furthest[k])
+            k &= k - 1
+        if reach >= d.end:
+            continue
+        kept.append(d)
+        k = place[d.start]
+        while k < len(furthest):
+            furthest[k] = max(furthest[k], d.end)
+            k += k & -k
     return sorted(kept, key=lambda d: (d.start, d.end, d.label))
 
 
@@ -268,7 +434,7 @@ def scan(flat: bytes) -> list[Detection]:
 
 
 def places(flat: bytes) -> list[tuple[int, str]]:
-    """(word index, label) of each phrase's places."""
+    """(byte, label) of each phrase's places."""
     out = []
     for phrase, label in PHRASES.items():
         if phrase not in flat:
@@ -276,7 +442,7 @@ def places(flat: bytes) -> list[tuple[int, str]]:
         padded = b" " + flat + b" "
         at = padded.find(b" " + phrase + b" ")
         while at >= 0:
-            out.append((flat.count(b" ", 0, at), label))
+            out.append((at, label))
             at = padded.find(b" " + phrase + b" ", at + 1)
     return sorted(out)
 
@@ -296,16 +462,21 @@ def licenses(docs: DataFrame) -> DataFrame:
         flat = b" ".join(words)
         base, found = places(flat), scan(flat)
         own = {label for _, label in base}
+        gaps = np.flatnonzero(np.frombuffer(flat, np.uint8) == 32) if base or found else np.empty(0, np.int64)
+
+        def word(byte: int) -> int:
+            return int(np.searchsorted(gaps, byte))
+
         return {
             "doc_id": doc,
             "n_words": len(words),
             "n_base": len(base),
-            "first_word": base[0][0] if base else None,
-            "last_word": base[-1][0] if base else None,
+            "first_word": word(base[0][0]) if base else None,
+            "last_word": word(base[-1][0]) if base else None,
             "base_labels": ",".join(sorted(own)),
             "labels": ",".join(sorted(own | {d.label for d in found})),
             "score": max([d.confidence for d in found] + [0.9] * bool(base), default=0.0),
-            "detections": [{"label": d.label, "word": flat.count(b" ", 0, d.start), "n": flat.count(b" ", d.start, d.end) + 1} for d in found],
+            "detections": [{"label": d.label, "word": word(d.start), "n": word(d.end) - word(d.start) + 1} for d in found],
         }
 
     fields = pa.schema(
@@ -319,4 +490,4 @@ def licenses(docs: DataFrame) -> DataFrame:
         for b in pieces(batches, "text"):
             yield pa.RecordBatch.from_pylist([one(*x) for x in zip(b.column(0).to_pylist(), utf8(b.column(1)))], fields)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return mapped(docs.select(F.col("doc_id").cast("long"), "text"), run, schema)

@@ -113,6 +113,32 @@ def test_contained_detections_are_suppressed():
     assert licenses.resolved([inner, other, outer]) == [outer, other]
 
 
+def test_resolution_is_that_of_all_pairs():
+    rng = random.Random(8)
+    for n in (0, 1, 5, 40, 200):
+        found = [licenses.Detection(rng.choice("abc"), a := rng.randrange(60), a + rng.randrange(1, 20), rng.randrange(1, 4), 0.5) for _ in range(n)]
+        order = sorted(found, key=lambda d: (-d.priority, d.start - d.end, d.start, d.label))
+        expected = [d for k, d in enumerate(order) if not any(e.start <= d.start and d.end <= e.end for e in order[:k])]
+        assert licenses.resolved(found) == sorted(expected, key=lambda d: (d.start, d.end, d.label))
+
+
+def test_very_many_detections_in_one_text(spark):
+    import time
+
+    df = spark.createDataFrame([(1, "mit license x " * 100_000)], "doc_id long, text string")
+    t = time.time()
+    r = licenses.licenses(df).first()
+    assert (r["n_words"], r["labels"], len(r["detections"]), r["detections"][-1]["word"]) == (300_000, "mit", 100_000, 299_997) and time.time() - t < 60
+
+
+@pytest.mark.parametrize(
+    "text, label",
+    [("GNU General Public License version 2", "gpl-2.0"), ("GNU Lesser General Public License, version 2.1 or later", "lgpl-2.1"), ("the Mozilla Public License v 1.1", "mpl-1.1"), ("under the Universal Permissive License", "upl-1.0"), ("may not be used to train machine learning models", "no-ai-training")],
+)
+def test_long_names_have_their_version(text, label):
+    assert labels_of(text) == [label]
+
+
 # --- quality rules ----------------------------------------------------------------------------------------------------
 
 
