@@ -11,16 +11,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import pieces, utf8
+from lexforge.llm.common import mapped, pieces, utf8
 from lexforge.llm.licenses import WORDS
 
 #: Least similarity: 1 - (edits in words) / (the item's words).
 SIMILARITY = 0.8
 #: Sampled symbols for a key; keys for each walk; most walks; share of worst-case windows to be found.
 SAMPLED, KEYS, WALKS, RECALL = 3, 12, 16, 0.999
-#: Items, and words of them, that are looked for in one pass over the documents; more take more passes. What tasks hold
-#: of a block is at most about BLOCK * WORDS_HELD bytes.
-BLOCK, WORDS_HELD = 512, 32_768
+#: Items, and words of them, that one index holds; more items take more indexes, which a task asks one after another in the
+#: same pass over the documents. An item has KEYS entries of 12 bytes for each walk and its words, so an index has at
+#: most BLOCK * KEYS * WALKS * 12 + WORDS_HELD * 120 bytes, some 60 MB; with two or three walks, as is usual, 15 MB.
+BLOCK, WORDS_HELD = 16_384, 262_144
+#: Items of one length up to this many are compared with a stretch's words one by one before any walk.
+FEW = 16
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -33,15 +36,24 @@ def edits_allowed(n: int, similarity: float = SIMILARITY) -> int:
 
 
 class Walk:
-    """One CGK embedding: at each step it writes the symbol under the pointer and moves on by a random bit of it."""
+    """One CGK embedding: at each step it writes the symbol under the pointer and moves on by a random bit of it.
 
-    def __init__(self, seed: int, size: int, symbols: int):
+    The bits are those of a hash of walk, step and symbol, so a walk holds no table over symbols.
+    """
+
+    def __init__(self, seed: int, size: int):
         rng = np.random.default_rng(seed * 1_000_003 + size)
         self.steps = 3 * size
-        self.bit = rng.integers(0, 2, (self.steps, symbols + 1), dtype=np.int8)
+        self.salt = rng.integers(1, 1 << 62, self.steps, dtype=np.int64) | 1
         self.picked = rng.integers(0, self.steps, (KEYS, SAMPLED))
         self.mix = rng.integers(1, 1 << 62, SAMPLED, dtype=np.int64) | 1
 
+    def moves(self, t: int, symbol: np.ndarray) -> np.ndarray:
+        """A bit for each symbol at step t."""
+        with np.errstate(over="ignore"):
+            h = (symbol.astype(np.int64) + 3) * self.salt[t]
+            return ((h ^ (h >> 32)) * np.int64(0x1B873593A7F4C15) >> 61) & 1
+
     def embed(self, x: np.ndarray) -> np.ndarray:
         """x: (rows, size) of symbols 0.. -> (rows, steps); past the end the symbol is -1."""
         rows, size = x.shape
@@ -50,7 +62,7 @@ class Walk:
         for t in range(self.steps):
             now = padded[row, at]
             out[:, t] = now
-            at = np.minimum(at + self.bit[t, now], size)
+            at = np.minimum(at + self.moves(t, now), size)
         return out
 
     def keys(self, x: np.ndarray) -> np.ndarray:
@@ -83,33 +95,46 @@ class Group:
     edits: int
     items: np.ndarray  # (items, size)
     ids: np.ndarray
-    walks: list[Walk]
+    walks: list[Walk]  # none: all items are compared with each possible stretch
     table: list[list[tuple[np.ndarray, np.ndarray]]]  # by walk and key: sorted hashes, items
-    has: np.ndarray  # (items, symbols): whether the item has the word
     any: np.ndarray  # (symbols): whether any of the items has it
     different: int  # fewest different words of an item
     mix: np.ndarray  # weights of a stretch's hash, by which equal stretches are looked at once
 
 
 def group_of(size: int, items: np.ndarray, ids: np.ndarray, symbols: int) -> Group:
-    """Walks are added until RECALL of windows with the most edits allowed would be found, going by trials on the items."""
+    """Walks are added until RECALL of windows with the most edits allowed would be found, going by trials on the items.
+
+    If WALKS of them do not suffice, there are none and every item is compared exactly.
+    """
     k, rng = edits_allowed(size), np.random.default_rng(size)
     trials = 400
     which = rng.integers(0, len(items), trials)
     windows = np.stack([edited(items[i], k, rng) for i in which])
     found, walks, table = np.zeros(trials, bool), [], []
     for seed in range(WALKS):
-        walk = Walk(seed, size, symbols)
+        walk = Walk(seed, size)
         keys = walk.keys(items)
         walks.append(walk)
-        order = np.argsort(keys, axis=0, kind="stable")
+        order = np.argsort(keys, axis=0, kind="stable").astype(np.int32)
         table.append([(keys[order[:, j], j], order[:, j]) for j in range(KEYS)])
         found |= (walk.keys(windows) == keys[which]).any(axis=1)
         if found.mean() >= RECALL:
             break
-    has = np.zeros((len(items), symbols), bool)
-    has[np.arange(len(items))[:, None], items] = True
-    return Group(size, k, items, ids, walks, table, has, has.any(axis=0), int(has.sum(axis=1).min()), rng.integers(1, 1 << 62, size + k, dtype=np.int64) | 1)
+    else:
+        walks, table = [], []
+    any_ = np.zeros(symbols, bool)
+    any_[items] = True
+    different = min(len(np.unique(x)) for x in items)
+    return Group(size, k, items, ids, walks, table, any_, different, rng.integers(1, 1 << 62, size + k, dtype=np.int64) | 1)
+
+
+def shared(rooms: np.ndarray, items: np.ndarray) -> np.ndarray:
+    """Of each row of rooms, how many of its words the same row of items has."""
+    out = np.zeros(len(rooms), np.int64)
+    for j in range(rooms.shape[1]):
+        out += (items == rooms[:, j : j + 1]).any(axis=1)
+    return out
 
 
 def distances(items: np.ndarray, texts: np.ndarray) -> np.ndarray:
@@ -144,13 +169,22 @@ def index_of(items: list[tuple[int, bytes]]) -> Index:
 
 
 def possible(g: Group, views: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Whether the stretch from at[k] on has as many words of some one item, and as many different ones, as a match needs."""
+    """Whether the stretch from at[k] on has as many words of some one item, and as many different ones, as a match needs.
+
+    With more than FEW items the first is left to the walks, whose cost does not grow with the items.
+    """
     out = np.zeros(len(at), bool)
     for a in range(0, len(at), 20_000):
         room = views[at[a : a + 20_000]]
         one = np.zeros(len(room), bool)
-        for has in g.has:
-            one |= has[room[:, : g.size]].sum(axis=1) >= g.size - g.edits
+        if len(g.items) > FEW:
+            one[:] = True
+        else:
+            has = np.zeros(len(g.any), bool)
+            for item in g.items:
+                has[item] = True
+                one |= has[room[:, : g.size]].sum(axis=1) >= g.size - g.edits
+                has[item] = False
         room = np.sort(room[one], axis=1)
         one[one] = (room[:, 1:] != room[:, :-1]).sum(axis=1) + 1 >= g.different - g.edits
         out[a : a + 20_000] = one
@@ -169,11 +203,11 @@ def verified(g: Group, views: np.ndarray, at: np.ndarray) -> Iterator[tuple[int,
                 n = high - low
                 row = np.repeat(np.arange(len(windows)), n)
                 pairs.append(row * len(g.ids) + items[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)])
-        pairs = np.unique(np.concatenate(pairs))
+        pairs = np.unique(np.concatenate(pairs)) if g.walks else range(len(windows) * len(g.ids))
         for c in range(0, len(pairs), 4096):
-            row, item = np.divmod(pairs[c : c + 4096], len(g.ids))
+            row, item = np.divmod(np.asarray(pairs[c : c + 4096]), len(g.ids))
             room = views[at[a + row]]
-            near = g.has[item[:, None], room].sum(axis=1) >= g.size - g.edits
+            near = shared(room, g.items[item]) >= g.size - g.edits
             row, item, room = row[near], item[near], room[near]
             held = np.zeros(len(row), np.int64)  # of the item's words, how many the stretch has at all
             for k in range(g.size):
@@ -220,19 +254,25 @@ def matches(index: Index, texts: list[bytes]) -> list[tuple[int, int, int, int]]
     return [(doc, item, start, dist) for (doc, item), (dist, start) in sorted(best.items())]
 
 
-def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
+def indexes(benchmark: DataFrame) -> Iterator[Index]:
+    """Indexes of BLOCK items or WORDS_HELD words at most, in the order of item_id."""
     now: list[tuple[int, bytes]] = []
     held = 0
     rows = benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long"), F.encode("text", "UTF-8")).orderBy("item_id")
     for item, text in rows.toLocalIterator():
         n = len(words_of(bytes(text)))
         if now and (len(now) == BLOCK or held + n > WORDS_HELD):
-            yield now
+            yield index_of(now)
             now, held = [], 0
         now.append((item, bytes(text)))
         held += n
     if now:
-        yield now
+        yield index_of(now)
+
+
+def shared_indexes(docs: DataFrame, benchmark: DataFrame) -> list:
+    """The benchmark's indexes, each a broadcast of bounded size of its own."""
+    return [docs.sparkSession.sparkContext.broadcast(x) for x in indexes(benchmark)]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -241,42 +281,38 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     A row for each document row and item of which some stretch of the document is within 20 % of the item's words in
     edits (words replaced, put in or left out); the best stretch, the first of equals. Words are lower-case runs of
     letters and digits. Windows of each item's length that hold too few of the benchmark's words cannot match and are
-    passed over, by an exact count; the others are embedded by random walks, keyed by sampled symbols and, where a key meets an item's,
-    compared exactly. The benchmark is a query set of fixed size that all tasks hold, BLOCK items at a time. Null and
-    wordless texts and items never match; repeated rows match each; items with the same id are taken as one; an empty table gives no rows.
+    passed over, by an exact count; the others are embedded by random walks, keyed by sampled symbols and, where a key
+    meets an item's, compared exactly. The benchmark is a query set that all tasks hold as indexes of bounded size; the
+    documents are read once, however many there are. Null and wordless texts and items never match; repeated rows match
+    each; items with the same id are taken as one; an empty table gives no rows.
     """
     schema = "doc_id long, item_id long, start_word long, edits long, similarity double"
-    spark, out = docs.sparkSession, None
-    slim = docs.select(F.col("doc_id").cast("long"), "text")
-    for items in blocks(benchmark):
-        sizes = {i: len(words_of(t)) for i, t in items}
-        shared = spark.sparkContext.broadcast((index_of(items), sizes))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index, sizes = shared.value
-            for b in pieces(batches, "text", 2 << 20):
-                doc = b.column(0).to_pylist()
-                rows = [(doc[k], item, start, edits, 1 - edits / sizes[item]) for k, item, start, edits in matches(index, utf8(b.column(1)))]
-                if rows:
-                    types = [pa.int64()] * 4 + [pa.float64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["doc_id", "item_id", "start_word", "edits", "similarity"])
-
-        found = slim.mapInArrow(run, schema)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], schema)
+    held = shared_indexes(docs, benchmark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "text", 2 << 20):
+            doc, texts, best = b.column(0).to_pylist(), utf8(b.column(1)), {}
+            for x in held:
+                sizes = {int(i): g.size for g in x.value.groups for i in g.ids}
+                for k, item, start, edits in matches(x.value, texts):
+                    now = (edits, start, sizes[item])
+                    best[k, item] = min(best.get((k, item), now), now)
+            rows = [(doc[k], item, start, edits, 1 - edits / size) for (k, item), (edits, start, size) in sorted(best.items())]
+            if rows:
+                types = [pa.int64()] * 4 + [pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["doc_id", "item_id", "start_word", "edits", "similarity"])
+
+    return mapped(docs.select(F.col("doc_id").cast("long"), "text"), run, schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a leak, with the columns of docs. Texts stay where they are: each task drops its own."""
-    columns = docs.columns
-    at = columns.index("text")
-    for items in blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index_of(items))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in pieces(batches, "text", 2 << 20):
-                bad = {k for k, *_ in matches(shared.value, utf8(b.column(at)))}
-                yield b.filter(pa.array([k not in bad for k in range(b.num_rows)]))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    at, held = docs.columns.index("text"), shared_indexes(docs, benchmark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "text", 2 << 20):
+            texts = utf8(b.column(at))
+            bad = {k for x in held for k, *_ in matches(x.value, texts)}
+            yield b.filter(pa.array([k not in bad for k in range(b.num_rows)]))
+
+    return mapped(docs, run, docs.schema)

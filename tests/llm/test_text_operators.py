@@ -433,6 +433,31 @@ def test_blocks_of_items_give_the_same(leaked, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, benchmark).collect()} == whole
 
 
+def test_without_walks_every_item_is_compared_and_nothing_is_missed(leaked, monkeypatch):
+    docs, benchmark, texts, items, _ = leaked
+    monkeypatch.setattr(decontaminate, "WALKS", 0)
+    index = decontaminate.index_of([(k, (x or "").encode()) for k, x in items])
+    assert all(not g.walks for g in index.groups)
+    words = [decontaminate.words_of((t or "").encode()) for _, t in texts]
+    for few in (decontaminate.FEW, 0):
+        monkeypatch.setattr(decontaminate, "FEW", few)
+        got = {(texts[k][0], item) for k, item, *_ in decontaminate.matches(index, [(t or "").encode() for _, t in texts])}
+        own = {k: w for k, x in items if (w := decontaminate.words_of((x or "").encode()))}
+        assert got == {(i, k) for (i, _), w in zip(texts, words) for k, o in own.items() if plain.edits(o, w) <= decontaminate.edits_allowed(len(o))}
+
+
+def test_an_index_of_many_items_is_small_and_finds_them():
+    import pickle
+
+    rng = random.Random(3)
+    items = [(k, prose(rng, rng.randrange(6, 30)).encode()) for k in range(10_000)]
+    index = decontaminate.index_of(items)
+    assert len(pickle.dumps(index)) < 40 << 20
+    asked = [items[k] for k in range(0, 10_000, 250)]
+    found = {(k, item) for k, item, _, dist in decontaminate.matches(index, [b"some words " + x + b" and more" for _, x in asked]) if dist == 0}
+    assert {(k, i) for k, (i, _) in enumerate(asked)} <= found
+
+
 def test_an_empty_benchmark_removes_nothing(leaked):
     docs, benchmark, texts, *_ = leaked
     assert decontaminate.leaks(docs, benchmark.limit(0)).count() == 0
