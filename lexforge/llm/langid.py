@@ -7,17 +7,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import fold, most_frequent, pieces, utf8
+from lexforge.llm.common import cut, fold, mapped, pieces, utf8
 
 #: Longest context in bytes.
 ORDER = 3
 #: Training documents of each language, drawn by a hash; the bound of the sample the classifier is fitted on.
 DOCUMENTS = 4_000
-#: Counted (context, byte) pairs that go to the driver; symbols; bytes of the table of code lengths.
-PAIRS, SYMBOLS, TABLE = 1_500_000, 128, 64 << 20
+#: Counted (context, byte) pairs that go to the driver, shared evenly by the languages but LEAST for each; bytes of the
+#: tables of code lengths for contexts of two and three bytes. Contexts of one byte have tables whatever they take.
+PAIRS, LEAST, TABLE = 1_500_000, 20_000, 64 << 20
 NONE = "und"
 
 
@@ -40,7 +41,7 @@ def counts(docs: DataFrame) -> DataFrame:
                 gram, n = np.unique(gram[x[3:] > 0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram), pa.array(n)], ["lang", "gram", "n"])
 
-    return docs.select("text", "lang").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return mapped(docs.select("text", "lang"), run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -52,6 +53,7 @@ class Model:
     n: int
     state: np.ndarray
     bits: np.ndarray
+    usual: np.ndarray  # of each language, bits that a byte of its own training texts costs
 
 
 def model_of(rows: list[tuple[str, int, int]]) -> Model | None:
@@ -69,7 +71,7 @@ def model_of(rows: list[tuple[str, int, int]]) -> Model | None:
     gram = np.fromiter((r[1] for r in rows), np.int64, len(rows))
     times = np.fromiter((r[2] for r in rows), np.float64, len(rows))
     seen = np.bincount(gram & 255, times, 256)
-    order = [int(b) for b in np.argsort(-seen, kind="stable") if seen[b] and b][: SYMBOLS - 2]
+    order = [int(b) for b in np.argsort(-seen, kind="stable") if seen[b] and b]  # UTF-8 has 243 different bytes
     table = np.ones(256, np.uint8)
     table[0] = 0
     table[order] = np.arange(2, len(order) + 2)
@@ -77,16 +79,19 @@ def model_of(rows: list[tuple[str, int, int]]) -> Model | None:
     s = [table[(gram >> shift) & 255].astype(np.int64) for shift in (24, 16, 8, 0)]
     c3, c2, c1 = (s[0] * n + s[1]) * n + s[2], s[1] * n + s[2], s[2]
 
-    own, total = np.unique(c3, return_inverse=True)
-    total = np.bincount(total, times)
-    most = max(1000, TABLE // (4 * n * len(langs)))
-    own = np.sort(own[np.argsort(-total, kind="stable")[:most]])
-    two = np.unique(c2)
+    def most_used(context: np.ndarray, most: int) -> np.ndarray:
+        """The contexts that have tables, sorted: those that occur most."""
+        each, total = np.unique(context, return_inverse=True)
+        return np.sort(each[np.argsort(-np.bincount(total, times), kind="stable")[:most]])
+
+    most = TABLE // (4 * n * len(langs))
+    two = most_used(c2, most)
+    own = most_used(c3, max(0, most - len(two)))
     k3, k2 = len(own), len(two)
     rows_n = k3 + k2 + n + 1
     context = [  # of each row, by order; -1 where the row has no context of that order
         np.concatenate((own, np.full(k2 + n + 1, -1))),
-        np.concatenate((own % (n * n), two, np.full(n + 1, -1))),
+        np.concatenate((own % (n * n), two, np.full(n + 1, -1))),  # a three-byte context goes on to its two last bytes
         np.concatenate((own % n, two % n, np.arange(n), [-1])),
     ]
     state = np.full(n**3, rows_n - 1, np.int32)
@@ -120,11 +125,15 @@ def model_of(rows: list[tuple[str, int, int]]) -> Model | None:
         p += np.where(out, 0, mass / np.maximum(rest, 1))
         bits[:, :, k] = -np.log2(np.maximum(p, 1e-12))
     bits[:, 1, :] += np.log2(max(1, 256 - len(order)))
-    return Model(langs, table.tobytes(), n, state, bits.reshape(rows_n * n, len(langs)))
+    bits = bits.reshape(rows_n * n, len(langs))
+    row = state[c3].astype(np.int64) * n + s[3]
+    usual = np.array([times[m] @ bits[row[m], k] / max(1.0, times[m].sum()) for k in range(len(langs)) for m in [lang == k]])
+    return Model(langs, table.tobytes(), n, state, bits, usual)
 
 
-def code_lengths(model: Model, texts: list[bytes], window: int = 1 << 19) -> np.ndarray:
-    """(texts, languages): bits of each whole text."""
+def code_lengths(model: Model, texts: list[bytes], window: int | None = None) -> np.ndarray:
+    """(texts, languages): bits of each whole text, `window` bytes at a time: by default 8 MB of them for all languages."""
+    window = window or max(1024, (1 << 21) // len(model.langs))
     out = np.zeros((len(texts), len(model.langs)))
     flat = b"".join([b"\0\0\0" + x for x in texts])
     starts = np.cumsum([0] + [len(x) + 3 for x in texts])[:-1]
@@ -145,24 +154,39 @@ def code_lengths(model: Model, texts: list[bytes], window: int = 1 << 19) -> np.
 def fit(docs: DataFrame, id_col: str = "doc_id", most: int = DOCUMENTS) -> Model | None:
     """Learns from text and lang of docs outside fold 1 of 3, from about `most` documents of each language at most."""
     train = docs.filter(f"text IS NOT NULL AND lang IS NOT NULL AND lang <> '{NONE}'").filter(fold(id_col, 3) != 1)
-    sizes = {r["lang"]: r["count"] for r in train.groupBy("lang").count().orderBy(F.desc("count")).limit(1000).collect()}
-    if not sizes:
-        return None
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, most / n))])[F.col("lang")]
+    sizes = train.groupBy("lang").agg(F.count("*").alias("n"))
+    share = sizes.select(F.col("lang").alias("__lang"), (F.lit(float(most)) / F.col("n")).alias("__share"))
     u = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit("lang")), 11) / float(1 << 53)
-    rows = most_frequent(counts(train.filter(u < share)), "n", PAIRS).collect()
+    drawn = train.join(F.broadcast(share), F.col("lang") == F.col("__lang")).filter(u < F.col("__share"))  # a row for each language
+    each = cut(counts(drawn))
+    rows = most_of_each(each).collect()
     return model_of(sorted((r["lang"], r["gram"], r["n"]) for r in rows))
 
 
+def most_of_each(each: DataFrame, most: int | None = None) -> DataFrame:
+    """each (lang, gram, n) -> of every language its grams of the highest counts, about as many as its even share of PAIRS allows
+    and LEAST at any rate; what a language has is independent of how much others have. Of the count that is reached last,
+    grams are taken by a hash."""
+    langs = each.select("lang").distinct().count()
+    most = most or max(LEAST, PAIRS // max(1, langs))
+    levels = each.groupBy("lang", "n").agg(F.count("*").alias("grams"))
+    before = F.sum("grams").over(Window.partitionBy("lang").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1))  # a row for each count
+    open_ = levels.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < most)
+    last = open_.groupBy("lang").agg(F.min_by(F.struct("n", ((most - F.col("before")) / F.col("grams")).alias("share")), "n").alias("last"))
+    u = F.shiftrightunsigned(F.xxhash64("lang", "gram"), 11) / float(1 << 53)
+    return each.join(F.broadcast(last), "lang").filter((F.col("n") > F.col("last.n")) | ((F.col("n") == F.col("last.n")) & (u < F.col("last.share")))).drop("last")
+
+
 def has_letter(text: str) -> bool:
     return any(c.isalpha() for c in text[:64]) or any(c.isalpha() for c in text)
 
 
 def predicted(docs: DataFrame, model: Model | None, keep: list[str], prefix: str = "") -> DataFrame:
-    """The columns `keep` of docs, with lang_pred, score and bits_per_byte (of the language predicted)."""
+    """The columns `keep` of docs, with lang_pred, score, bits_per_byte (of the language predicted) and cost: these bits over
+    what is usual in that language."""
     schema = docs.select(*keep).schema
-    names = [prefix + x for x in ("lang_pred", "score", "bits_per_byte")]
-    for x, kind in zip(names, ("string", "double", "double")):
+    names = [prefix + x for x in ("lang_pred", "score", "bits_per_byte", "cost")]
+    for x, kind in zip(names, ("string", "double", "double", "double")):
         schema = schema.add(x, kind)
     source = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
     at = source.columns.index("text")
@@ -172,7 +196,7 @@ def predicted(docs: DataFrame, model: Model | None, keep: list[str], prefix: str
         m = shared.value
         for b in pieces(batches, "text", 2 << 20):
             texts = [lowered(x) for x in utf8(b.column(at))]
-            lang, score, each = [NONE] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
+            lang, score, each, cost = [NONE] * len(texts), *([0.0] * len(texts) for _ in range(3))
             if m is not None:
                 bits = code_lengths(m, texts)
                 best = bits.argmin(axis=1)
@@ -180,13 +204,14 @@ def predicted(docs: DataFrame, model: Model | None, keep: list[str], prefix: str
                 for k, text in enumerate(texts):
                     if has_letter(text.decode()):
                         lang[k], score[k], each[k] = m.langs[best[k]], float(p[k]), float(bits[k, best[k]]) / len(text)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(lang), pa.array(score), pa.array(each)], [*keep, *names])
+                        cost[k] = each[k] / max(float(m.usual[best[k]]), 0.01)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *map(pa.array, (lang, score, each, cost))], [*keep, *names])
 
-    return source.mapInArrow(run, schema)
+    return mapped(source, run, schema)
 
 
 def languages(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, lang, ...) -> (doc_id, held_out, lang_pred, score, bits_per_byte), a row for each row.
+    """docs (doc_id, text, lang, ...) -> (doc_id, held_out, lang_pred, score, bits_per_byte, cost), a row for each row.
 
     score is the posterior of the language predicted, all languages being equally likely before. Null texts and texts
     without a letter are `und` with score 0, as is every text if nothing can be learned; repeated rows are predicted
@@ -196,7 +221,12 @@ def languages(docs: DataFrame) -> DataFrame:
     return predicted(slim, fit(slim), ["doc_id", "held_out"])
 
 
-def recognised(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The documents whose language is recognised with a posterior of `least` or more, with the columns of docs."""
+def recognised(docs: DataFrame, least: float = 0.5, dearest: float = 2.5) -> DataFrame:
+    """The documents whose language is recognised with a posterior of `least` or more, with the columns of docs.
+
+    The posterior only weighs the learned languages against each other; a text in none of them, or in no language, shows by
+    a byte costing over `dearest` times what is usual in the language that fits it best.
+    """
     p = "__lang_"
-    return predicted(docs, fit(docs), docs.columns, p).filter((F.col(f"{p}lang_pred") != NONE) & (F.col(f"{p}score") >= least)).select(*docs.columns)
+    kept = predicted(docs, fit(docs), docs.columns, p).filter((F.col(f"{p}lang_pred") != NONE) & (F.col(f"{p}score") >= least) & (F.col(f"{p}cost") <= dearest))
+    return kept.select(*docs.columns)

@@ -210,6 +210,29 @@ def test_nothing_to_learn_from(docs):
     assert {r["lang_pred"] for r in got} == {"und"}
 
 
+def test_texts_in_no_learned_language_are_not_recognised(languages, spark):
+    odd = ["Съешь же ещё этих мягких французских булок да выпей чаю", "qzxkvj wvqpx jjkzqx xvzqk qqwxz kxjvz pzqxj", "東京都で雨が降っています今日は"]
+    df = languages.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(1000 + k, x * 3, None) for k, x in enumerate(odd)], "doc_id long, text string, lang string"))
+    kept = {r["doc_id"] for r in langid.recognised(df).collect()}
+    assert not kept & {1000, 1001, 1002} and len(kept) >= 236
+
+
+def test_many_languages_and_scripts_keep_contexts_of_their_own(spark, monkeypatch):
+    """Each language has letters of its own; the rare ones have two documents to learn from, the common one hundreds."""
+    monkeypatch.setattr(langid, "PAIRS", 1000)
+    monkeypatch.setattr(langid, "LEAST", 400)
+    monkeypatch.setattr(langid, "TABLE", 32 << 20)
+    rng, rows = random.Random(2), []
+    letters = [[chr(a + k) for k in range(5)] for a in range(0x4E00, 0x4E00 + 8 * 150, 8)]  # no upper case
+    for n, own in enumerate(letters):
+        for _ in range(400 if n == 0 else 12):
+            rows.append((len(rows), " ".join("".join(rng.choice(own) for _ in range(5)) for _ in range(8)), f"l{n:03d}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = df.join(langid.languages(df), "doc_id").filter("held_out").collect()
+    assert len({r["lang_pred"] for r in got}) > 140
+    assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.97 * len(got)
+
+
 def plain_ppm(texts, text, order=3):
     """Code length of the text by method C with exclusion, from contexts of the texts, over their bytes and one symbol for all others."""
     from collections import Counter, defaultdict
