@@ -200,11 +200,32 @@ def test_shard_sizes_are_near_equal_with_a_hot_text(spark):
     assert again == {r["doc_id"]: r["shard"] for r in out}
 
 
+def test_placement_is_the_plain_one(docs, rows):
+    """All rows on one line of bytes by (text hash, doc_id), cut into equal shards at the rows' middles."""
+    got = sharding.shard(docs, 7).collect()
+    line = [r.asDict() for r in sharding.records(docs).collect()]
+    line.sort(key=lambda r: (r["key"], r["tie"]))
+    total, at, expected, seen = sum(r["size"] for r in line), 0, Counter(), Counter()
+    for r in line:
+        shard = min(6, int((at + r["size"] / 2) * 7 / total))
+        expected[r["doc_id"], r["size"], r["text_crc32"], shard, seen[shard]] += 1
+        seen[shard] += 1
+        at += r["size"]
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in got) == expected
+
+
+def test_rows_of_one_text_without_ids_are_parted(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "ROWS", 100)
+    df = spark.createDataFrame([(None, "same text")] * 3000 + [(k, f"text {k}") for k in range(1000)], "doc_id long, text string").repartition(4)
+    got = Counter(r["shard"] for r in sharding.shard(df, 8).collect())
+    assert max(got.values()) - min(got.values()) < 0.1 * 4000 / 8
+
+
 def test_ranges_follow_the_keys():
     rng = np.random.default_rng(1)
     key, doc = rng.integers(0, 20, 500), rng.integers(0, 50, 500)
     splitters = sorted({(int(k), int(d)) for k, d in zip(rng.integers(0, 20, 30), rng.integers(0, 50, 30))})
-    assert sharding.ranges_of(key, doc, splitters).tolist() == [sum(s <= (k, d) for s in splitters) for k, d in zip(key.tolist(), doc.tolist())]
+    assert sharding.ranges_of(key, doc, *np.array(splitters).T).tolist() == [sum(s <= (k, d) for s in splitters) for k, d in zip(key.tolist(), doc.tolist())]
 
 
 # --- archives ---------------------------------------------------------------------------------------------------------

@@ -1,6 +1,7 @@
 """Licenses, quality rules, language, quality, language-model scores and decontamination."""
 
 import math
+from collections import Counter
 import random
 import re
 import zlib
@@ -327,6 +328,57 @@ def test_descent_separates():
     assert all(y[i] * ((w[r] * ratio[r]).sum() / np.linalg.norm(ratio[r]) + w[-1]) > 0.9 for i, r in enumerate(rows))
 
 
+def test_counts_and_ratios_are_the_plain_ones(marked):
+    docs, labels = marked
+    quality = {r["doc_id"]: r["quality"] for r in labels.filter("quality IN (0, 1)").collect()}
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect() if r["doc_id"] in quality and plain.fold(r["doc_id"], 5)}
+    n = {0: Counter(), 1: Counter()}
+    for i, text in texts.items():
+        n[quality[i]].update(nbsvm.slots_of(text).tolist())
+    total = {y: sum(n[y].values()) + nbsvm.SLOTS for y in n}
+    for bound in (nbsvm.BROADCAST_LABELS, 0):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(nbsvm, "BROADCAST_LABELS", bound)
+            model = nbsvm.fit(docs, labels)
+        for slot in {*n[0], *n[1], 17}:
+            assert model.ratio[slot] == pytest.approx(math.log((n[1][slot] + 1) / total[1]) - math.log((n[0][slot] + 1) / total[0]))
+
+
+def test_descent_reaches_the_least_objective():
+    """The dual of the hinge loss by projected gradients on the whole kernel, against coordinate descent."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    ratio = rng.normal(size=30)
+    rows = [np.sort(rng.choice(30, 8, replace=False)) for _ in range(40)]
+    y = np.where(rng.random(40) < 0.4, 1, -1)
+    x = np.zeros((40, 31))
+    for i, r in enumerate(rows):
+        x[i, r] = ratio[r] / np.linalg.norm(ratio[r])
+    x[:, 30] = 1
+    most = np.where(y > 0, 40 / (2 * (y > 0).sum()), 40 / (2 * (y < 0).sum()))
+    w = nbsvm.descend(rows, y, ratio, epochs=400)
+
+    def objective(w):
+        return 0.5 * w @ w + (most * np.maximum(0, 1 - y * (x @ w))).sum()
+
+    alpha, q = np.zeros(40), (x * y[:, None]) @ (x * y[:, None]).T
+    step = 1 / np.linalg.eigvalsh(q)[-1]
+    for _ in range(20_000):
+        alpha = np.clip(alpha - step * (q @ alpha - 1), 0, most)
+    best = (alpha * y) @ x
+    assert objective(w) == pytest.approx(objective(best), rel=1e-3)
+
+
+def test_a_sample_of_long_texts_is_thinned_by_its_hash():
+    rng = random.Random(1)
+    rows = [(k, k % 2, b"x" * rng.choice([4, 4000]), rng.random()) for k in range(500)]
+    kept = nbsvm.bounded(rows, 200_000)
+    below = max(r[3] for r in kept)
+    assert 0 < sum(len(r[2]) for r in kept) <= 200_000 and kept == sorted(r for r in rows if r[3] <= below)
+    assert nbsvm.bounded(rows, 1 << 30) == sorted(rows)
+
+
 # --- language-model scores ---------------------------------------------------------------------------------------------
 
 
