@@ -3,28 +3,33 @@
 from __future__ import annotations
 
 import bisect
+import gc
 import json
 import os
 import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import cut, partitions, pieces, utf8
+from lexforge.llm.common import cut, mapped, partitions, pieces, utf8
 
 LENGTH, END = 2048, 1
-#: Distinct chunks between white space whose ids a worker keeps; later ones are encoded each time.
-CACHE = 1_000_000
+#: Distinct chunks between white space whose ids a worker keeps, and as many units; beyond, the later half goes. Words
+#: and marks are short, so these are some 150 MB.
+CACHE = 400_000
 #: How the word-end vocabulary splits text, fixed by its file.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Chunks of these characters alone are lower-cased and split alike by Python and by the tokenizer, and NFC keeps them.
-SIMPLE = re.compile("[!-~\u00c0-\u012f\u0131-\u024f]+")
+#: Chunks (and the spaces between them) of these characters alone are lower-cased and split alike by Python and by the tokenizer, and NFC keeps them.
+SIMPLE = re.compile("[ -~\u00c0-\u012f\u0131-\u024f]+")
 UNIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\s\w]|_)+| ")
 
 
@@ -36,6 +41,11 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + shifted.index(b)) for b in other}
 
 
+def trimmed(known: dict) -> dict:
+    """known, or its first half if it is over CACHE: what came first is what comes often."""
+    return known if len(known) <= CACHE else dict(islice(known.items(), CACHE // 2))
+
+
 class Encoder:
     """Ids of texts as little-endian 32-bit words.
 
@@ -45,55 +55,69 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.units = Tokenizer.from_file(path), {b"": b""}, {" ": b""}
         with open(path, encoding="utf-8") as f:
             how = json.load(f)
         steps = [x.get("type") for x in (how.get("normalizer") or {}).get("normalizers", [])]
         split = [(x.get("pattern") or {}).get("Regex") for x in (how.get("pre_tokenizer") or {}).get("pretokenizers", [])]
         self.by_chunk = steps == ["NFC", "Replace", "Lowercase"] and split == [SPLIT, None] and how["model"].get("end_of_word_suffix") == "</w>"
         if self.by_chunk:
-            self.merges = Tokenizer(self.tokenizer.model)
-            self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-            vocabulary = self.tokenizer.get_vocab()
-            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
-            self.last[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
-            self.letters = byte_letters()
+            self.merges, self.letters = self.tokenizer.model.tokenize, byte_letters()
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def simple(self, chunks: list[str]) -> list[bytes]:
-        units = UNIT.findall(" ".join(chunks).lower())
-        gap = np.flatnonzero(np.fromiter((x == " " for x in units), bool, len(units)))
-        upto = np.append(gap, len(units)) - np.arange(len(chunks))  # units up to each chunk's end
-        plain = " ".join([x for x in units if x != " "]).encode().decode("latin1").translate(self.letters)
-        ids = np.array(self.merges.encode_batch_fast([plain], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(self.last[ids]) + 1
-        if len(ends) != upto[-1]:
-            return self.whole(chunks)
-        at, flat = [0, *(4 * ends[upto - 1]).tolist()], ids.tobytes()
-        return [flat[a:b] for a, b in zip(at, at[1:])]
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
+    def simple(self, chunks: str) -> list[bytes]:
+        """Ids of chunks of SIMPLE characters, one space between: those of their units, which are kept too, as a new chunk
+        often is known words and marks put together."""
+        units = UNIT.findall(chunks.lower())
+        new = list(set(units).difference(self.units))
+        for unit, plain in zip(new, " ".join(new).encode().decode("latin1").translate(self.letters).split(" ")):
+            self.units[unit] = array("I", [t.id for t in self.merges(plain)]).tobytes()
+        each = list(map(self.units.__getitem__, units))
+        at = np.cumsum(np.fromiter(map(len, each), np.int64, len(each)))[[k for k, x in enumerate(each) if not x]].tolist()
+        self.units, ids = trimmed(self.units), b"".join(each)
+        return [ids[a:b] for a, b in zip([0, *at], [*at, len(ids)])]
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, bytes]:
+        """The texts' ids one after another, and where in these bytes each text begins, and the last ends. Nulls are empty.
+
+        Splitting, finding a batch's distinct chunks and laying their ids out again are Arrow's; only distinct chunks are
+        looked up here.
+        """
+        texts = pc.fill_null(texts.cast(pa.string()), "")
         if not self.by_chunk:
-            return self.whole([x.decode() for x in texts])
-        chunks, known = [x.split() for x in texts], self.known
-        new = list({c for x in chunks for c in x if c not in known})
-        if not new:
-            return [b"".join(map(known.__getitem__, x)) for x in chunks]
-        named = [c.decode() for c in new]
-        easy = np.fromiter((SIMPLE.fullmatch(x) is not None and "<|" not in x for x in named), bool, len(new)).tolist()
-        ids: dict[bytes, bytes] = {}
-        for kind, encode in ((True, self.simple), (False, self.whole)):
-            part = [k for k, e in enumerate(easy) if e is kind]
-            for k in range(0, len(part), 8192):
-                ids.update(zip([new[i] for i in part[k : k + 8192]], encode([named[i] for i in part[k : k + 8192]])))
-        if len(known) + len(ids) <= CACHE:
-            known.update(ids)
-            return [b"".join(map(known.__getitem__, x)) for x in chunks]
-        return [b"".join([known[c] if c in known else ids[c] for c in x]) for x in chunks]
+            ids = self.whole(texts.to_pylist())
+            return np.cumsum([0, *map(len, ids)]), b"".join(ids)
+        split = pc.ascii_split_whitespace(texts)
+        coded = pc.dictionary_encode(split.flatten())
+        chunks = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.known.get, chunks))
+        new = [k for k, x in enumerate(ids) if x is None]
+        self.learn([chunks[k] for k in new])
+        for k in new:
+            ids[k] = self.known[chunks[k]]
+        each = pa.array(ids, pa.binary()).take(coded.indices)
+        self.known = trimmed(self.known)
+        ends = np.frombuffer(each.buffers()[1], np.int32, len(each) + 1) if len(each) else np.zeros(1, np.int32)
+        at = ends[np.asarray(split.offsets) - split.offsets[0].as_py()].astype(np.int64)
+        return at, (each.buffers()[2] or b"") if len(each) else b""
+
+    def learn(self, new: list[bytes]) -> None:
+        for k in range(0, len(new), 8192):
+            part = new[k : k + 8192]
+            flat = b" ".join(part).decode()
+            if SIMPLE.fullmatch(flat) and "<|" not in flat:
+                self.known.update(zip(part, self.simple(flat)))
+                continue
+            named = [c.decode() for c in part]
+            easy = [SIMPLE.fullmatch(x) is not None and "<|" not in x for x in named]
+            if plain := [x for x, e in zip(named, easy) if e]:
+                self.known.update(zip([x for x, e in zip(part, easy) if e], self.simple(" ".join(plain))))
+            if odd := [x for x, e in zip(named, easy) if not e]:
+                self.known.update(zip([x for x, e in zip(part, easy) if not e], self.whole(odd)))
 
 
 @cache
@@ -109,15 +133,21 @@ def pieces_of(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        for b in pieces(batches, "text", 4 << 20):
-            rows: list[tuple] = []
-            for doc, ids in zip(b.column(0).to_pylist(), encode(utf8(b.column(1)))):
-                ids += end
-                n = len(ids) // 4
-                rows += [(doc, a, min(length, n - a), zlib.crc32(ids[4 * a : 4 * (a + length)]), n) for a in range(0, n, length)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names)
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ", ".join(f"{x} long" for x in names))
+        gc.disable()  # chunks by the hundred thousand, none of them in a cycle
+        try:
+            for b in pieces(batches, "text"):
+                rows: list[tuple] = []
+                at, flat = encode(b.column(1))
+                flat = memoryview(flat)
+                for doc, a, z in zip(b.column(0).to_pylist(), at.tolist(), at[1:].tolist()):
+                    ids = bytes(flat[a:z]) + end
+                    n = len(ids) // 4
+                    rows += [(doc, a, min(length, n - a), zlib.crc32(ids[4 * a : 4 * (a + length)]), n) for a in range(0, n, length)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names)
+        finally:
+            gc.enable()
+
+    return mapped(docs.select(F.col("doc_id").cast("long"), "text"), run, ", ".join(f"{x} long" for x in names))
 
 
 def patterns(histogram: dict[int, int], length: int = LENGTH) -> list[tuple[int, tuple[int, ...]]]:

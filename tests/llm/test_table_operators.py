@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -150,6 +151,11 @@ def test_packs_are_full():
     assert sum(k * n for k, n in histogram.items()) > 0.98 * 2048 * sum(n for n, _ in packs)
 
 
+def encoded(encode, texts):
+    at, flat = encode(pa.array(texts, pa.string()))
+    return [bytes(flat[a:b]) for a, b in zip(at.tolist(), at[1:].tolist())]
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_encoder_is_the_tokenizer(name, rows):
     from tokenizers import Tokenizer
@@ -157,7 +163,7 @@ def test_encoder_is_the_tokenizer(name, rows):
     path = public_tokenizers.path(name)
     tokenizer, encode = Tokenizer.from_file(path), packing.Encoder(path)
     texts = [r[1] or "" for r in rows] + ["don't I'll we've", "á é ́ x", "a b c d\x85e", "x²½ 12345", "İstanbul ΣΑΣ", "<|endoftext|>", "ǅungla", "a​b", "日本語 text", "\x00\x01", "_a__b_ '' 's", "ÀÉÎÕÜ ŸŽ"]
-    assert encode([t.encode() for t in texts]) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert encoded(encode, texts) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
 @FEW
@@ -168,7 +174,18 @@ def test_encoder_on_any_text(texts):
     tokenizer = Tokenizer.from_file(TOKENIZER) if not hasattr(test_encoder_on_any_text, "t") else test_encoder_on_any_text.t
     test_encoder_on_any_text.t = tokenizer
     texts = [t.encode("utf-8", "ignore").decode() for t in texts]
-    assert packing.encoder(TOKENIZER)([t.encode() for t in texts]) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert encoded(packing.encoder(TOKENIZER), texts) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_forgotten_chunks_are_encoded_again(rows, monkeypatch):
+    texts = [r[1] or "" for r in rows]
+    whole = encoded(packing.Encoder(TOKENIZER), texts)
+    monkeypatch.setattr(packing, "CACHE", 50)
+    small = packing.Encoder(TOKENIZER)
+    for a in range(0, len(texts), 7):
+        assert encoded(small, texts[a : a + 7]) == whole[a : a + 7] and len(small.known) <= 50
+    assert encoded(small, [None, "", "  ", texts[0]]) == [b"", b"", b"", whole[0]] and encoded(small, []) == []
+    assert [bytes(small(pa.array(texts[:9]).slice(3, 4))[1])] == [b"".join(whole[3:7])]
 
 
 # --- sharding ---------------------------------------------------------------------------------------------------------
