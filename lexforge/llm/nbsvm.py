@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,13 +12,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import fold, pieces, utf8
+from lexforge.llm.common import cut, fold, mapped, pieces, utf8
 
 #: Slots that n-grams are hashed into.
 SLOTS = 1 << 18
 #: Labelled documents that the hinge-loss model is fitted on, drawn by a hash: the bound of its sample. The log-count
 #: ratios come from all labelled documents of the training folds.
 SAMPLE = 6_000
+#: Bytes of the sample's slots that the driver holds at most; where long texts have more, the sample is halved by its hash.
+SAMPLE_BYTES = 256 << 20
+#: Labels up to this many are broadcast, some 20 bytes each; more meet the texts in a shuffle.
+BROADCAST_LABELS = 1_000_000
 COST, EPOCHS, THRESHOLD = 1.0, 12, 0.3
 #: Words whose hashes a worker keeps.
 CACHE = 300_000
@@ -76,7 +80,7 @@ def counted(labelled: DataFrame) -> DataFrame:
         at = np.flatnonzero(n.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(np.where(at == SLOTS, -1, at)), pa.array(n[1, at]), pa.array(n[0, at])], ["slot", "ones", "zeros"])
 
-    return labelled.select("text", "y").mapInArrow(run, "slot long, ones long, zeros long").groupBy("slot").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
+    return mapped(labelled.select("text", "y"), run, "slot long, ones long, zeros long").groupBy("slot").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
 
 
 def descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: float = COST, epochs: int = EPOCHS) -> np.ndarray:
@@ -130,15 +134,33 @@ def sigmoid_of(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(a), 1e-3), float(b)
 
 
+def bounded(rows: Iterable[tuple[int, int, bytes, float]], most: int) -> list[tuple[int, int, bytes, float]]:
+    """rows (doc_id, y, slots, u), sorted; if the slots have over `most` bytes, those of the lower half of u, and so on: a row
+    stays or goes by its hash, not by its length."""
+    kept, held, below = [], 0, 2.0
+    for r in rows:
+        if r[3] >= below:
+            continue
+        kept.append(r)
+        held += len(r[2])
+        while held > most and len(kept) > 1:
+            below = sorted(x[3] for x in kept)[len(kept) // 2]
+            kept = [x for x in kept if x[3] < below]
+            held = sum(len(x[2]) for x in kept)
+    return sorted(kept)
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model | None:
     """docs (doc_id, text), labels (doc_id, quality) -> a model from the folds other than 0 of 5; None without labels.
 
-    Texts meet labels in a shuffled hash join that builds on the labels. The counts go to the driver as SLOTS numbers for
-    each label, the sample as slots of `most` documents about.
+    Texts meet labels in a join that broadcasts these behind a count, or else shuffles both and builds on the labels. The
+    counts go to the driver as SLOTS numbers for each label, the sample as slots of `most` documents about.
     """
     known = labels.filter("quality IN (0, 1)").filter(fold("doc_id", 5) != 0).groupBy("doc_id").agg(F.max("quality").cast("int").alias("y"))
     texts = docs.select("doc_id", "text").filter(fold("doc_id", 5) != 0)
-    n = {r["slot"]: (r["ones"], r["zeros"]) for r in counted(texts.join(known.hint("shuffle_hash"), "doc_id")).collect()}
+    known = cut(known)
+    side = F.broadcast(known) if known.count() <= BROADCAST_LABELS else known.hint("shuffle_hash")
+    n = {r["slot"]: (r["ones"], r["zeros"]) for r in counted(texts.join(side, "doc_id")).collect()}
     all_ones, all_zeros = n.pop(-1, (0, 0))
     if not all_ones + all_zeros:
         return None
@@ -148,14 +170,15 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model | None:
     zeros[at] += [x for _, x in n.values()]
     ratio = np.log(ones / ones.sum()) - np.log(zeros / zeros.sum())
     u = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit("quality")), 11) / float(1 << 53)
-    drawn = known.filter(u < min(1.0, most / (all_ones + all_zeros)))
+    drawn = known.withColumn("u", u).filter(F.col("u") < min(1.0, most / (all_ones + all_zeros)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([slots_of(x).astype(np.int32).tobytes() for x in utf8(b.column(2))], pa.binary())], ["doc_id", "y", "slots"])
+            slots = [slots_of(x).astype(np.int32).tobytes() for x in utf8(b.column(3))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(slots, pa.binary())], ["doc_id", "y", "u", "slots"])
 
-    sample = texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, slots binary")
-    rows = sorted((r["doc_id"], r["y"], bytes(r["slots"])) for r in sample.toLocalIterator(prefetchPartitions=True))
+    sample = mapped(texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "y", "u", "text"), run, "doc_id long, y int, u double, slots binary")
+    rows = bounded(((r["doc_id"], r["y"], bytes(r["slots"]), r["u"]) for r in sample.toLocalIterator(prefetchPartitions=True)), SAMPLE_BYTES)
     if not rows:
         return None
     x, y = [np.frombuffer(r[2], np.int32).astype(np.int64) for r in rows], np.array([2 * r[1] - 1 for r in rows])
@@ -185,4 +208,4 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     slim = docs.select(F.col("doc_id").cast("long"), (fold("doc_id", 5) == 0).alias("held_out"), "text")
-    return slim.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return mapped(slim, run, "doc_id long, held_out boolean, score double, predicted int")
