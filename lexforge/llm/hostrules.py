@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import cut, pieces, utf8
+from lexforge.llm.common import cut, mapped, pieces, utf8
 
 SYMBOLS, SPACES = b"#*$%&|<>", b" \t\n\r\x0b\x0c"
 #: Rules whose rates are taken by host. A document fails one at the first threshold; on a host that fails the rule,
@@ -70,7 +70,7 @@ def with_stats(docs: DataFrame, keep: list[str], prefix: str = "") -> DataFrame:
             counts = np.array([stats_of(x) for x in utf8(b.column(at))], np.int64).reshape(-1, len(names))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *map(pa.array, counts.T.copy())], [*keep, *names])
 
-    return source.mapInArrow(run, schema)
+    return mapped(source, run, schema)
 
 
 def _expr(rule: str, prefix: str) -> F.Column:
@@ -112,7 +112,7 @@ def host_verdicts(counted: DataFrame, host: str = "source", prefix: str = "") ->
 def judged(counted: DataFrame, verdicts: DataFrame, host: str = "source", prefix: str = "") -> DataFrame:
     """counted with base_failed and kept: hosts' verdicts joined back. A document of a failing host goes only if it shows
     signs of the same failure itself. A null host is a host of its own."""
-    bad = cut(verdicts.filter(F.exists("__failing", lambda x: x)))
+    bad = verdicts.filter(F.exists("__failing", lambda x: x))
     bad = F.broadcast(bad) if bad.count() <= BROADCAST_HOSTS else bad
     hard = [_expr(RULES[r][0], prefix) for r in ("few_words", "repeats")]
     soft = [F.col("__failing")[k] & _expr(soft, prefix) for k, (_, soft) in enumerate(RULES.values())]

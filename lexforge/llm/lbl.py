@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import cut, fold, most_frequent, pieces, utf8
+from lexforge.llm.common import cut, fold, mapped, most_frequent, pieces, utf8
 
 #: Words scored by exact normalisers, the end and the two below included; size of all words' vectors.
 NAMED, WIDTH = 512, 16
@@ -67,7 +67,7 @@ def word_counts(train: DataFrame) -> DataFrame:
         yield out()
         yield pa.RecordBatch.from_arrays([pa.array([END_HASH]), pa.array([ends])], ["h", "n"])
 
-    return train.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 0")
+    return mapped(train.select("text"), run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 0")
 
 
 @dataclass
@@ -395,7 +395,7 @@ def train(texts: DataFrame, vocabulary: Vocabulary) -> tuple[Weights, Tree]:
 
     schema = "part long, tokens double, weights binary, leaves binary"
     names = [x.split()[0] for x in schema.split(", ")]
-    each = texts.select("text").mapInArrow(run, schema)
+    each = mapped(texts.select("text"), run, schema)
     tokens, packed = 0.0, 0.0
     for r in each.groupBy("part").applyInArrow(mean, schema).collect():
         if r["leaves"] is None:
@@ -530,7 +530,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
             )
             uid += len(sizes)
 
-    scored = cut(slim.select("doc_id", "text", "held_out").mapInArrow(run, schema))
+    scored = cut(mapped(slim.select("doc_id", "text", "held_out"), run, schema))
     rare = scored.select("uid", F.explode(F.arrays_zip("tail", "tail_n")).alias("t")).select("uid", F.col("t.tail").alias("h"), F.col("t.tail_n").alias("times"))
     joined = (
         rare.join(counts, "h")  # words never seen in training add nothing
