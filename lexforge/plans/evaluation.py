@@ -29,8 +29,8 @@ def _sources(spark, d):
         T.uuid_of(F.concat(F.lit("v"), F.col("o_orderkey").cast("string"))).alias("value"),
         "o_orderkey",
     )
-    groups = rows.groupBy("source_index").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "key", "value"))).alias("r")).filter(F.size("r") == GROUP)
-    pick = F.conv(F.substring(F.md5(F.concat(F.lit("t"), F.col("source_index").cast("string"))), 1, 1), 16, 10).cast("int") % GROUP
+    groups = rows.groupBy("source_index").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "key", "value"))).alias("r"))  # GROUP orders at most
+    pick = F.conv(F.substring(F.md5(F.concat(F.lit("t"), F.col("source_index").cast("string"))), 1, 1), 16, 10).cast("int") % F.size("r")
     return groups.select(
         "source_index",
         F.get("r", pick)["key"].alias("key"),
@@ -40,6 +40,11 @@ def _sources(spark, d):
 
 
 def _examples(spark, d, sizes=SIZES, name="kv"):
+    """Examples of all groups of orders; the sample's index is the group's."""
+    return retrieval.examples(_sources(spark, d).withColumn("sample_index", F.col("source_index")), sizes, POSITIONS, name)
+
+
+def _sampled_examples(spark, d, sizes=SIZES, name="kv"):
     return retrieval.examples(retrieval.sampled(_sources(spark, d), "source_index", SAMPLES, SEED), sizes, POSITIONS, name)
 
 
@@ -134,11 +139,11 @@ def _shown(rows):
 
 
 def litm_examples(spark, d):
-    return _shown(_examples(spark, d))
+    return _shown(_sampled_examples(spark, d))
 
 
 def litm_cropped(spark, d):
-    return _shown(_examples(spark, d, CROPPED, "crop"))
+    return _shown(_sampled_examples(spark, d, CROPPED, "crop"))
 
 
 def minikv_examples(spark, d):
@@ -277,17 +282,19 @@ def train_val_split(spark, d):
 
 _PREFIX = retrieval.PREFIX.replace("\n", "' || chr(10) || '")
 _SOURCES = f"""r AS (SELECT o_orderkey // {GROUP} AS source_index, o_orderkey, 'k' || o_orderkey AS key, {uuid_sql("'v' || o_orderkey")} AS value FROM orders),
-g AS (SELECT source_index, list({{'key': key, 'value': value}} ORDER BY o_orderkey) AS records, ('0x' || substr(md5('t' || source_index), 1, 1))::INT % {GROUP} + 1 AS pick FROM r GROUP BY source_index HAVING count(*) = {GROUP}),
-s AS (SELECT source_index, records[pick].key AS key, records[pick].value AS value, records, row_number() OVER (ORDER BY md5('{SEED}:' || source_index), source_index) - 1 AS sample_index FROM g QUALIFY sample_index < {SAMPLES})"""
+g AS (SELECT source_index, list({{{{'key': key, 'value': value}}}} ORDER BY o_orderkey) AS records, ('0x' || substr(md5('t' || source_index), 1, 1))::INT % count(*) + 1 AS pick FROM r GROUP BY source_index),
+s AS (SELECT source_index, records[pick].key AS key, records[pick].value AS value, records, {{index}} FROM g{{cut}})"""
+_ALL = _SOURCES.format(index="source_index AS sample_index", cut="")
+_SAMPLED = _SOURCES.format(index=f"row_number() OVER (ORDER BY md5('{SEED}:' || source_index), source_index) - 1 AS sample_index", cut=f" QUALIFY sample_index < {SAMPLES}")
 
 
-def _examples_sql(sizes: list[int], name: str) -> str:
+def _examples_sql(sizes: list[int], name: str, sources: str = _ALL) -> str:
     cells = ", ".join(f"({n}, {p}::DOUBLE)" for n in sizes for p in POSITIONS)
     line = "'Key: ' || x.key || ' | Value: ' || x.value || chr(10)"
     body = lambda r: f"array_to_string(list_transform({r}, lambda x: {line}), '')"
-    return f"""{_SOURCES}, cells(num_keys, position_ratio) AS (VALUES {cells}),
+    return f"""{sources}, cells(num_keys, position_ratio) AS (VALUES {cells}),
 e1 AS (SELECT s.*, num_keys, position_ratio, list_filter(records, lambda x: x.key = s.key) AS own, list_filter(records, lambda x: x.key <> s.key)[1:num_keys - 1] AS rest FROM s, cells),
-e2 AS (SELECT *, greatest(0, least(num_keys - 1, round_even(position_ratio * (num_keys - 1), 0)::INT)) AS target_index FROM e1),
+e2 AS (SELECT *, greatest(0, least(len(rest), round_even(position_ratio * len(rest), 0)::INT)) AS target_index FROM e1),
 e3 AS (SELECT * EXCLUDE (records), list_concat(list_concat(rest[1:target_index], own), rest[target_index + 1:]) AS records FROM e2),
 ex AS (SELECT '{name}' || num_keys || '_pos' || printf('%.2f', position_ratio) || '_sample' || sample_index AS example_id, num_keys::BIGINT AS num_keys, position_ratio, sample_index, source_index, target_index::BIGINT AS target_index, key, value,
   '{_PREFIX}' || {body("records")} || chr(10) || 'Question: What is the value associated with key ' || key || '?' || chr(10) || 'Answer:' AS prompt,
@@ -373,8 +380,8 @@ n5 AS (SELECT *, before || evidence || behind || 'Question: What is the access c
 
 QUERIES: dict[str, Query] = {
     "litm_grid": (litm_grid, f"SELECT n::BIGINT AS num_keys, p AS position_ratio, round_even(p * (n - 1), 0)::BIGINT AS target_index FROM (SELECT unnest([75, 140, 300]) AS n), (SELECT unnest({POSITIONS}::DOUBLE[]) AS p)"),
-    "litm_examples": (litm_examples, f"WITH {_EX} SELECT {_SHOWN} FROM ex"),
-    "litm_cropped": (litm_cropped, f"WITH {_examples_sql(CROPPED, 'crop')} SELECT {_SHOWN} FROM ex"),
+    "litm_examples": (litm_examples, f"WITH {_examples_sql(SIZES, 'kv', _SAMPLED)} SELECT {_SHOWN} FROM ex"),
+    "litm_cropped": (litm_cropped, f"WITH {_examples_sql(CROPPED, 'crop', _SAMPLED)} SELECT {_SHOWN} FROM ex"),
     "minikv_examples": (minikv_examples, f"WITH {_MINI} SELECT * EXCLUDE (prompt), md5(prompt) AS prompt, len({tokens_sql('prompt')})::BIGINT AS actual_prompt_tokens FROM mini"),
     "minikv_reval": (
         minikv_reval,

@@ -62,14 +62,15 @@ def epoch_mix(spark, d):
 
 def token_losses(spark, d):
     """Weights of the vectors as token probabilities."""
-    v = table(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 12), lambda x: F.log(F.least(F.lit(1.0), F.abs(x.cast("double")) + 1e-6))).alias("lp"))
+    v = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.log(F.least(F.lit(1.0), F.abs(x.cast("double")) + 1e-6))).alias("lp"))
     return plain(v.withColumns(training.losses(F.col("lp"))).drop("lp"))
 
 
 def window_lookup(spark, d):
-    """Orders of each customer as a shard's windows; every hundredth index is looked up."""
-    w = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("shard_idx")).agg(F.count("*").alias("n"))
-    return plain(training.locate(w, spark.range(0, 1000, 100).withColumnRenamed("id", "i")))
+    """Orders of each customer as a shard's windows; every tenth index of all of them is looked up."""
+    orders = table(spark, d, "orders")
+    w = orders.groupBy(F.col("o_custkey").alias("shard_idx")).agg(F.count("*").alias("n"))
+    return plain(training.locate(w, spark.range(0, orders.count(), 10).withColumnRenamed("id", "i")))
 
 
 def _listing(spark, d):
@@ -184,11 +185,11 @@ SELECT c_nationkey::BIGINT AS c_nationkey, gold, array_to_string(list_concat(coa
     "epoch_mix": (epoch_mix, "SELECT step, step % 7 AS replay_batch, step % 12 AS retrieval_batch, step // 12 AS epoch FROM (SELECT unnest(range(0, 100)) AS step)"),
     "token_losses": (
         token_losses,
-        "WITH l AS (SELECT vec_id, list_sum(list_transform(embedding[1:12], lambda x: ln(least(1.0::DOUBLE, abs(x::DOUBLE) + 1e-6)))) AS s FROM embeddings) SELECT vec_id, round(s, 6) AS sum_logprob, round(-s / 12, 6) AS mean_nll, round(exp(least(80.0::DOUBLE, -s / 12)), 6) AS ppl FROM l",
+        "WITH l AS (SELECT vec_id, list_sum(list_transform(embedding, lambda x: ln(least(1.0::DOUBLE, abs(x::DOUBLE) + 1e-6)))) AS s, len(embedding) AS n FROM embeddings) SELECT vec_id, round(s, 6) AS sum_logprob, round(-s / n, 6) AS mean_nll, round(exp(least(80.0::DOUBLE, -s / n)), 6) AS ppl FROM l",
     ),
     "window_lookup": (
         window_lookup,
-        "WITH w AS (SELECT o_custkey AS shard_idx, count(*) AS n FROM orders GROUP BY 1), f AS (SELECT *, coalesce(sum(n) OVER (ORDER BY shard_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM w) SELECT i, shard_idx, i - first AS local FROM f, (SELECT unnest(range(0, 1000, 100)) AS i) WHERE i >= first AND i < first + n",
+        "WITH w AS (SELECT o_custkey AS shard_idx, count(*) AS n FROM orders GROUP BY 1), f AS (SELECT *, coalesce(sum(n) OVER (ORDER BY shard_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM w) SELECT i, shard_idx, i - first AS local FROM f, (SELECT unnest(range(0, (SELECT count(*) FROM orders), 10)) AS i) WHERE i >= first AND i < first + n",
     ),
     "download_check": (
         download_check,
