@@ -72,3 +72,31 @@ def count(path: str):
             yield pd.Series([len(x) for x in to_ids(b.fillna("").tolist())])
 
     return f
+
+
+def prefix(path: str, most: int):
+    """A function of a text column: the text itself if it has `most` ids at most, else what its first `most` ids stand for."""
+
+    @F.pandas_udf("string")
+    def f(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        to_ids, to_text, _ = loaded(path)
+        for b in batches:
+            texts = b.fillna("").tolist()
+            ids = to_ids(texts)
+            yield pd.Series([x if len(i) <= most else to_text([list(map(int, i[: max(0, most)]))])[0] for x, i in zip(texts, ids)], dtype="object")
+
+    return f
+
+
+def encoded_by(encode: Callable[[list[str]], list[list[int]]], most: int | None = None):
+    """The same as encode() by a function of the caller's own: texts -> ids. An id that is negative or over `most` fails."""
+
+    @F.pandas_udf("array<int>")
+    def f(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            ids = encode(b.fillna("").tolist())
+            if any(i < 0 or (most is not None and i > most) for x in ids for i in x):
+                raise ValueError("an id is out of range")
+            yield pd.Series(ids)
+
+    return f

@@ -52,6 +52,32 @@ def scaled_targets(targets: dict[str, int], total: int) -> dict[str, int]:
     return out
 
 
+def phase_targets(phases: dict[str, tuple[int, dict[str, float]]], scale: float = 1.0) -> dict[str, dict[str, int]]:
+    """phase -> (tokens, weights of sources): each phase's tokens times `scale`, dealt by weight, all rounded half to even; the
+    first source takes what rounding leaves."""
+    out = {}
+    for phase, (tokens, weights) in phases.items():
+        total = round(tokens * scale)
+        own = {k: round(total * w) for k, w in weights.items()}
+        own[next(iter(own))] += total - sum(own.values())
+        out[phase] = own
+    return out
+
+
+def first_of_source(docs: DataFrame, n: int, seed: int | None = None) -> DataFrame:
+    """The first n rows (seq, source, ...) of each source, in order of seq, or with a seed in that of a hash of it.
+
+    A partial aggregation keeps n keys of each source and task; the rows are matched with what is left of these.
+    """
+    key = F.col("seq") if seed is None else F.struct(F.xxhash64("seq", F.lit(seed)).alias("h"), F.col("seq").alias("s"))
+    part = F.spark_partition_id().alias("__p")
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("__k"))
+    keys = docs.select("source", "seq", key.alias("__k"), part)
+    few = keys.withColumn("__r", rank("source", "__p")).filter(F.col("__r") <= n)  # n of each source and part
+    best = few.withColumn("__r", rank("source")).filter(F.col("__r") <= n).select(F.col("source").alias("__s"), F.col("seq").alias("__q"))
+    return docs.join(best, docs["source"].eqNullSafe(F.col("__s")) & (docs["seq"] == F.col("__q")), "left_semi")
+
+
 def quota_fill(docs: DataFrame, target: int | dict[str, int], least: int, span: int = 1 << 20) -> DataFrame:
     """docs (seq, source, n) -> those that a source's quota takes, with `take`, the tokens of each that are taken.
 

@@ -73,7 +73,7 @@ def rollup(answer_rows: DataFrame) -> DataFrame:
     return out.select(*named, level.alias("level"), *[c for c in out.columns if c not in (*CELL, "g")])
 
 
-#: The groupings of failure analysis.
+#: The groupings of failure analysis; fixed values.
 DIMENSIONS = (
     ("task_type",),
     ("target_length",),
@@ -85,6 +85,18 @@ DIMENSIONS = (
 )
 
 
+def rollup_order(rolled: DataFrame) -> DataFrame:
+    """A roll-up's rows by length as a number, ALL last, then by position, task and answer type as text."""
+    length = F.when(F.col("target_length") == "ALL", 10**9).otherwise(F.try_to_number("target_length", F.lit("999999999999")).cast("long"))
+    return rolled.orderBy(length, "evidence_position", "task_type", "answer_type")
+
+
+def top_entries(values, k: int = 5):
+    """Of an array of scores the k largest as (index, score), the first index of equals first."""
+    each = F.transform(values, lambda x, i: F.struct((-x).alias("down"), i.alias("index"), x.alias("score")))
+    return F.transform(F.slice(F.array_sort(each), 1, k), lambda r: F.struct(r["index"].alias("index"), r["score"].alias("score")))
+
+
 def failure_groups(answer_rows: DataFrame) -> DataFrame:
     """Failure rates in each of DIMENSIONS, one pass of grouping sets, labelled by `group_by`."""
     columns = [F.col(c) for c in ("target_length", "evidence_position", "task_type", "answer_type")]

@@ -57,6 +57,91 @@ def score_mini(rows: DataFrame, kind: str) -> DataFrame:
     )
 
 
+def score_budget(rows: DataFrame) -> DataFrame:
+    """rows of token-budget examples with the scores of digit answers and index_delta, how far from the value's first place
+    the answer's is; 0 where either is not in the context."""
+    gold = T.index_of(T.record_values(F.col("prompt"), r"\d+"), F.col("value"))
+    i = F.col("predicted_index")
+    return score_mini(rows, "digits").withColumn("index_delta", F.when((i >= 0) & (gold >= 0), i - gold).otherwise(0))
+
+
+def score_number(rows: DataFrame) -> DataFrame:
+    """rows (generated_text, answer, ...) with the scores of number answers, by the first run of digits: those of position probes
+    (exact_match of the first line, contains_answer, first_number, first_number_match) and of generations (num_numbers and
+    format_error too)."""
+    numbers = F.regexp_extract_all("generated_text", F.lit(r"\d+"), F.lit(0))
+    first = F.coalesce(F.get(numbers, F.lit(0)), F.lit(""))
+    return rows.withColumns(
+        {
+            "exact_match": _flag(T.normalized(T.first_line(F.col("generated_text"))) == T.normalized(F.col("answer"))),
+            "contains_answer": _flag(F.contains("generated_text", "answer")),
+            "first_number": first,
+            "first_number_match": _flag(first == F.col("answer")),
+            "num_numbers": F.size(numbers),
+            "format_error": _flag(first == ""),
+        }
+    )
+
+
+def score_aliases(rows: DataFrame) -> DataFrame:
+    """rows (generated_text, aliases array<string>, ...) of questions over many documents: whether the text contains an alias
+    (answer_contains), its first line is one (alias_match), it declines (no_answer) or is empty (format_error)."""
+    said, line = T.normalized(F.col("generated_text")), T.normalized(T.first_line(F.col("generated_text")))
+    none = said.rlike(r"\b(?:no answer|not (?:mentioned|given|stated|found)|unknown|cannot (?:answer|tell|find))\b")
+    return rows.withColumns(
+        {
+            "answer_contains": _flag(F.exists("aliases", lambda a: (a != "") & F.contains(said, T.normalized(a)))),
+            "alias_match": _flag(F.exists("aliases", lambda a: (a != "") & (line == T.normalized(a)))),
+            "no_answer": _flag(none),
+            "format_error": _flag(said == ""),
+        }
+    )
+
+
+def score_values(rows: DataFrame, value: str = r"\d+") -> DataFrame:
+    """rows (generated_text, values array<string>, others array<string>, ...) of retrieval with several values to name; others
+    are values of keys that were not asked for. Scores: all and only the values (exact_match), the share of them named
+    (partial_match), whether one is missing, one of another key is named, and one that is nowhere is."""
+    said = F.array_distinct(F.regexp_extract_all("generated_text", F.lit(value), F.lit(0)))
+    hit = F.size(F.array_intersect(said, F.array_distinct("values")))
+    n = F.size(F.array_distinct("values"))
+    return rows.withColumns(
+        {
+            "exact_match": _flag((hit == n) & (F.size(said) == n)),
+            "partial_match": F.coalesce(F.try_divide(hit, n), F.lit(0.0)).cast("double"),
+            "missing_value": _flag(hit < n),
+            "wrong_key": _flag(F.size(F.array_intersect(F.array_except(said, F.col("values")), F.col("others"))) > 0),
+            "wrong_value": _flag(F.size(F.array_except(F.array_except(said, F.col("values")), F.col("others"))) > 0),
+        }
+    )
+
+
+def mean_summary(scored: DataFrame, keys: list[str], means: dict[str, str], first: dict[str, str] | None = None) -> DataFrame:
+    """By keys: rows, the means of columns under new names, and of `first` the columns of the row that comes first by a column."""
+    firsts = [F.min_by(c, F.col(order)).alias(c) for c, order in (first or {}).items()]
+    return scored.groupBy(*keys).agg(F.count("*").alias("n"), *firsts, *[F.avg(c).alias(n) for n, c in means.items()])
+
+
+#: Columns of summaries: name -> column; fixed values.
+POSITION_MEANS = {"mean_actual_prompt_tokens": "actual_prompt_tokens", "exact_match": "exact_match", "contains_answer": "contains_answer", "first_number_match": "first_number_match", "mean_latency_sec": "latency_sec"}
+BUDGET_MEANS = {"mean_prompt_tokens": "actual_prompt_tokens", "mean_target_index": "target_index", "exact_match": "exact_match", "format_error_rate": "format_error", "wrong_context_value_rate": "wrong_context_value", "hallucinated_value_rate": "hallucinated_value", "mean_latency_sec": "latency_sec"}
+GENERATION_MEANS = {"exact_match": "exact_match", "contains_answer": "contains_answer", "first_number_match": "first_number_match", "format_error_rate": "format_error", "mean_latency_sec": "latency_sec"}
+
+
+def payload(rows: DataFrame, with_prompt: bool = False) -> DataFrame:
+    """What a run writes: predictions without their prompts, which the examples have."""
+    return rows if with_prompt else rows.drop("prompt")
+
+
+def on_grid(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """rows with position_ratio rounded to two digits; one whose cell (num_keys, position_ratio) is not on the grid fails."""
+    rounded = rows.withColumn("position_ratio", F.round("position_ratio", 2))
+    known = F.broadcast(cells.select("num_keys", F.round("position_ratio", 2).alias("position_ratio"), F.lit(True).alias("__on")).distinct())  # a literal table
+    said = F.concat(F.lit("unexpected cell: "), F.col("num_keys").cast("string"), F.lit(", "), F.col("position_ratio").cast("string"))
+    checked = F.when(F.col("__on"), F.col("num_keys")).otherwise(F.raise_error(said).cast("int"))
+    return rounded.join(known, ["num_keys", "position_ratio"], "left").withColumn("num_keys", checked.cast(rows.schema["num_keys"].dataType)).drop("__on").select(*rows.columns)
+
+
 RATES = {
     "exact_match": "exact_match",
     "contains_value": "contains_value",

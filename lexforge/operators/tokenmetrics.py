@@ -98,3 +98,55 @@ def bpe_word_counts(docs: DataFrame) -> DataFrame:
     """docs (text) -> (word, n): counts of the words that byte-pair merges work on, a leading space belonging to the word."""
     words = F.regexp_extract_all("text", F.lit(r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"), F.lit(0))
     return docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+def bpe_merges(counts: DataFrame, merges: int, least: int = 2, words: int = 500_000) -> list[tuple[str, str, int]]:
+    """counts (word, n) -> the first merges of byte-level pair encoding, as (left, right, occurrences): the most frequent pair of
+    neighbours is joined again and again, of equal ones the first in order, while it occurs `least` times.
+
+    Merges follow each other, so they are learned on the driver, on the `words` most frequent words (a documented bound, as
+    in the tokenizer's own training); counting them is the distributed part. Pairs are kept by the words they occur in,
+    so a merge costs what it changes.
+    """
+    import heapq
+    from collections import defaultdict
+
+    rows = counts.filter(F.col("n") >= 1).orderBy(F.desc("n"), "word").limit(words).collect()
+    spelled = [[bytes([b]).decode("latin1") for b in r["word"].encode()] for r in rows]
+    times = [r["n"] for r in rows]
+    total: dict[tuple[str, str], int] = defaultdict(int)
+    where: dict[tuple[str, str], set[int]] = defaultdict(set)
+    for k, w in enumerate(spelled):
+        for pair in zip(w, w[1:]):
+            total[pair] += times[k]
+            where[pair].add(k)
+    heap = [(-n, p) for p, n in total.items()]
+    heapq.heapify(heap)
+    out: list[tuple[str, str, int]] = []
+    while heap and len(out) < merges:
+        n, pair = heapq.heappop(heap)
+        if -n != total.get(pair, 0):
+            continue  # of an earlier count
+        if -n < least:
+            break
+        out.append((*pair, -n))
+        changed = set()
+        for k in where.pop(pair):
+            w, new, i = spelled[k], [], 0
+            for p in zip(w, w[1:]):
+                total[p] -= times[k]
+                changed.add(p)
+            while i < len(w):
+                joined = i + 1 < len(w) and (w[i], w[i + 1]) == pair
+                new.append(w[i] + w[i + 1] if joined else w[i])
+                i += 1 + joined
+            spelled[k] = new
+            for p in zip(new, new[1:]):
+                total[p] += times[k]
+                where[p].add(k)
+                changed.add(p)
+        total.pop(pair, None)
+        for p in changed:
+            if total.get(p):
+                heapq.heappush(heap, (-total[p], p))
+    return out

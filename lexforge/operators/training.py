@@ -81,3 +81,11 @@ def locate(windows: DataFrame, asked: DataFrame) -> DataFrame:
     block = 1 << 16
     spread = w.withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / block), F.floor((F.col("first") + F.col("n") - 1) / block))))
     return asked.withColumn("block", F.floor(F.col("i") / block)).join(spread, "block").filter("i >= first AND i < first + n").select("i", "shard_idx", (F.col("i") - F.col("first")).alias("local"))
+
+
+def collated(rows: DataFrame, size: int, columns: list[str], order: str = "nth") -> DataFrame:
+    """rows (nth, ...) -> (batch, one list of each column): `size` rows of consecutive places in each, in order; the last may
+    have fewer."""
+    each = F.array_sort(F.collect_list(F.struct(F.col(order).alias("__o"), *columns)))
+    out = rows.withColumn("batch", F.floor(F.col(order) / size)).groupBy("batch").agg(each.alias("r"))  # size rows
+    return out.select("batch", *[F.expr(f"transform(r, x -> x.`{c}`)").alias(c) for c in columns])

@@ -11,10 +11,82 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lexforge.functions.text import TEXT_FIELDS, extract_text
 
-#: Aliases of a manifest entry's fields, first found first; fixed values.
-PATH_ALIASES = ("path", "file", "filename", "bin_path", "shard_path", "token_path", "tokens_path", "name", "relative_path")
-COUNT_ALIASES = ("num_tokens", "tokens", "token_count", "n_tokens", "length", "size")
-DTYPE_ALIASES = ("dtype", "token_dtype", "np_dtype")
+#: Aliases of a manifest entry's fields and of the type of all its entries, first found first; fixed values.
+PATH_ALIASES = ("path", "file", "filename", "name", "relative_path", "relpath", "token_path", "tokens_path", "shard_path")
+COUNT_ALIASES = ("tokens", "num_tokens", "n_tokens", "token_count", "num_items", "length")
+DTYPE_ALIASES = ("dtype", "token_dtype", "data_type")
+#: Endings of corpus files in a source's folder; fixed values.
+ENDINGS = (".parquet", ".jsonl", ".jsonl.zst", ".zst")
+
+
+def store_of(path: str):
+    """pyarrow's file system for a path or URI, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+
+
+def source_files(folder: str, shuffle: bool = False, seed: int = 0, limit: int | None = None) -> list[str]:
+    """The corpus files of a folder, each once, by name; shuffled by a seeded hash of the name where asked; `limit` of them at
+    most. One listing of one folder, on the driver."""
+    import hashlib
+
+    from pyarrow import fs
+
+    store, base = store_of(folder)
+    names = sorted(x.base_name for x in store.get_file_info(fs.FileSelector(base)) if x.base_name.endswith(ENDINGS))
+    if shuffle:
+        names.sort(key=lambda x: (hashlib.md5(f"{seed}:{x}".encode()).hexdigest(), x))
+    return [f"{folder.rstrip('/')}/{x}" for x in names[:limit]]
+
+
+def source_folders(root: str, folders: dict[str, str]) -> dict[str, str]:
+    """source -> folder below the root."""
+    return {name: f"{root.rstrip('/')}/{sub}" for name, sub in folders.items()}
+
+
+def corpus_text(spark: SparkSession, path: str) -> DataFrame:
+    """A .txt file, or a folder's .txt files by name with an empty line between, as one row (text); fails without any.
+
+    Bytes that are not UTF-8 become replacement characters. For small corpora: one text is one row.
+    """
+    rows = spark.read.text(path if path.endswith(".txt") else f"{path.rstrip('/')}/*.txt", wholetext=True).select("value", F.col("_metadata.file_name").alias("name"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "value"))), lambda r: r["value"]), "\n\n")
+    return rows.agg(F.count("*").alias("n"), text.alias("text")).select(F.when(F.col("n") > 0, F.col("text")).otherwise(F.raise_error(F.lit("no .txt files"))).alias("text"))
+
+
+def read_or_make(spark: SparkSession, path: str, make, schema: T.StructType | str | None = None, limit: int | None = None) -> DataFrame:
+    """The rows of a JSON lines file if there is one, else those that make() gives; `limit` of them at most."""
+    from pyarrow import fs
+
+    store, at = store_of(path)
+    rows = jsonl(spark, path, schema) if store.get_file_info(at).type != fs.FileType.NotFound else make()
+    return rows if limit is None else rows.limit(limit)
+
+
+def checkpoints(root: str, pattern: str, named: list[str] = (), wanted: list[str] = (), prefix: str = "") -> list[tuple[str, str]]:
+    """(name, path) of checkpoint files: those given as name=path, or the files below root that match the pattern, named by
+    their folder without the prefix; only wanted names. Fails if none is left or one is missing."""
+    import fnmatch
+
+    from pyarrow import fs
+
+    if named:
+        if any("=" not in x for x in named):
+            raise ValueError("name=path is expected")
+        found = [tuple(x.split("=", 1)) for x in named]
+    else:
+        store, base = store_of(root)
+        files = sorted(x.path for x in store.get_file_info(fs.FileSelector(base, recursive=True)) if x.is_file and fnmatch.fnmatch(x.path[len(base.rstrip("/")) + 1 :], pattern))
+        found = [(x.split("/")[-2].removeprefix(prefix), x) for x in files]
+    found = [x for x in found if not wanted or x[0] in wanted]
+    if not found:
+        raise FileNotFoundError("no checkpoints")
+    for _, path in found:
+        store, at = store_of(path)
+        if not store.get_file_info(at).is_file:
+            raise FileNotFoundError(path)
+    return found
 
 
 def text_of(df: DataFrame) -> F.Column:
@@ -74,20 +146,67 @@ def csv(spark: SparkSession, path: str, typed: bool = True) -> DataFrame:
     return df.select(*[F.col(c).cast("int" if c in ("num_keys", "n") else "double").alias(c) for c in df.columns]) if typed else df
 
 
-def manifest(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """A shard manifest -> (shard_idx, path, tokens, dtype), aliases resolved; relative paths are below the manifest."""
-    df = spark.read.option("multiLine", True).json(path)
-    shards = df.select(F.posexplode("shards").alias("shard_idx", "s"), *([F.col("dtype").alias("dtype_of_all")] if "dtype" in df.columns else [F.lit("uint16").alias("dtype_of_all")]))
-    names = shards.schema["s"].dataType.fieldNames()
-
-    def first(aliases: tuple[str, ...], kind: str, *rest):
-        found = [F.col(f"s.{a}").cast(kind) for a in aliases if a in names]
-        return F.coalesce(*found, *rest) if found or rest else F.lit(None).cast(kind)
-
-    base = path.rsplit("/", 1)[0]
-    rows = shards.select("shard_idx", first(PATH_ALIASES, "string").alias("p"), first(COUNT_ALIASES, "long").alias("tokens"), first(DTYPE_ALIASES, "string", F.col("dtype_of_all")).alias("dtype"))
-    rows = rows.withColumn("path", F.when(F.col("p").rlike(r"^(/|\w+:)"), F.col("p")).otherwise(F.concat(F.lit(base + "/"), "p"))).drop("p")
-    return rows.filter(F.col("shard_idx") < limit) if limit is not None else rows
+def manifest(spark: SparkSession, path: str, limit: int | None = None, check: bool = True) -> DataFrame:
+    """A shard manifest -> (shard_idx, path, tokens, dtype), aliases resolved as Python's `or` does: null, empty and zero go on to
+    the next. An entry may be a path alone. Relative paths are below the manifest; counts that are not given come from the
+    files' sizes; a missing file fails (check). The manifest is one document, read by the driver.
+    """
+    import json
+
+    store, at = store_of(path)
+    with store.open_input_file(at) as f:
+        whole = json.loads(f.read().decode())
+    if not isinstance(whole.get("shards"), list):
+        raise ValueError(f"{path}: no shards")
+    base, rows = path.rsplit("/", 1)[0], []
+    first = lambda entry, names, default=None: next((entry[x] for x in names if entry.get(x)), default)
+    all_of = str(first(whole, DTYPE_ALIASES, "uint16"))
+    for k, entry in enumerate(whole["shards"][:limit]):
+        entry = {"path": entry} if isinstance(entry, str) else entry
+        name = first(entry, PATH_ALIASES)
+        if not name:
+            raise ValueError(f"{path}: entry {k} has no path")
+        name = name if "://" in name or name.startswith("/") else f"{base}/{name}"
+        dtype, n = str(first(entry, DTYPE_ALIASES, all_of)), first(entry, COUNT_ALIASES)
+        if check:
+            own, there = store_of(name)
+            if not own.get_file_info(there).is_file:
+                raise FileNotFoundError(name)
+            n = token_count(name, dtype) if n is None else n
+        rows.append((k, name, None if n is None else int(n), dtype))
+    if not rows:
+        raise ValueError(f"{path}: no shards")
+    return spark.createDataFrame(rows, "shard_idx int, path string, tokens long, dtype string")
+
+
+def npy_header(f) -> tuple[str, tuple[int, ...], int]:
+    """(dtype, shape, where the data begin) of an open .npy file."""
+    import ast
+
+    head = f.read(10)
+    if head[:6] != b"\x93NUMPY":
+        raise ValueError("not a .npy file")
+    wide = head[6] > 1
+    size = int.from_bytes(head[8:10] + (f.read(2) if wide else b""), "little")
+    fields = ast.literal_eval(f.read(size).decode("latin1"))
+    return fields["descr"], tuple(fields["shape"]), 10 + 2 * wide + size
+
+
+def token_count(path: str, dtype: str) -> int:
+    """Tokens of a flat file by its bytes, which must be whole tokens, or of a .npy file, which must have one dimension."""
+    import numpy as np
+
+    store, at = store_of(path)
+    if path.endswith(".npy"):
+        with store.open_input_file(at) as f:
+            shape = npy_header(f)[1]
+        if len(shape) != 1:
+            raise ValueError(f"{path}: one dimension is expected")
+        return shape[0]
+    size, width = store.get_file_info(at).size, np.dtype(dtype).itemsize
+    if size % width:
+        raise ValueError(f"{path}: {size} bytes are not whole tokens of {dtype}")
+    return size // width
 
 
 class _Range(InputPartition):
@@ -103,33 +222,26 @@ class _ShardReader(DataSourceReader):
         self.block = int(options.get("block", 1 << 20))
 
     def partitions(self) -> list[_Range]:
-        import numpy as np
-        from pyarrow import fs
-
-        out, width = [], np.dtype(self.dtype).itemsize
+        out = []
         for path in self.paths:
-            store, at = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-            size = store.get_file_info(at).size
-            if size % width:
-                raise ValueError(f"{path}: {size} bytes are not whole tokens of {self.dtype}")
-            n = size // width
+            n = token_count(path, self.dtype)
             out += [_Range(path, a, min(n, a + self.block)) for a in range(0, n, self.block)]
         return out
 
     def read(self, part: _Range) -> Iterator[tuple]:
         import numpy as np
-        from pyarrow import fs
 
-        store, at = fs.FileSystem.from_uri(part.path if "://" in part.path else f"file://{part.path}")
-        width = np.dtype(self.dtype).itemsize
+        store, at = store_of(part.path)
         with store.open_input_file(at) as f:
-            f.seek(part.start * width)
-            ids = np.frombuffer(f.read((part.stop - part.start) * width), self.dtype)
+            dtype, _, start = npy_header(f) if part.path.endswith(".npy") else (self.dtype, (), 0)
+            width = np.dtype(dtype).itemsize
+            f.seek(start + part.start * width)
+            ids = np.frombuffer(f.read((part.stop - part.start) * width), dtype)
         yield part.path, part.start, ids.astype(np.int32).tolist()
 
 
 class TokenShards(DataSource):
-    """Flat files of token ids: spark.read.format("token_shards").option("dtype", "uint16").load("a.bin,b.bin").
+    """Flat or .npy files of token ids: spark.read.format("token_shards").option("dtype", "uint16").load("a.bin,b.bin").
 
     A row for each block of a file; only a block's bytes are read by its task.
     """
@@ -153,4 +265,5 @@ def token_shards(spark: SparkSession, paths: list[str], dtype: str = "uint16", b
 def synthetic(spark: SparkSession, n: int, length: int, vocabulary: int, seed: int) -> DataFrame:
     """n rows of `length` + 1 ids from hashes of row, place and seed."""
     at = F.sequence(F.lit(0), F.lit(length))
-    return spark.range(n).withColumnRenamed("id", "row").withColumn("ids", F.transform(at, lambda i: F.pmod(F.xxhash64(F.col("row"), i, F.lit(seed)), F.lit(vocabulary)).cast("int")))
+    one = lambda i: (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("row").cast("string"), i.cast("string"))), 1, 7), 16, 10).cast("long") % vocabulary).cast("int")
+    return spark.range(n).withColumnRenamed("id", "row").withColumn("ids", F.transform(at, one))

@@ -14,7 +14,7 @@ def sql():
 
 
 def test_every_query_has_sql_but_for_the_encoder():
-    assert catalog.queries().keys() - catalog.oracle_sql().keys() == {"bpe_encode"}
+    assert catalog.queries().keys() - catalog.oracle_sql().keys() == {"bpe_encode", "placed_blocks", "shared_filler", "dense_examples", "dense_counters", "bpe_merges"}  # held against plain Python
 
 
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))

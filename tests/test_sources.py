@@ -3,6 +3,7 @@
 import gzip
 import json
 
+import numpy as np
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -72,9 +73,101 @@ def test_ids_out_of_range_and_torn_files_fail(spark, tmp_path):
 
 
 def test_manifest_aliases(spark, tmp_path):
-    (tmp_path / "m.json").write_text(json.dumps({"dtype": "uint16", "shards": [{"file": "a.bin", "token_count": 5}, {"file": "/abs/b.bin", "token_count": 6}]}))
+    """The first alias that has a value counts, in the order of the table; an entry may be a path alone."""
+    for name in ("a.bin", "b.bin", "c.bin"):
+        (tmp_path / name).write_bytes(b"\x01\x00" * 4)
+    np.save(tmp_path / "d.npy", np.arange(7, dtype=np.int32))
+    shards = [
+        {"shard_path": "zz.bin", "name": "a.bin", "file": "", "token_count": 9, "tokens": 0, "num_tokens": 5, "size": 3},
+        {"relpath": "c.bin", "tokens_path": str(tmp_path / "b.bin"), "data_type": "int32", "np_dtype": "x"},
+        "b.bin",
+        {"filename": "d.npy", "length": None},
+    ]
+    (tmp_path / "m.json").write_text(json.dumps({"token_dtype": "uint16", "shards": shards}))
     got = readers.manifest(spark, str(tmp_path / "m.json")).orderBy("shard_idx").collect()
-    assert [r["tokens"] for r in got] == [5, 6] and got[0]["path"].endswith("/a.bin") and got[1]["path"] == "/abs/b.bin"
+    assert [(r["path"].rsplit("/", 1)[1], r["tokens"], r["dtype"]) for r in got] == [("a.bin", 5, "uint16"), ("c.bin", 2, "int32"), ("b.bin", 4, "uint16"), ("d.npy", 7, "uint16")]
+    assert readers.manifest(spark, str(tmp_path / "m.json"), limit=2).count() == 2
+    rows = readers.token_shards(spark, [str(tmp_path / "d.npy")], block=4).orderBy("token_start").collect()
+    assert [r["ids"] for r in rows] == [[0, 1, 2, 3], [4, 5, 6]]
+    for bad, error in (({"shards": [{"path": "none.bin"}]}, FileNotFoundError), ({"shards": [{"tokens": 3}]}, ValueError), ({"shards": []}, ValueError), ({}, ValueError)):
+        (tmp_path / "bad.json").write_text(json.dumps(bad))
+        with pytest.raises(error):
+            readers.manifest(spark, str(tmp_path / "bad.json"))
+    np.save(tmp_path / "e.npy", np.zeros((2, 2)))
+    with pytest.raises(ValueError, match="dimension"):
+        readers.token_count(str(tmp_path / "e.npy"), "int32")
+
+
+def test_listing_and_folders(tmp_path):
+    for name in ("b.jsonl", "a.parquet", "c.jsonl.zst", "d.zst", "e.txt", "f.json"):
+        (tmp_path / name).write_bytes(b"")
+    names = [x.rsplit("/", 1)[1] for x in readers.source_files(str(tmp_path))]
+    assert names == ["a.parquet", "b.jsonl", "c.jsonl.zst", "d.zst"]
+    mixed = readers.source_files(str(tmp_path), shuffle=True, seed=3)
+    assert sorted(mixed) == readers.source_files(str(tmp_path)) and mixed == readers.source_files(str(tmp_path), True, 3)
+    assert readers.source_files(str(tmp_path), True, 3, limit=2) == mixed[:2]
+    assert readers.source_folders("/r/", {"a": "x"}) == {"a": "/r/x"}
+
+
+def test_ordered_text(spark, tmp_path):
+    (tmp_path / "b.txt").write_bytes(b"two\xff")
+    (tmp_path / "a.txt").write_text("one")
+    (tmp_path / "c.md").write_text("no")
+    assert readers.corpus_text(spark, str(tmp_path)).first()["text"] == "one\n\ntwo\ufffd"
+    assert readers.corpus_text(spark, str(tmp_path / "a.txt")).first()["text"] == "one"
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(Exception):
+        readers.corpus_text(spark, str(tmp_path / "empty")).collect()
+
+
+def test_checkpoints(tmp_path):
+    for name in ("run_a", "run_b", "other"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "last.pt").write_text("x")
+    root = str(tmp_path)
+    assert [n for n, _ in readers.checkpoints(root, "*/last.pt", prefix="run_")] == ["other", "a", "b"]
+    assert [n for n, _ in readers.checkpoints(root, "*/last.pt", prefix="run_", wanted=["b"])] == ["b"]
+    assert readers.checkpoints(root, "", named=[f"x={root}/other/last.pt"]) == [("x", f"{root}/other/last.pt")]
+    for call in (lambda: readers.checkpoints(root, "*.none"), lambda: readers.checkpoints(root, "", named=[f"x={root}/no.pt"])):
+        with pytest.raises(FileNotFoundError):
+            call()
+    with pytest.raises(ValueError):
+        readers.checkpoints(root, "", named=["x"])
+
+
+def test_overwrite_guard_and_headers(spark, tmp_path):
+    folder = str(tmp_path / "out")
+    sinks.prepare_folder(folder)
+    (tmp_path / "out" / "shard_000000.bin").write_text("x")
+    (tmp_path / "out" / "notes.txt").write_text("x")
+    with pytest.raises(FileExistsError):
+        sinks.prepare_folder(folder)
+    sinks.prepare_folder(folder, overwrite=True)
+    assert [x.name for x in (tmp_path / "out").iterdir()] == ["notes.txt"]
+    assert sinks.header_of([{"b": 1}, {"a": 1, "b": 2}]) == ["b", "a"] and sinks.header_of([{"b": 1}, {"a": 1}], "sorted") == ["a", "b"]
+    df = spark.createDataFrame([(1, 2)], "b int, a int")
+    sinks.write_csv(df, f"{folder}/s", "sorted")
+    assert spark.read.csv(f"{folder}/s", header=True).columns == ["a", "b"]
+    sinks.write_csv(df.limit(0), f"{folder}/none")
+    assert "".join(p.read_text() for p in (tmp_path / "out" / "none").glob("*.csv")) == ""
+    sinks.write_merged(df, df, f"{folder}/m", ["b"])
+    assert readers.jsonl(spark, f"{folder}/m/predictions").count() == spark.read.csv(f"{folder}/m/summary", header=True).count() == 1
+
+
+def test_reports(spark):
+    import xml.dom.minidom
+
+    df = spark.createDataFrame([(75, 0.5, "a|b")], "keys int, rate double, name string")
+    text = sinks.memo("Result", [("Run", "words"), ("Table", df)])
+    assert text.startswith("# Result\n") and "| 75 | 0.5 | a\\|b |" in text
+    charts = [sinks.line_chart({"75 & more": [(0.0, 1.0), (1.0, 0.2)]}, "a < b"), sinks.heat_map({("75", "0"): 0.5, ("140", "1"): 1.0}, "t"), sinks.stacked_bars({"75": {"correct": 0.7, "wrong": 0.3}}, "t"), sinks.line_chart({}, "none")]
+    for svg in charts:
+        xml.dom.minidom.parseString(svg)
+    assert sinks.page("T", charts).count("<svg") == 4
+    rows, seen = sinks.observed(df, "progress", n=F.count("*"))
+    rows.collect()
+    assert seen.get == {"n": 1}
+    assert json.loads(sinks.build_stats_json(spark.createDataFrame([("s", 3)], "source string, docs long"), 1.23456)) == {"manifest": "manifest.json", "elapsed_sec": 1.235, "stats": {"s": {"docs": 3}}}
 
 
 def test_prediction_stream(spark, tmp_path):
