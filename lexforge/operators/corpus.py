@@ -43,6 +43,14 @@ def without_duplicates(docs: DataFrame, scope: str = "source") -> DataFrame:
     return with_duplicate_flag(docs, scope).filter("NOT duplicate").drop("duplicate")
 
 
+def first_texts(docs: DataFrame, scope: str = "source") -> DataFrame:
+    """docs (seq, source, text) without later copies: what goes is found on fingerprints, and only its few seqs meet the texts,
+    in a join that broadcasts them while they are small. seq must not repeat."""
+    slim = docs.select("seq", "source", T.fingerprint(F.col("text")).alias("fp"))
+    copies = with_duplicate_flag(slim, scope).filter("duplicate").select(F.col("seq").alias("__seq"))
+    return docs.join(copies, docs["seq"] == F.col("__seq"), "left_anti")
+
+
 def scaled_targets(targets: dict[str, int], total: int) -> dict[str, int]:
     """Targets scaled to a new total, rounded down; the first source takes what is left."""
     whole = sum(targets.values())

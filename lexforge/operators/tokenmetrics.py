@@ -9,26 +9,27 @@ from pyspark.sql import functions as F
 LONGEST, RANKS = 16, (1_000, 4_000, 8_000, 16_000, 32_000, 48_000, 64_000)
 
 
-def doc_metrics(docs: DataFrame) -> DataFrame:
-    """docs (source, seq, text, pieces array<string>) -> ratios of each document that has tokens."""
+def sizes(docs: DataFrame) -> DataFrame:
+    """docs (source, seq, text, pieces array<string>) -> the counts of each document that metrics are made of."""
     n = F.size("pieces").cast("long")
     single = F.size(F.filter("pieces", lambda p: F.length(p) <= 1)).cast("long")
     unknown = F.size(F.filter("pieces", lambda p: p == "<unk>")).cast("long")
-    return (
-        docs.withColumns({"tokens": n, "singles": single, "unks": unknown, "chars": F.length("text").cast("long"), "bytes": F.octet_length("text").cast("long")})
-        .filter("tokens > 0")
-        .select(
-            "source",
-            "seq",
-            "chars",
-            "bytes",
-            "tokens",
-            (F.col("chars") / F.col("tokens")).alias("chars_per_token"),
-            (F.col("bytes") / F.col("tokens")).alias("bytes_per_token"),
-            (F.col("tokens") * 1000.0 / F.col("chars")).alias("tokens_per_1k_chars"),
-            (F.col("unks") / F.col("tokens")).alias("unk_rate"),
-            (F.col("singles") / F.col("tokens")).alias("single_piece_rate"),
-        )
+    return docs.withColumns({"tokens": n, "singles": single, "unks": unknown, "chars": F.length("text").cast("long"), "bytes": F.octet_length("text").cast("long")}).drop("text", "pieces")
+
+
+def doc_metrics(docs: DataFrame) -> DataFrame:
+    """sizes() of documents -> ratios of each document that has tokens."""
+    return docs.filter("tokens > 0").select(
+        "source",
+        "seq",
+        "chars",
+        "bytes",
+        "tokens",
+        (F.col("chars") / F.col("tokens")).alias("chars_per_token"),
+        (F.col("bytes") / F.col("tokens")).alias("bytes_per_token"),
+        (F.col("tokens") * 1000.0 / F.col("chars")).alias("tokens_per_1k_chars"),
+        (F.col("unks") / F.col("tokens")).alias("unk_rate"),
+        (F.col("singles") / F.col("tokens")).alias("single_piece_rate"),
     )
 
 

@@ -15,11 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tables of files up to this size are dealt to all cores where they come in fewer parts.
+SPREAD_BYTES = 256 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df, dealt to all cores if it comes in fewer parts than there are: one small file is else one task. Large inputs have
-    more parts than that and stay as they are."""
+    """df, dealt to all cores if it is small and comes in fewer parts than there are: one small file is else one task. Larger
+    tables stay as their files are split, whatever the cores; `spark.sql.files.maxPartitionBytes` is the way there."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= SPREAD_BYTES and df.rdd.getNumPartitions() < cores else df
 
 
 def plain(df: DataFrame) -> DataFrame:

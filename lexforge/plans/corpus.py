@@ -35,10 +35,18 @@ def _pieces(spark, d):
 
 def _docs(spark, d):
     """Documents with their pieces, the first of each text within a source."""
-    kept = corpus.without_duplicates(corpus.cleaned(documents(spark, d)).filter("text <> ''"))
+    kept = corpus.first_texts(corpus.cleaned(documents(spark, d)).filter("text <> ''"))
     return kept.withColumn("pieces", T.tokens(F.col("text")))
 
 
+def _metrics(spark, d):
+    """Metrics of the same documents from one pass over the texts: copies are found and left out on their counts."""
+    docs = corpus.cleaned(documents(spark, d)).filter("text <> ''")
+    each = F.explode(F.array(T.tokens(F.col("text")))).alias("pieces")  # once for all uses
+    narrow = tokenmetrics.sizes(docs.select("seq", "source", "text", T.fingerprint(F.col("text")).alias("fp"), each))
+    return tokenmetrics.doc_metrics(corpus.without_duplicates(narrow))
+
+
 def corpus_clean(spark, d):
     c = corpus.cleaned(documents(spark, d))
     return plain(c.select("seq", "source", F.md5("text").alias("text_md5"), F.length("text").alias("chars")))
@@ -120,16 +128,15 @@ def block_payloads(spark, d):
 
 
 def tok_doc_metrics(spark, d):
-    return plain(tokenmetrics.doc_metrics(_docs(spark, d)))
+    return plain(_metrics(spark, d))
 
 
 def tok_source_metrics(spark, d):
-    docs = _docs(spark, d)
-    return plain(tokenmetrics.source_metrics(tokenmetrics.doc_metrics(docs), tokenmetrics.frequencies(docs, ["source"]), 64_000))
+    return plain(tokenmetrics.source_metrics(_metrics(spark, d), tokenmetrics.frequencies(_docs(spark, d), ["source"]), 64_000))
 
 
 def tok_global_rates(spark, d):
-    return plain(tokenmetrics.global_rates(tokenmetrics.doc_metrics(_docs(spark, d))))
+    return plain(tokenmetrics.global_rates(_metrics(spark, d)))
 
 
 def tok_topk_coverage(spark, d):

@@ -2,6 +2,7 @@
 
 import re
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -75,3 +76,30 @@ def test_cleaning_any_text(spark, texts):
         visible = sum(not x.isspace() for x in c)
         assert r["text"] == c
         assert r["ok"] == (len(c) >= 1 and visible > 0 and sum(x.isalpha() for x in c) / visible >= 0.5)
+
+
+@pytest.mark.parametrize("kind", ["dense", "hashed", "gaps", "one far off", "negative"])
+def test_running_totals_over_sparse_orders(spark, kind):
+    """Ids of any spread give the same totals, and no stretch holds much more than its share."""
+    import random
+
+    from lexforge.operators import prefix
+
+    rng = random.Random(6)
+    ids = {
+        "dense": list(range(600)),
+        "hashed": [rng.randrange(-(1 << 62), 1 << 62) for _ in range(600)],
+        "gaps": [k + (k // 100) * 10**12 for k in range(600)],
+        "one far off": [*range(599), 10**17],
+        "negative": [-(k * k * k) for k in range(600)],
+    }[kind]
+    rows = [(x, rng.choice("aab"), rng.randrange(9)) for x in ids]
+    df = spark.createDataFrame(rows, "seq long, source string, n long").repartition(5)
+    got = {r["seq"]: r["before"] for r in prefix.with_running_total(df, ["source"], "seq", "n", "before", 50).collect()}
+    for s in "ab":
+        at = 0
+        for x, _, n in sorted(r for r in rows if r[1] == s):
+            assert got[x] == at
+            at += n
+    sizes = [r["count"] for r in df.groupBy(prefix.stretch_of(df, "seq", 50).alias("s")).count().collect()]
+    assert len(got) == 600 and max(sizes) <= 150
