@@ -32,7 +32,12 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df, written to the shared folder once and read from there ever after; with `rows`, at most as many as it has, in
     files of PART_ROWS about instead of one for each shuffle partition."""
     shared_dir(df.sparkSession)
-    return (df if rows is None else df.coalesce(1 + rows // PART_ROWS)).checkpoint(eager=True)
+    return (df if rows is None else in_files(df, rows)).checkpoint(eager=True)
+
+
+def in_files(df: DataFrame, rows: int) -> DataFrame:
+    """df, a narrow table of so many rows, in parts of PART_ROWS about: one for each shuffle partition makes many tiny files."""
+    return df.coalesce(1 + rows // PART_ROWS)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import cut, mapped, pieces, utf8
+from lexforge.llm.common import cut, mapped, partitions, pieces, utf8
 
 SYMBOLS, SPACES = b"#*$%&|<>", b" \t\n\r\x0b\x0c"
 #: Rules whose rates are taken by host. A document fails one at the first threshold; on a host that fails the rule,
@@ -101,7 +101,8 @@ def host_verdicts(counted: DataFrame, host: str = "source", prefix: str = "") ->
 
     One partial aggregation by host, then one row of sums to the driver for the priors.
     """
-    hosts = cut(counted.groupBy(F.col(host).alias("__host")).agg(F.count("*").alias("n"), *[F.sum(_expr(hard, prefix).cast("long")).alias(r) for r, (hard, _) in RULES.items()]))
+    few = max(1, partitions(counted.sparkSession) // 8)  # a row for each host is little
+    hosts = cut(counted.groupBy(F.col(host).alias("__host")).agg(F.count("*").alias("n"), *[F.sum(_expr(hard, prefix).cast("long")).alias(r) for r, (hard, _) in RULES.items()]).coalesce(few))
     sums = hosts.agg(F.count("*").alias("hosts"), F.sum("n").alias("n"), *[x for r in RULES for x in (F.sum(r).alias(r), F.sum(F.col(r) * F.col(r) / F.col("n")).alias(f"{r}_sq"))]).first()
     if not sums["n"]:
         return hosts.select("__host", F.array(*[F.lit(False)] * len(RULES)).alias("__failing"))

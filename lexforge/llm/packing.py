@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import cut, mapped, partitions, pieces, utf8
+from lexforge.llm.common import cut, in_files, mapped, partitions, pieces, utf8
 
 LENGTH, END = 2048, 1
 #: Distinct chunks between white space whose ids a worker keeps, and as many units; beyond, the later half goes. Words
@@ -234,4 +234,4 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(seq), pa.array(off)], [*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"{x} long" for x in [*names, "sequence_id", "offset"])
-    return ranked(cuts, histogram).select(*names, "rank").mapInArrow(run, schema)
+    return in_files(ranked(cuts, histogram).select(*names, "rank").mapInArrow(run, schema), sum(histogram.values()))

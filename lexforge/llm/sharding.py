@@ -114,7 +114,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         .withColumn("shard", F.least(F.lit(shards - 1), F.floor(F.col("middle") * shards / total)).cast("int"))
         .select("doc_id", "size", "text_crc32", "shard", (F.col("row_at") + F.col("nth") - 1).alias("nth"))
     )
-    placed = cut(placed)
+    placed = cut(placed, n)
     first = placed.groupBy("shard").agg(F.min("nth").alias("first"))
     return placed.join(F.broadcast(first), "shard").select(  # a row for each shard
         "doc_id",

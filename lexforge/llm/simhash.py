@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import cut, mapped, partitions, pieces, utf8
+from lexforge.llm.common import cut, in_files, mapped, partitions, pieces, utf8
 from lexforge.llm.components import connected_components
 
 BITS, SEED, SHINGLE, RADIUS = 64, 42, 4, 4
@@ -293,7 +293,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = fps.groupBy("fp").agg(F.min("doc_id").alias("m")).join(group, "fp")
     of_root = least.groupBy("root").agg(F.min("m").alias("component_id"))
     named = group.join(of_root, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    out = fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return in_files(out, fps.count())
 
 
 def survivors(docs: DataFrame) -> DataFrame:
