@@ -86,7 +86,7 @@ def first_of_source(docs: DataFrame, n: int, seed: int | None = None) -> DataFra
     return docs.join(best, docs["source"].eqNullSafe(F.col("__s")) & (docs["seq"] == F.col("__q")), "left_semi")
 
 
-def quota_fill(docs: DataFrame, target: int | dict[str, int], least: int, span: int = 1 << 20) -> DataFrame:
+def quota_fill(docs: DataFrame, target: int | dict[str, int], least: int, span: int = 1 << 20, domain: DataFrame | None = None) -> DataFrame:
     """docs (seq, source, n) -> those that a source's quota takes, with `take`, the tokens of each that are taken.
 
     In order of seq: whole documents while they fit; the one that does not is cut to the rest, unless the rest is under
@@ -96,14 +96,14 @@ def quota_fill(docs: DataFrame, target: int | dict[str, int], least: int, span:
         quota = F.create_map(*[F.lit(x) for kv in target.items() for x in kv])[F.col("source")]
     else:
         quota = F.lit(target)
-    run = with_running_total(docs, ["source"], "seq", "n", "before", span)
+    run = with_running_total(docs, ["source"], "seq", "n", "before", span, domain)
     rest = quota - F.col("before")
     return run.filter((rest > 0) & ((F.col("n") <= rest) | (rest >= least))).withColumn("take", F.least(F.col("n"), rest)).drop("before")
 
 
-def char_budget(docs: DataFrame, budget: int, least: int, span: int = 1 << 20) -> DataFrame:
+def char_budget(docs: DataFrame, budget: int, least: int, span: int = 1 << 20, domain: DataFrame | None = None) -> DataFrame:
     """docs (seq, source, n) -> the sample of each source up to a budget of characters; stops when under `least` are left."""
-    run = with_running_total(docs, ["source"], "seq", "n", "before", span)
+    run = with_running_total(docs, ["source"], "seq", "n", "before", span, domain)
     rest = F.lit(budget) - F.col("before")
     return run.filter((rest > 0) & (rest >= least)).withColumn("take", F.least(F.col("n"), rest)).drop("before")
 
@@ -123,7 +123,7 @@ def labelled(docs: DataFrame, min_chars: int, least: int, most: int, target: int
     sized = with_duplicate_flag(slim).drop("fp").withColumn("n", F.least(F.col("full"), F.lit(most)) + 1)
     sized = sized.withColumn("stage", F.when(F.col("duplicate"), "duplicate").when(F.col("n") < least, "short").otherwise("open"))
     counted = sized.withColumn("counts", F.when(F.col("stage") == "open", F.col("n")).otherwise(0))
-    run = with_running_total(counted, ["source"], "seq", "counts", "before")
+    run = with_running_total(counted, ["source"], "seq", "counts", "before", domain=docs.select("seq"))
     rest = F.lit(target) - F.col("before")
     taken = (F.col("stage") == "open") & (rest > 0) & ((F.col("n") <= rest) | (rest >= least))
     return run.select(

@@ -30,14 +30,15 @@ def stretch_of(df: DataFrame, order: str, span: int) -> Column:
     return (row * 32 + below(F.get(table, row))).cast("long")
 
 
-def with_running_total(df: DataFrame, keys: list[str], order: str, value: str, name: str, span: int = SPAN) -> DataFrame:
+def with_running_total(df: DataFrame, keys: list[str], order: str, value: str, name: str, span: int = SPAN, domain: DataFrame | None = None) -> DataFrame:
     """df with `name`: the sum of `value` over the rows of the same keys that come before in `order`.
 
     Rows are dealt by keys and by stretches of `order`, summed within, and shifted by the totals of the stretches before;
-    both passes read one exchange. order must be an integer without repeats within the keys. A hot key is thus spread over
+    both passes read one exchange. order must be an integer without repeats within the keys; domain,
+    if given, a table that has its values, and maybe more, at less cost: where stretches lie is found there. A hot key is thus spread over
     its stretches, and the totals are a row for each stretch.
     """
-    at = stretch_of(df, order, span)
+    at = stretch_of(df if domain is None else domain, order, span)
     dealt = df.withColumn("__stretch", at).repartition(*keys, "__stretch")
     inside = Window.partitionBy(*keys, "__stretch").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     sums = dealt.groupBy(*keys, "__stretch").agg(F.sum(value).alias("__sum"))

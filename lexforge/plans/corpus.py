@@ -30,7 +30,7 @@ def _ids(spark, d):
 
 
 def _pieces(spark, d):
-    return shards.cut(_ids(spark, d), SHARD)
+    return shards.cut(_ids(spark, d), SHARD, domain=documents(spark, d).select("seq"))
 
 
 def _docs(spark, d):
@@ -67,7 +67,7 @@ def corpus_dedup_scope_global(spark, d):
 
 
 def corpus_quota_fill(spark, d):
-    return plain(corpus.quota_fill(_sized(spark, d).filter(F.col("n") >= LEAST), TARGET, LEAST).select("seq", "source", "n", "take"))
+    return plain(corpus.quota_fill(_sized(spark, d).filter(F.col("n") >= LEAST), TARGET, LEAST, domain=documents(spark, d).select("seq")).select("seq", "source", "n", "take"))
 
 
 def corpus_source_stats(spark, d):
@@ -81,7 +81,7 @@ def source_balance(spark, d):
 def char_budget_sample(spark, d):
     slim = _usable(spark, d).select("seq", "source", T.fingerprint(F.col("text")).alias("fp"), F.length("text").cast("long").alias("n"))
     kept = corpus.without_duplicates(slim).drop("fp")
-    return plain(corpus.char_budget(kept, 60_000, MIN_CHARS).select("seq", "source", "n", "take"))
+    return plain(corpus.char_budget(kept, 60_000, MIN_CHARS, domain=documents(spark, d).select("seq")).select("seq", "source", "n", "take"))
 
 
 def token_shard_cut(spark, d):
