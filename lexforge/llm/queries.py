@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexforge.llm import decontaminate, hostrules, langid, lbl, licenses, nbsvm, packing, sharding, simhash, warc
+from lexforge.llm import decontaminate, hostrules, langid, lbl, lexical, licenses, nbsvm, packing, sharding, simhash, warc
 from lexforge.llm.common import table
 
 #: The vocabulary that packing counts with; another file is another parameter.
@@ -55,8 +55,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    each = (op1_license_scans, op2_quality_classifier, op3_packing, op4_simhash_near_dedup, op5_quality_rules, op6_warc, op7_benchmark_decontamination, op8_language_id, op9_lm_scoring, op10_sharding)
+    each = (op1_license_scans, op2_quality_classifier, op3_packing, op4_simhash_near_dedup, op5_quality_rules, op6_warc, op7_benchmark_decontamination, op8_language_id, op9_lm_scoring, op10_sharding, op13_lexical_search)
     return {f.__name__: f for f in each}
 
 
@@ -113,5 +117,28 @@ FROM v
 """
 
 
+#: Scores are integers but for the weights, floors of logarithms.
+_SEARCH_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents
+), sizes AS (SELECT doc_id, r, len(t) AS n FROM docs WHERE len(t) > 0),
+corpus AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM sizes),
+items AS (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+  ) GROUP BY ALL
+), postings AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM docs) WHERE term IN (SELECT term FROM items) GROUP BY ALL
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * max(n_docs) + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM postings, corpus GROUP BY term
+), scored AS (
+  SELECT item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM postings JOIN weights USING (term) JOIN items USING (term) JOIN sizes USING (r), corpus GROUP BY ALL
+)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": _rules_sql(), "op6_warc": _WARC_SQL}
+    return {"op5_quality_rules": _rules_sql(), "op6_warc": _WARC_SQL, "op13_lexical_search": _SEARCH_SQL}
