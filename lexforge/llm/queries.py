@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexforge.llm import decontaminate, hostrules, langid, lbl, lexical, licenses, nbsvm, packing, sharding, simhash, warc
+from lexforge.llm import decontaminate, hostrules, langid, lbl, lexical, licenses, nbsvm, packing, secrets, sharding, simhash, trie, warc
 from lexforge.llm.common import table
 
 #: The vocabulary that packing counts with; another file is another parameter.
@@ -55,12 +55,20 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(table(spark, sf_dir, "documents"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    each = (op1_license_scans, op2_quality_classifier, op3_packing, op4_simhash_near_dedup, op5_quality_rules, op6_warc, op7_benchmark_decontamination, op8_language_id, op9_lm_scoring, op10_sharding, op13_lexical_search)
+    each = (op1_license_scans, op2_quality_classifier, op3_packing, op4_simhash_near_dedup, op5_quality_rules, op6_warc, op7_benchmark_decontamination, op8_language_id, op9_lm_scoring, op10_sharding, op11_prefix_trie, op12_secret_scans, op13_lexical_search)
     return {f.__name__: f for f in each}
 
 
@@ -117,6 +125,37 @@ FROM v
 """
 
 
+#: Turns of rebuilt conversations, nodes by hashes of whole prefixes, and for each node all ancestors along its conversation.
+_TRIE_SQL = r"""
+WITH turns AS (
+  SELECT conv_id AS c, md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS digest,
+    len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+'))::BIGINT AS words, turn FROM conversations WHERE conv_id IS NOT NULL
+), own AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, digest) AS o FROM turns),
+crc AS (
+  SELECT c, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda x, i: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END)))) % 4 AS h
+  FROM (SELECT DISTINCT c FROM turns)
+), rebuilt AS (
+  SELECT crc.c, 0 AS part, own.o, digest, words FROM crc JOIN own ON own.c = crc.c - crc.c % 20 AND own.o <= h
+  UNION ALL SELECT crc.c, 1, own.o, digest, words FROM crc JOIN own ON own.c = crc.c AND own.o > h
+), placed AS (
+  SELECT c, row_number() OVER w AS depth, string_agg(digest, '') OVER w AS key, words, count(*) OVER (PARTITION BY c) AS n FROM rebuilt WINDOW w AS (PARTITION BY c ORDER BY part, o)
+), members AS (
+  SELECT c, depth, key, substr(key, 1, 32 * (depth - 1)) AS parent, words, depth = n AS last FROM placed
+  UNION ALL SELECT c, 0, '', NULL, 0, c NOT IN (SELECT c FROM placed) FROM crc
+), nodes AS (
+  SELECT key, any_value(parent) AS parent, min(c) AS conv_id, any_value(depth) AS depth, count(*) AS n_convs, any_value(words) AS words,
+    sha256(coalesce(string_agg(CASE WHEN last THEN c::VARCHAR END, ',' ORDER BY c), '')) AS ends_sha256 FROM members GROUP BY key
+), children AS (SELECT parent AS key, count(*) AS n_children FROM nodes GROUP BY parent),
+counted AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (key)),
+sums AS (
+  SELECT m.key, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * u.words)::BIGINT AS saved_tokens
+  FROM counted u JOIN members m ON m.c = u.conv_id AND m.depth <= u.depth GROUP BY m.key
+)
+SELECT u.conv_id, u.depth, p.conv_id AS parent_conv_id, u.n_convs, u.n_children, n_leaves, saved_tokens, u.ends_sha256
+FROM counted u JOIN sums USING (key) LEFT JOIN nodes p ON p.key = u.parent
+"""
+
 #: Scores are integers but for the weights, floors of logarithms.
 _SEARCH_SQL = r"""
 WITH docs AS (
@@ -141,4 +180,4 @@ FROM scored WHERE score > 0 QUALIFY rank <= 20
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": _rules_sql(), "op6_warc": _WARC_SQL, "op13_lexical_search": _SEARCH_SQL}
+    return {"op5_quality_rules": _rules_sql(), "op6_warc": _WARC_SQL, "op11_prefix_trie": _TRIE_SQL, "op13_lexical_search": _SEARCH_SQL}
