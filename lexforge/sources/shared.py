@@ -1,4 +1,4 @@
-"""The folder that driver and executors share, for files that a query writes and reads again."""
+"""The folder that driver and executors share: for files that a query writes and reads again, and for rows computed once."""
 
 from __future__ import annotations
 
@@ -6,15 +6,26 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-def fresh_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's path below spark.checkpoint.dir; a local master without that gets one of its own, a cluster an error."""
+def root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a local master without that gets a folder of its own, once for its session, a cluster an error."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not named:
-        if not re.match(r"local(\[|$)", sc.master):
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not named and not re.match(r"local(\[|$)", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        named = tempfile.mkdtemp(prefix="lexforge-")
-    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lexforge-"))
+    return named or sc._jsc.sc().getCheckpointDir().get()
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the shared one."""
+    return f"{root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder once and read from there ever after, so that lost executors cost no recomputation."""
+    root(df.sparkSession)
+    return df.checkpoint(eager=True)

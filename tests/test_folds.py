@@ -34,28 +34,74 @@ def loop(lengths, phases, overshoot):
 
 
 @FEW
-@given(LENGTHS, st.integers(0, 60), st.integers(0, 40), st.integers(0, 30), st.integers(0, 10))
-def test_routing_is_the_loop(spark, lengths, a, b, c, overshoot):
+@given(LENGTHS, st.integers(0, 60), st.integers(0, 40), st.integers(0, 30), st.integers(0, 10), st.sampled_from([3, 7, 1 << 20]))
+def test_routing_is_the_loop(spark, lengths, a, b, c, overshoot, span):
     phases = [("long", 16, a), ("middle", 8, b), ("short", 4, c)]
-    df = spark.createDataFrame([(i, s, n) for s in "xy" for i, n in enumerate(lengths)], "seq long, source string, n long").repartition(3)
-    rows = folds.route(df, [folds.Phase(*p) for p in phases], overshoot).collect()
-    for s in "xy":
+    df = spark.createDataFrame([(i, s, n) for s in ("x", None) for i, n in enumerate(lengths)], "seq long, source string, n long").repartition(3)
+    rows = folds.route(df, [folds.Phase(*p) for p in phases], overshoot, span).collect()
+    for s in ("x", None):
         assert sorted((r["seq"], r["phase"], r["take"]) for r in rows if r["source"] == s) == loop(lengths, phases, overshoot)
 
 
-@FEW
-@given(LENGTHS, st.integers(5, 60))
-def test_blocks_are_never_over_full(spark, lengths, size):
-    df = spark.createDataFrame([(i, "x", n) for i, n in enumerate(lengths)], "seq long, source string, n long")
-    rows = folds.next_fit(df, size).orderBy("seq").collect()
-    block, end, expected = 0, 0, []
+def test_routing_of_one_hot_source_in_many_stretches(spark):
+    """Nine of ten rows are of one source; phases get short, pass documents over and close in different stretches."""
+    import random
+
+    rng = random.Random(4)
+    of = {"hot": [rng.choice([0, 2, 5, 9, 18, 30]) for _ in range(3_000)], "b": [rng.randrange(40) for _ in range(200)], "c": [50] * 100}
+    phases, overshoot = [("long", 16, 9_000), ("middle", 8, 4_001), ("short", 4, 2_500), ("last", 1, 10**9)], 3
+    df = spark.createDataFrame([(i, s, n) for s, v in of.items() for i, n in enumerate(v)], "seq long, source string, n long").repartition(4)
+    rows = folds.route(df, [folds.Phase(*p) for p in phases], overshoot, 50).collect()
+    for s, lengths in of.items():
+        assert sorted((r["seq"], r["phase"], r["take"]) for r in rows if r["source"] == s) == loop(lengths, phases, overshoot)
+    tasks = folds.dealt(df, 50).filter("source = 'hot'").select("stretch").distinct().count()
+    assert tasks == 60
+
+
+def blocks(lengths, size):
+    block, end, out = 0, 0, []
     for i, n in enumerate(lengths):
         if n <= size:
             if end + n > size:
                 block, end = block + 1, 0
-            expected.append((i, block, end, end + n))
+            out.append((i, block, end, end + n))
             end += n
-    assert [(r["seq"], r["block"], r["start"], r["end"]) for r in rows] == expected
+    return out
+
+
+@FEW
+@given(LENGTHS, st.integers(5, 60), st.sampled_from([2, 5, 1 << 20]))
+def test_blocks_are_those_of_the_loop(spark, lengths, size, span):
+    df = spark.createDataFrame([(i, "x", n) for i, n in enumerate(lengths)], "seq long, source string, n long")
+    rows = folds.next_fit(df, size, span).orderBy("seq").collect()
+    assert [(r["seq"], r["block"], r["start"], r["end"]) for r in rows] == blocks(lengths, size)
+
+
+def test_blocks_of_one_hot_source_in_many_stretches(spark):
+    import random
+
+    rng = random.Random(8)
+    of = {"hot": [rng.choice([0, 1, 7, 40, 99, 100, 101]) for _ in range(4_000)], "b": [3] * 200, None: [100, 0, 100]}
+    df = spark.createDataFrame([(7 * i - 900, s, n) for s, v in of.items() for i, n in enumerate(v)], "seq long, source string, n long").repartition(4)
+    rows = folds.next_fit(df, 100, 64).collect()
+    for s, lengths in of.items():
+        assert sorted((r["seq"], r["block"], r["start"], r["end"]) for r in rows if r["source"] == s) == [(7 * i - 900, *x) for i, *x in blocks(lengths, 100)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 20), max_size=30), st.integers(20, 60), st.integers(0, 60))
+def test_effect_of_a_stretch_on_any_fill(ns, size, fill):
+    import numpy as np
+
+    fill = min(fill, size)
+    block, end = 0, fill
+    for n in ns:
+        if end + n > size:
+            block, end = block + 1, 0
+        end += n
+    rooms, begun, fills, total = folds.effect(np.array(ns, np.int64), size)
+    k = folds.bisect_right(rooms, size - fill) - 1
+    assert ((0, fill + total) if total <= size - fill else (begun[k], fills[k])) == (block, end)
 
 
 def cleaned(t):
