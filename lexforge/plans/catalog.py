@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexforge.plans import corpus, evaluation, extra, files, more, training
+from lexforge.plans import corpus, evaluation, extra, files, gates, more, training
 
-PARTS = (corpus.QUERIES, evaluation.QUERIES, training.QUERIES, more.QUERIES, files.QUERIES, extra.QUERIES)
+PARTS = (corpus.QUERIES, evaluation.QUERIES, training.QUERIES, more.QUERIES, files.QUERIES, extra.QUERIES, gates.QUERIES)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lexforge.functions import text as T
 from lexforge.operators import corpus, folds, shards, tokenmetrics
 from lexforge.plans.common import Query, clean_sql, documents, plain, token_id_sql, tokens_sql
+from lexforge.sources.shared import saved
 
 MIN_CHARS, LEAST, MOST, TARGET, END = 200, 128, 2_000, 15_000, 1
 SHARD, LENGTH, STRIDE = 4_096, 64, 64
@@ -132,7 +133,7 @@ def tok_doc_metrics(spark, d):
 
 
 def tok_source_metrics(spark, d):
-    return plain(tokenmetrics.source_metrics(_metrics(spark, d), tokenmetrics.frequencies(_docs(spark, d), ["source"]), 64_000))
+    return plain(tokenmetrics.source_metrics(saved(_metrics(spark, d)), tokenmetrics.frequencies(_docs(spark, d), ["source"]), 64_000))
 
 
 def tok_global_rates(spark, d):

@@ -6,12 +6,14 @@ import json
 
 from pyspark.sql import functions as F
 
-from lexforge.operators import corpus, listing, shards
+from lexforge.functions import text as T
+from lexforge.operators import corpus, folds, listing, shards
 from lexforge.plans import corpus as C
 from lexforge.plans import evaluation as E
-from lexforge.plans.common import Query, plain, table
+from lexforge.plans.common import Query, plain, table, token_id_sql, tokens_sql
 from lexforge.plans.training import _listing
 from lexforge.sources import readers, sinks
+from lexforge.sources.shardsink import write_shards
 from lexforge.sources.shared import fresh_folder
 
 ROWS, LENGTH, VOCABULARY, SEED = 500, 16, 60_000, 42
@@ -144,6 +146,26 @@ def sink_manifest(spark, d):
     return plain(spark.createDataFrame(rows, "source string, target long, docs_seen long, docs_written long, tokens_written long, tokens_in_shards long, total_tokens long, target_tokens long"))
 
 
+def sink_phase_shards(spark, d):
+    """Routed documents as shards of each phase, written as one transaction, and what the manifests and files then hold."""
+    folder = fresh_folder(spark, "phases")
+    routed = folds.route(C._sized(spark, d), C.PHASES, C.OVERSHOOT)
+    ids = C._usable(spark, d).select("seq", F.concat(T.token_ids(F.col("text")), F.array(F.lit(C.END))).alias("ids"))
+    taken = routed.join(ids, "seq").select("phase", "source", "seq", F.slice("ids", F.lit(1), F.col("take").cast("int")).alias("ids"))
+    write_shards(shards.cut(taken, C.SHARD, keys=("phase",)), folder, vocabulary=VOCABULARY + 5, eod_id=C.END)
+    out = None
+    for p in C.PHASES:
+        if not readers.store_of(f"{folder}/{p.name}/manifest.json")[0].get_file_info(readers.store_of(f"{folder}/{p.name}/manifest.json")[1]).is_file:
+            continue  # no document went there
+        m = readers.manifest(spark, f"{folder}/{p.name}/manifest.json").collect()
+        read = readers.token_shards(spark, [r["path"] for r in m], counts=[r["tokens"] for r in m], block=1_000)
+        index = F.regexp_extract("path", r"shard_(\d+)\.bin$", 1).cast("long").alias("shard_idx")
+        each = read.select(index, F.size("ids").alias("n"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("s"))
+        rows = each.groupBy("shard_idx").agg(F.sum("n").alias("tokens"), F.sum("s").alias("id_sum")).withColumn("phase", F.lit(p.name))
+        out = rows if out is None else out.unionByName(rows)
+    return plain(out)
+
+
 def sink_fetch_list(spark, d):
     files = listing.selected(_listing(spark, d), r"\.parquet$").withColumn("local_dir", F.concat(F.lit("/data/"), F.replace("dataset", F.lit("#"), F.lit("-"))))
     return plain(sinks.fetch_list(files))
@@ -175,5 +197,14 @@ QUERIES: dict[str, Query] = {
         sink_manifest,
         f"WITH {_LABELLED}, {C._PIECES.replace(C._USABLE + ', ', '', 1)}, sh AS (SELECT source, sum(len(piece))::BIGINT AS n FROM pieces GROUP BY 1) SELECT stats.source, {C.TARGET}::BIGINT AS target, docs_seen, docs_written, tokens_written, coalesce(sh.n, 0)::BIGINT AS tokens_in_shards, (SELECT sum(n) FROM sh)::BIGINT AS total_tokens, ({C.TARGET} * (SELECT count(*) FROM stats))::BIGINT AS target_tokens FROM stats LEFT JOIN sh USING (source)",
     ),
+    "sink_phase_shards": (
+        sink_phase_shards,
+        C._route_sql(
+            f""", whole AS (SELECT seq, list_append(list_transform({tokens_sql('text')}, lambda t: {token_id_sql('t')}), {C.END}) AS ids FROM usable),
+placed AS (SELECT phase, ids[1:take] AS ids, take, sum(take) OVER (PARTITION BY phase ORDER BY seq) - take AS p0 FROM routed JOIN whole USING (seq)),
+each AS (SELECT phase, (p0 + generate_subscripts(ids, 1) - 1) // {C.SHARD} AS shard_idx, unnest(ids) AS id FROM placed)
+SELECT phase, shard_idx::BIGINT AS shard_idx, count(*) AS tokens, sum(id)::BIGINT AS id_sum FROM each GROUP BY ALL"""
+        ),
+    ),
     "sink_fetch_list": (sink_fetch_list, f"WITH f AS ({_FILES}) SELECT url AS line FROM f UNION ALL SELECT dir FROM f UNION ALL SELECT out FROM f"),
 }

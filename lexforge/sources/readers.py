@@ -23,7 +23,9 @@ def store_of(path: str):
     """pyarrow's file system for a path or URI, and the path in it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    if "://" not in path and not path.startswith("file:"):
+        return fs.LocalFileSystem(), path
+    return fs.FileSystem.from_uri(path.replace(" ", "%20"))
 
 
 def source_files(folder: str, shuffle: bool = False, seed: int = 0, limit: int | None = None) -> list[str]:
@@ -217,16 +219,18 @@ class _Range(InputPartition):
 
 class _ShardReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.paths = options["path"].split(",")
+        import json
+
+        self.files = json.loads(options["files"]) if "files" in options else [[options["path"], None]]
         self.dtype = options.get("dtype", "uint16")
         self.block = int(options.get("block", 1 << 20))
 
     def partitions(self) -> list[_Range]:
-        out = []
-        for path in self.paths:
-            n = token_count(path, self.dtype)
-            out += [_Range(path, a, min(n, a + self.block)) for a in range(0, n, self.block)]
-        return out
+        from concurrent.futures import ThreadPoolExecutor
+
+        with ThreadPoolExecutor(32) as pool:  # sizes that no manifest gives: a request each
+            sizes = list(pool.map(lambda x: token_count(x[0], self.dtype) if x[1] is None else x[1], self.files))
+        return [_Range(path, a, min(n, a + self.block)) for (path, _), n in zip(self.files, sizes) for a in range(0, n, self.block)]
 
     def read(self, part: _Range) -> Iterator[tuple]:
         import numpy as np
@@ -241,7 +245,8 @@ class _ShardReader(DataSourceReader):
 
 
 class TokenShards(DataSource):
-    """Flat or .npy files of token ids: spark.read.format("token_shards").option("dtype", "uint16").load("a.bin,b.bin").
+    """Flat or .npy files of token ids: spark.read.format("token_shards").option("dtype", "uint16").load("a.bin"), or the option
+    `files`, a JSON list of paths and token counts (null: by the file's size).
 
     A row for each block of a file; only a block's bytes are read by its task.
     """
@@ -257,9 +262,13 @@ class TokenShards(DataSource):
         return _ShardReader(dict(self.options))
 
 
-def token_shards(spark: SparkSession, paths: list[str], dtype: str = "uint16", block: int = 1 << 20) -> DataFrame:
+def token_shards(spark: SparkSession, paths: list[str], dtype: str = "uint16", block: int = 1 << 20, counts: list[int] | None = None) -> DataFrame:
+    """counts: tokens of each file, as its manifest says; else the files are asked."""
+    import json
+
     spark.dataSource.register(TokenShards)
-    return spark.read.format("token_shards").option("dtype", dtype).option("block", block).load(",".join(paths))
+    files = json.dumps([list(x) for x in zip(paths, counts or [None] * len(paths))])
+    return spark.read.format("token_shards").option("dtype", dtype).option("block", block).option("files", files).load()
 
 
 def synthetic(spark: SparkSession, n: int, length: int, vocabulary: int, seed: int) -> DataFrame:
