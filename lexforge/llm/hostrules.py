@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import cut, mapped, partitions, pieces, utf8
+from lexforge.llm.common import cut, mapped, partitions, pieces, shared_dir, utf8
+from lexforge.operators.bitmap import bitmap, marked
 
 SYMBOLS, SPACES = b"#*$%&|<>", b" \t\n\r\x0b\x0c"
 #: Rules whose rates are taken by host. A document fails one at the first threshold; on a host that fails the rule,
@@ -23,7 +25,8 @@ RULES = {
 }
 #: A host fails a rule if the shrunken share of its documents that fail it is over this.
 HOST_RATE = 0.5
-#: Failing hosts up to this many are broadcast (a name and a few bits each); more are joined by a shuffle.
+#: Failing hosts up to this many are broadcast (a name and a few bits each); of more, a bitmap (64 MB at most) is, and only
+#: documents of hosts that it lets through are shuffled.
 BROADCAST_HOSTS = 10_000
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -114,15 +117,22 @@ def judged(counted: DataFrame, verdicts: DataFrame, host: str = "source", prefix
     """counted with base_failed and kept: hosts' verdicts joined back. A document of a failing host goes only if it shows
     signs of the same failure itself. A null host is a host of its own."""
     bad = verdicts.filter(F.exists("__failing", lambda x: x))
-    bad = F.broadcast(bad) if bad.count() <= BROADCAST_HOSTS else bad
+    n = bad.count()
     hard = [_expr(RULES[r][0], prefix) for r in ("few_words", "repeats")]
     soft = [F.col("__failing")[k] & _expr(soft, prefix) for k, (_, soft) in enumerate(RULES.values())]
     guilty = soft[0]
     for x in soft[1:]:
         guilty = guilty | x
+    if n <= BROADCAST_HOSTS:
+        joined = counted.join(F.broadcast(bad), counted[host].eqNullSafe(bad["__host"]), "left")
+    else:
+        key = F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit(""))  # a null host has a key, too
+        pages, size = bitmap(bad, F.coalesce(F.concat(F.lit("="), F.col("__host")), F.lit("")), n)
+        each = marked(counted, key, pages, size)
+        hit = each.filter("__hit").drop("__hit").join(bad, F.col(host).eqNullSafe(F.col("__host")), "left")
+        joined = each.filter("NOT __hit").drop("__hit").unionByName(hit, allowMissingColumns=True)
     return (
-        counted.join(bad, counted[host].eqNullSafe(bad["__host"]), "left")
-        .withColumn("base_failed", hard[0] | hard[1])
+        joined.withColumn("base_failed", hard[0] | hard[1])
         .withColumn("kept", ~F.col("base_failed") & ~F.coalesce(guilty, F.lit(False)))
         .drop("__host", "__failing")
     )
@@ -139,8 +149,16 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def passing(docs: DataFrame) -> DataFrame:
-    """The documents kept, with the columns of docs. Texts are read twice and never shuffled."""
+    """The documents kept, with the columns of docs. Null and empty texts have no words and go; repeated rows are judged each; a
+    null source is a host; an empty table gives no rows.
+
+    Texts are counted once and never shuffled: the documents lie beside their counts, as Parquet in the shared folder, until the
+    hosts' verdicts, made of the counts' columns alone, are there.
+    """
     p = "__rule_"
-    verdicts = host_verdicts(with_stats(docs, ["source"], p), prefix=p)
-    counted = with_stats(docs, docs.columns, p)
-    return judged(counted.withColumnsRenamed({x: f"__own_{x}" for x in ("base_failed", "kept") if x in docs.columns}), verdicts, prefix=p).filter("kept").drop("base_failed", "kept").withColumnsRenamed({f"__own_{x}": x for x in ("base_failed", "kept") if x in docs.columns}).select(*docs.columns)
+    folder = f"{shared_dir(docs.sparkSession).rstrip('/')}/counted-{uuid.uuid4().hex}"
+    with_stats(docs, docs.columns, p).write.parquet(folder)
+    counted = docs.sparkSession.read.parquet(folder)
+    own = {x: f"__own_{x}" for x in ("base_failed", "kept") if x in docs.columns}
+    out = judged(counted.withColumnsRenamed(own), host_verdicts(counted, prefix=p), prefix=p).filter("kept").drop("base_failed", "kept")
+    return out.withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)

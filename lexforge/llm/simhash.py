@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lexforge.llm.common import cut, in_files, mapped, partitions, pieces, utf8
 from lexforge.llm.components import connected_components
+from lexforge.operators.bitmap import bitmap, marked
 
 BITS, SEED, SHINGLE, RADIUS = 64, 42, 4, 4
 #: Fingerprints of one bucket that one task compares; larger buckets are tiled.
@@ -302,7 +303,8 @@ def survivors(docs: DataFrame) -> DataFrame:
     than any other; of several texts with that doc_id, the one of the smallest hash.
 
     Rows that share doc_id and text are one. A null text is an empty one. Texts move only where a row's doc_id and text
-    repeat: what goes is found on ids and hashes, and taken out by a broadcast if it is small.
+    repeat: what goes is found on ids and hashes, and taken out by a broadcast of these, or of a bitmap of them if they are many.
+    An empty table gives no rows.
     """
     fps = cut(fingerprints(docs))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "same")
@@ -314,14 +316,23 @@ def survivors(docs: DataFrame) -> DataFrame:
     judged = cut(rows.join(kept, is_kept, "left").select("__id", "__same", F.col("k_same").isNotNull().alias("kept"), "rows").filter("NOT kept OR rows > 1"), fps.count())
     gone, twice = (judged.filter(x).select("__id", "__same") for x in ("NOT kept", "kept"))
 
-    def bounded(x: DataFrame) -> tuple[DataFrame, int]:
-        n = x.count()
-        return (F.broadcast(x) if n <= BROADCAST_ROWS else x), n
-
-    here = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (same() == F.col("__same"))
-    (gone, _), (twice, repeated) = bounded(gone), bounded(twice)
-    out = docs.join(gone, here, "left_anti")
+    (gone, n), (twice, repeated) = ((x, x.count()) for x in (gone, twice))
+    key = F.struct(docs["doc_id"].cast("long"), same())
+    out = matching(docs, key, gone, n, "left_anti")
     if not repeated:
         return out
-    marked = out.join(twice, here, "left_semi").withColumns({"__id": F.col("doc_id").cast("long"), "__same": same()})
-    return out.join(twice, here, "left_anti").unionByName(marked.dropDuplicates(["__id", "__same"]).select(*docs.columns))
+    alone = matching(out, key, twice, repeated, "left_anti")
+    marked = matching(out, key, twice, repeated, "left_semi").withColumns({"__id": F.col("doc_id").cast("long"), "__same": same()})
+    return alone.unionByName(marked.dropDuplicates(["__id", "__same"]).select(*docs.columns))
+
+
+def matching(docs: DataFrame, key: F.Column, listed: DataFrame, n: int, how: str) -> DataFrame:
+    """docs joined (left_anti or left_semi) with listed (__id, __same), n rows: by a broadcast while they are few; beyond, a bitmap of
+    them, 64 MB at most, is broadcast, and only the documents it lets through, the listed ones and few others, are shuffled."""
+    here = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (same() == F.col("__same"))
+    if n <= BROADCAST_ROWS:
+        return docs.join(F.broadcast(listed), here, how)
+    pages, size = bitmap(listed, F.struct("__id", "__same"), n)
+    each = marked(docs, key, pages, size)
+    hit = each.filter("__hit").drop("__hit").join(listed, here, how)
+    return hit if how == "left_semi" else each.filter("NOT __hit").drop("__hit").unionByName(hit)

@@ -20,7 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexforge.llm.common import cut, mapped, partitions, pieces, shared_dir, utf8
+from lexforge.operators.bitmap import bitmap, marked
 
+#: Verdicts up to this many are broadcast.
+BROADCAST_ROWS = 1_000_000
 #: An archive is closed when its records have this many bytes.
 ROLL = 128 << 20
 WARC, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
@@ -131,9 +134,9 @@ def members(f, length: int) -> dict[str, tuple[int, int, int]]:
 # --- WARC ----------------------------------------------------------------------------------------------------------
 
 
-def name_of(page_id: int | None, row: int) -> str:
-    """The record's id. row tells apart what shares a page_id, or has none."""
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{row}')}>"
+def name_of(page_id: int | None, sha: str, row: int) -> str:
+    """The record's id. row tells apart what shares a page_id, or has none, and a payload."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{sha}:{row}')}>"
 
 
 def record(page_id: int | None, row: int, url: str, payload: bytes, sha: str, of: tuple[int | None, int] | None) -> bytes:
@@ -144,14 +147,14 @@ def record(page_id: int | None, row: int, url: str, payload: bytes, sha: str, of
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if of is None else 'revisit'}",
-        f"WARC-Record-ID: {name_of(page_id, row)}",
+        f"WARC-Record-ID: {name_of(page_id, sha, row)}",
         "WARC-Date: 2000-01-01T00:00:00Z",
         f"WARC-Target-URI: {re.sub('[' + chr(0) + '-' + chr(32) + ']', '', url)}",
         f"WARC-Payload-Digest: sha1:{sha}",
         *([f"X-Page-ID: {page_id}"] if page_id is not None else []),
     ]
     if of is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {name_of(*of)}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {name_of(of[0], sha, of[1])}"]
         head += [f"X-Refers-To-Page-ID: {of[0]}"] if of[0] is not None else []
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return gzip.compress("\r\n".join(head).encode() + block + b"\r\n\r\n", 6, mtime=0)
@@ -267,9 +270,11 @@ def with_verdicts(pages: DataFrame, least: int = 0) -> DataFrame:
     """pages (page_id, url, html) -> (page_id, row, url, html, payload_digest, response): of the rows of an equal payload of
     `least` bytes or more, the one with the smallest page_id has a null response, and is that of the others.
 
-    row is the row's place in its part of the input. Verdicts are found without the texts, one for each page_id and
-    digest, and joined back on these, so a page that very many rows copy is spread by their page_id. Only among rows that
-    share both does the place decide which is first.
+    Verdicts are found without the texts, one for each page_id and
+    digest of payloads that occur twice or more, and joined back on these, by a broadcast while they are few; beyond, only rows that
+    a bitmap of their digests lets through are shuffled, and spread by their page_id. Of rows that share both, which are
+    written to the shared folder first, the one with the smallest place is the response. row is 0 for a response that others
+    revisit, else 1 and the row's place in its part of the input; page_id, digest and row name a record.
     """
     schema = "page_id long, url string, html string, row long, payload_digest string, n long"
 
@@ -284,21 +289,33 @@ def with_verdicts(pages: DataFrame, least: int = 0) -> DataFrame:
             at += len(html)
 
     hashed = mapped(pages.select("page_id", "url", "html"), run, schema)
-    slim = cut(hashed.groupBy("page_id", "payload_digest", "n").agg(F.min("row").alias("first_row"), F.count("*").alias("rows")))
-    order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", F.col("first_row").alias("row"))
+    slim = cut(hashed.groupBy("page_id", "payload_digest", "n").agg(F.count("*").alias("rows")))
+    order = F.struct(F.col("page_id").isNull().alias("none"), "page_id")
     first = slim.groupBy("payload_digest").agg(F.min(order).alias("f"), F.sum("rows").alias("copies")).filter("copies > 1")
-    verdicts = slim.join(first, "payload_digest", "left").select(
-        F.col("page_id").alias("__page"),
-        F.col("payload_digest").alias("__digest"),
-        "rows",
-        F.when(F.col("f").isNotNull() & (F.col("n") >= least), F.struct(F.col("f.page_id").alias("page_id"), F.col("f.row").alias("row"))).alias("response"),
-    )
-    same = hashed["page_id"].eqNullSafe(F.col("__page")) & (hashed["payload_digest"] == F.col("__digest"))
-    joined = hashed.drop("n").join(verdicts, same)
-    # a page_id and digest of one row is itself the first if it has the first's page_id, whatever its place
-    alone = (F.col("rows") == 1) & F.col("page_id").eqNullSafe(F.col("response.page_id"))
-    own = F.col("response").isNull() | alone | (F.col("page_id").eqNullSafe(F.col("response.page_id")) & (F.col("row") == F.col("response.row")))
-    return joined.withColumn("response", F.when(~own, F.col("response"))).drop("__page", "__digest", "rows")
+    verdicts = cut(slim.filter(F.col("n") >= least).join(first, "payload_digest").select(
+        F.col("page_id").alias("__page"), F.col("payload_digest").alias("__digest"), "rows", F.struct(F.col("f.page_id").alias("page_id"), F.lit(0).cast("long").alias("row")).alias("response")
+    ))
+    copied = verdicts.count()
+    same = F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("payload_digest") == F.col("__digest"))
+    # only copies need a verdict: the others' texts go no way but to their archive
+    if copied <= BROADCAST_ROWS:
+        joined = hashed.join(F.broadcast(verdicts), same, "left")
+    else:
+        pages_, size = bitmap(verdicts, F.col("__digest"), copied)
+        each = marked(hashed, F.col("payload_digest"), pages_, size)
+        joined = each.filter("NOT __hit").drop("__hit").unionByName(each.filter("__hit").drop("__hit").join(verdicts, same, "left"), allowMissingColumns=True)
+    joined = joined.drop("n")
+    of_first = F.col("response").isNotNull() & F.col("page_id").eqNullSafe(F.col("response.page_id"))
+    place, last = F.col("row") + 1, ["page_id", "row", "url", "html", "payload_digest", "response"]
+    sure = joined.filter(~(of_first & (F.col("rows") > 1))).withColumns({"row": F.when(of_first, F.lit(0).cast("long")).otherwise(place), "response": F.when(~of_first, F.col("response"))}).select(*last)
+    if verdicts.filter(F.col("__page").eqNullSafe(F.col("response.page_id")) & (F.col("rows") > 1)).isEmpty():
+        return sure
+    # rows that share the first's page_id and payload are written down before one of them is chosen
+    equal = cut(joined.filter(of_first & (F.col("rows") > 1)).select(*last))
+    chosen = equal.groupBy(F.col("page_id").alias("__page"), F.col("payload_digest").alias("__digest")).agg(F.min("row").alias("__row"))
+    first = F.col("row") == F.col("__row")
+    named = equal.join(chosen, same).withColumns({"response": F.when(~first, F.col("response")), "row": F.when(first, F.lit(0).cast("long")).otherwise(place)})
+    return sure.unionByName(named.select(*last))
 
 
 def warc_round_trip(pages: DataFrame, folder: str | None = None, least: int = 0, roll: int = ROLL) -> DataFrame:

@@ -398,3 +398,21 @@ def test_a_cluster_must_name_the_shared_folder():
     context = N(getConf=lambda: N(get=lambda *_: None), master="spark://host:7077", _jsc=N(sc=lambda: N(getCheckpointDir=lambda: N(isDefined=lambda: False))))
     with pytest.raises(ValueError, match="checkpoint"):
         common.shared_dir(N(sparkContext=context, conf=N(get=lambda *_: None)))
+
+
+# --- listed rows beyond a broadcast ------------------------------------------------------------------------------------
+
+
+def test_lists_beyond_a_broadcast_give_the_same(spark, docs, monkeypatch):
+    """Survivors, kept documents and archive records by bitmaps are those by broadcasts."""
+    from lexforge.llm import hostrules
+
+    twice = docs.filter("doc_id IN (3, 130)").unionByName(docs)
+    pages = spark.createDataFrame([(k, f"u{k}", "h" * (k % 7)) for k in range(40)] + [(None, None, None), (5, "u", "h" * 5)], "page_id long, url string, html string").repartition(3)
+    key = lambda r: tuple(str(x) for x in r)
+    results = lambda: [sorted(map(key, f.collect())) for f in (simhash.survivors(twice), hostrules.passing(twice), warc.warc_round_trip(pages).select("page_id", "payload_digest", "record_type", "refers_to"))]
+    few = results()
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(hostrules, "BROADCAST_HOSTS", -1)
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", -1)
+    assert results() == few and all(few)
