@@ -306,7 +306,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a leak, with the columns of docs. Texts stay where they are: each task drops its own."""
+    """The documents without a leak, with the columns of docs. Texts stay where they are: each task drops its own. Null and wordless
+    texts have no leak and stay, as do all if there is no item; repeated rows are judged each; an empty table gives no rows."""
     at, held = docs.columns.index("text"), shared_indexes(docs, benchmark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

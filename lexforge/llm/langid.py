@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,9 +17,12 @@ from lexforge.llm.common import cut, fold, mapped, pieces, utf8
 ORDER = 3
 #: Training documents of each language, drawn by a hash; the bound of the sample the classifier is fitted on.
 DOCUMENTS = 4_000
-#: Counted (context, byte) pairs that go to the driver, shared evenly by the languages but LEAST for each; bytes of the
-#: tables of code lengths for contexts of two and three bytes. Contexts of one byte have tables whatever they take.
-PAIRS, LEAST, TABLE = 1_500_000, 20_000, 64 << 20
+#: Counted (context, byte) pairs that go to the driver as columns of numbers, about 24 bytes each: shared evenly by the
+#: languages, but LEAST for each.
+PAIRS, LEAST = 1_500_000, 20_000
+#: Bytes of the tables of code lengths for contexts of two and three bytes, and of a whole model, which every executor holds.
+#: Contexts of none and one byte, and the way from three bytes to a row, are in the latter; languages beyond it are an error.
+TABLE, WHOLE = 64 << 20, 256 << 20
 NONE = "und"
 
 
@@ -56,20 +60,22 @@ class Model:
     usual: np.ndarray  # of each language, bits that a byte of its own training texts costs
 
 
-def model_of(rows: list[tuple[str, int, int]]) -> Model | None:
+def model_of(rows: pa.Table | list[tuple[str, int, int]]) -> Model | None:
     """Context trees of orders 0 to 3 for each language, and from them the bits of every symbol in every context.
 
     Escapes by method C with exclusion: in a context with n occurrences of q different symbols, an unseen one costs the
     share q / (n + q), and the shorter context leaves out what the longer one has seen. A context that a language never
     saw passes to the next shorter one at no cost; below order 0 all symbols are equal.
     """
-    if not rows:
+    if not len(rows):
         return None
-    langs = sorted({r[0] for r in rows})
-    which = {x: k for k, x in enumerate(langs)}
-    lang = np.fromiter((which[r[0]] for r in rows), np.int64, len(rows))
-    gram = np.fromiter((r[1] for r in rows), np.int64, len(rows))
-    times = np.fromiter((r[2] for r in rows), np.float64, len(rows))
+    if not isinstance(rows, pa.Table):
+        rows = pa.table({"lang": pa.array([r[0] for r in rows]), "gram": pa.array([r[1] for r in rows], pa.int64()), "n": pa.array([r[2] for r in rows], pa.int64())})
+    langs = sorted(rows.column("lang").unique().to_pylist())
+    lang = pc.index_in(rows.column("lang"), pa.array(langs)).to_numpy().astype(np.int64)
+    gram, times = rows.column("gram").to_numpy(), rows.column("n").to_numpy().astype(np.float64)
+    order = np.lexsort((gram, lang))  # sums don't depend on how rows came
+    lang, gram, times = lang[order], gram[order], times[order]
     seen = np.bincount(gram & 255, times, 256)
     order = [int(b) for b in np.argsort(-seen, kind="stable") if seen[b] and b]  # UTF-8 has 243 different bytes
     table = np.ones(256, np.uint8)
@@ -84,7 +90,10 @@ def model_of(rows: list[tuple[str, int, int]]) -> Model | None:
         each, total = np.unique(context, return_inverse=True)
         return np.sort(each[np.argsort(-np.bincount(total, times), kind="stable")[:most]])
 
-    most = TABLE // (4 * n * len(langs))
+    rest = WHOLE - 4 * n**3 - 4 * n * (n + 1) * len(langs)
+    if rest < 0:
+        raise ValueError(f"{len(langs)} languages of {n} symbols take {WHOLE - rest} bytes, over the {WHOLE} of a model: learn fewer at a time")
+    most = min(TABLE, rest) // (4 * n * len(langs))
     two = most_used(c2, most)
     own = most_used(c3, max(0, most - len(two)))
     k3, k2 = len(own), len(two)
@@ -159,8 +168,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", most: int = DOCUMENTS) -> Model
     u = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit("lang")), 11) / float(1 << 53)
     drawn = train.join(F.broadcast(share), F.col("lang") == F.col("__lang")).filter(u < F.col("__share"))  # a row for each language
     each = cut(counts(drawn))
-    rows = most_of_each(each).collect()
-    return model_of(sorted((r["lang"], r["gram"], r["n"]) for r in rows))
+    return model_of(most_of_each(each).select("lang", "gram", "n").toArrow())
 
 
 def most_of_each(each: DataFrame, most: int | None = None) -> DataFrame:
@@ -190,7 +198,7 @@ def predicted(docs: DataFrame, model: Model | None, keep: list[str], prefix: str
         schema = schema.add(x, kind)
     source = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
     at = source.columns.index("text")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # TABLE bytes at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # WHOLE bytes at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -222,7 +230,8 @@ def languages(docs: DataFrame) -> DataFrame:
 
 
 def recognised(docs: DataFrame, least: float = 0.5, dearest: float = 2.5) -> DataFrame:
-    """The documents whose language is recognised with a posterior of `least` or more, with the columns of docs.
+    """The documents whose language is recognised with a posterior of `least` or more, with the columns of docs. Null texts and
+    those without a letter go; repeated rows are judged each; an empty table, or one without a language, gives no rows.
 
     The posterior only weighs the learned languages against each other; a text in none of them, or in no language, shows by
     a byte costing over `dearest` times what is usual in the language that fits it best.

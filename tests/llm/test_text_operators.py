@@ -282,6 +282,26 @@ def test_code_lengths_are_those_of_the_tree():
         assert bits == pytest.approx(plain_ppm(texts, text), rel=1e-4, abs=1e-4), text
 
 
+def test_a_model_of_a_thousand_languages_keeps_to_its_bound():
+    """Grams of five scripts in a thousand languages: the tables that executors hold are counted whole; more is an error."""
+    import pickle
+
+    rng = random.Random(4)
+    scripts = [range(0x61, 0x7B), range(0x430, 0x450), range(0x5D0, 0x5EB), range(0x904, 0x93A), range(0x4E00, 0x4F00)]
+    rows = []
+    for k in range(1_000):
+        raw = b"\0\0\0" + "".join(chr(rng.choice(scripts[k % 5])) + " " * (rng.random() < 0.2) for _ in range(60)).encode()
+        grams = Counter(int.from_bytes(raw[i - 3 : i + 1], "big") for i in range(3, len(raw)))
+        rows += [(f"l{k:04d}", g, n) for g, n in grams.items()]
+    model = langid.model_of(rows)
+    size = len(pickle.dumps(model))
+    assert len(model.langs) == 1_000 and 4 * model.n**2 * 1_000 < size <= langid.WHOLE + (1 << 20)
+    some = [f"{chr(0x430)}{chr(0x431)} {chr(0x430)}".encode()]
+    assert langid.code_lengths(model, some).shape == (1, 1_000)
+    with pytest.raises(ValueError, match="fewer at a time"):
+        langid.model_of([(f"l{k}", (a << 8) | b, 1) for k in range(1_200) for a, b in [(k % 230 + 10, k * 7 % 230 + 10)]])
+
+
 # --- quality classifier -------------------------------------------------------------------------------------------------
 
 
