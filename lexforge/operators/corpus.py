@@ -72,6 +72,24 @@ def phase_targets(phases: dict[str, tuple[int, dict[str, float]]], scale: float
     return out
 
 
+def shares(rows: DataFrame, name: str, weight: str) -> DataFrame:
+    """rows (name, weight) -> (name, share): weights below zero count as none, and the others' shares add up to one; all have the
+    same if none is above zero."""
+    w = F.greatest(F.lit(0.0), F.col(weight).cast("double"))
+    total = rows.select(F.sum(w).alias("__all"), F.count("*").alias("__n"))  # one row
+    share = F.when(F.col("__all") > 0, F.col("__w") / F.col("__all")).otherwise(F.lit(1.0) / F.col("__n"))
+    return rows.withColumn("__w", w).join(F.broadcast(total)).select(name, share.alias("share"))
+
+
+def targets(weights: DataFrame, phases: dict[str, int], scale: float = 1.0) -> DataFrame:
+    """weights (source, share), phase -> tokens: (phase, source, tokens), each phase's tokens times `scale`, dealt by share, all
+    rounded half to even; the first source by name takes what rounding leaves."""
+    each = weights.withColumn("p", F.explode(F.array(*[F.struct(F.lit(p).alias("phase"), F.bround(F.lit(n) * F.lit(scale)).cast("long").alias("total")) for p, n in phases.items()]))).select("source", "share", "p.*")
+    own = each.withColumn("tokens", F.bround(F.col("total") * F.col("share")).cast("long"))
+    rest = own.groupBy("phase").agg((F.first("total") - F.sum("tokens")).alias("rest"), F.min("source").alias("first"))
+    return own.join(F.broadcast(rest), "phase").select("phase", "source", (F.col("tokens") + F.when(F.col("source") == F.col("first"), F.col("rest")).otherwise(0)).alias("tokens"))
+
+
 def first_of_source(docs: DataFrame, n: int, seed: int | None = None) -> DataFrame:
     """The first n rows (seq, source, ...) of each source, in order of seq, or with a seed in that of a hash of it.
 

@@ -91,9 +91,10 @@ def filled(template: Column, key: Column, value: Column) -> Column:
     return F.replace(F.replace(template, F.lit("{key}"), key), F.lit("{value}"), value)
 
 
-def groups(spark: SparkSession, n: int, records: int, seed: int) -> DataFrame:
-    """n groups for each template: (group_id, task_type, split, answer_type, records of distinct keys, the template)."""
-    rows = spark.range(n).select(F.col("id").alias("g"), F.inline(templates()))
+def groups(spark: SparkSession, n: int | DataFrame, records: int, seed: int) -> DataFrame:
+    """A group for each template and number below n, or each number `g` that a table gives: (group_id, task_type, split, answer_type, records of distinct keys, the template)."""
+    numbers = n if isinstance(n, DataFrame) else spark.range(n).withColumnRenamed("id", "g")
+    rows = numbers.select("g", F.inline(templates()))
     gid = F.concat_ws("-", F.lit(str(seed)), "task_type", "split", F.col("g").cast("string"))
     rows = rows.withColumn("group_id", gid).withColumn("answer_type", F.when(number(F.col("group_id"), "t") % 100 < 60, "alphanumeric").otherwise("number"))
 
@@ -234,14 +235,15 @@ def dense_line(template: Column, key: Column, value: Column, i: Column) -> Colum
     return F.when(template == "record_kv", record).otherwise(F.concat(F.lit("key: "), key, F.lit(" | value: "), value, F.lit("\n")))
 
 
-def dense_examples(spark: SparkSession, samples: int, lengths: list[int], seed: int, positions=DENSE_POSITIONS, most: int = 400) -> DataFrame:
-    """Key-value examples of long contexts: `samples` for each length and each of nine positions. Template and answer type are
+def dense_examples(spark: SparkSession, samples: int | DataFrame, lengths: list[int], seed: int, positions=DENSE_POSITIONS, most: int = 400) -> DataFrame:
+    """Key-value examples of long contexts: `samples` (a number, or a table of `sample`s) for each length and each of nine positions. Template and answer type are
     weighted choices; of hard_kv, seven keys in ten share the target's first five characters; near misses of a family come
     first among the decoys. The most records, `most` of them at most, whose text has the length's tokens at most, found by a
     running sum of their lines; the target stands at its position among them.
     """
     cells = F.array(*[F.struct(F.lit(n).alias("target_length"), F.lit(name).alias("evidence_position"), F.lit(ratio).alias("position_ratio")) for n in lengths for name, ratio in positions])
-    rows = spark.range(samples).select(F.col("id").alias("sample"), F.explode(cells).alias("c")).select("sample", "c.*")
+    numbers = samples if isinstance(samples, DataFrame) else spark.range(samples).withColumnRenamed("id", "sample")
+    rows = numbers.select("sample", F.explode(cells).alias("c")).select("sample", "c.*")
     rows = rows.withColumn("example_id", F.concat_ws("-", F.lit(str(seed)), F.col("target_length").cast("string"), "evidence_position", F.col("sample").cast("string")))
     e = F.col("example_id")
     rows = rows.withColumns({"template": weighted(e, "template", TEMPLATE_WEIGHTS), "answer_type": weighted(e, "answer", ANSWER_WEIGHTS), "family": F.element_at(F.array(*[F.lit(x) for x in FAMILIES]), (number(e, "family") % len(FAMILIES) + 1).cast("int"))})

@@ -98,9 +98,14 @@ def revalued(rows: DataFrame) -> DataFrame:
     return rows.withColumn("prompt", F.array_join(F.transform(lines, renewed), "\n")).withColumn("value", fresh(F.col("key")))
 
 
-def mini(spark, sizes: list[int], positions: list[float], samples: int, seed: int) -> DataFrame:
-    """Examples of n short records: eight letters and eight digits from hashes, distinct by their index in them."""
-    cells = grid(spark, sizes, positions).withColumn("sample_index", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+def samples_of(spark, samples: int | DataFrame) -> DataFrame:
+    """(sample_index): the numbers below `samples`, or those that a table gives."""
+    return samples.select(F.col("sample_index").cast("long")) if isinstance(samples, DataFrame) else spark.range(samples).withColumnRenamed("id", "sample_index")
+
+
+def mini(spark, sizes: list[int], positions: list[float], samples: int | DataFrame, seed: int) -> DataFrame:
+    """Examples of n short records: eight letters and eight digits from hashes of the sample, distinct by their index in them."""
+    cells = with_cells(samples_of(spark, samples), sizes, positions)
     n = F.col("num_keys")
 
     def h(i: Column, what: str) -> Column:
@@ -128,19 +133,20 @@ def mini(spark, sizes: list[int], positions: list[float], samples: int, seed: in
 def budget_fit(lines: DataFrame, fixed: int, targets: list[int]) -> DataFrame:
     """lines (i, n): tokens of record line i, from 1 -> for each target the count of records whose prompt comes closest.
 
-    Token counts of lines add up, as no token spans a line end. The first of equally close counts wins.
+    Token counts of lines add up, as no token spans a line end; running totals are taken in stretches of i, so lines may be
+    any number. The first of equally close counts wins.
     """
-    from pyspark.sql import Window
+    from lexforge.operators.prefix import with_running_total
 
-    upto = lines.withColumn("total", F.sum("n").over(Window.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)) + fixed)
+    upto = with_running_total(lines, [], "i", "n", "before").withColumn("total", F.col("before") + F.col("n") + fixed)
     each = upto.withColumn("target_tokens", F.explode(F.array(*[F.lit(t) for t in targets])))
     delta = F.abs(F.col("total") - F.col("target_tokens"))
     return each.groupBy("target_tokens").agg(F.min_by(F.struct("i", "total"), F.struct(delta, F.col("i"))).alias("b")).select("target_tokens", F.col("b.i").alias("num_records"), F.col("b.total").alias("tokens"))
 
 
-def needles(spark, lengths: list[int], positions: list[float], samples: int, seed: int) -> DataFrame:
+def needles(spark, lengths: list[int], positions: list[float], samples: int | DataFrame, seed: int) -> DataFrame:
     """Needle probes: numbered filler lines up to a token budget with one line of evidence at a share of it."""
-    cells = grid(spark, lengths, positions).withColumnRenamed("num_keys", "context_length_target").withColumn("sample_index", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    cells = with_cells(samples_of(spark, samples), lengths, positions).withColumnRenamed("num_keys", "context_length_target")
     code = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("context_length_target").cast("string"), F.format_string("%.2f", "position_ratio"), F.col("sample_index").cast("string"))), 1, 8), 16, 10).cast("long")
     answer = F.lpad((code % 1_000_000).cast("string"), 6, "0")
     evidence = F.concat(F.lit("The access code is "), F.col("answer"), F.lit(".\n"))

@@ -13,6 +13,7 @@ from lexforge.operators import attention, ranking, retrieval, scoring, trainlog
 from lexforge.plans.common import Query, plain, table, tokens_sql, uuid_sql
 
 GROUP, SAMPLES, SEED = 8, 50, 42
+BUDGETS = [256, 1_024, 4_096, 16_384, 65_536]
 SIZES, POSITIONS, CROPPED = [8], [0.0, 0.25, 0.5, 0.75, 1.0], [3, 5]
 #: Candidates of an example, and examples' ids that are queried: every one.
 NEXT = (1, 2, 3, 5, 8, 13)
@@ -65,8 +66,13 @@ def _scored(spark, d, salt: str = "p"):
     return scoring.score_kv(_predictions(spark, d, salt))
 
 
+def _asked(spark, d):
+    """Every customer asks for a sample of its own."""
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("sample_index"))
+
+
 def _mini_scored(spark, d):
-    rows = retrieval.mini(spark, [4, 6], [0.0, 0.5, 1.0], 20, SEED)
+    rows = retrieval.mini(spark, [4, 6], [0.0, 0.5, 1.0], _asked(spark, d), SEED)
     digit = _digit(F.col("example_id"), "m")
     listed = T.record_values(F.col("prompt"), r"\d+")
     said = F.when(digit < 8, F.concat(F.lit("value "), "value")).when(digit < 12, F.get(listed, F.lit(1))).when(digit < 14, F.lit("00000000")).otherwise(F.lit("none"))
@@ -131,7 +137,9 @@ def _log(spark, d):
 
 
 def litm_grid(spark, d):
-    return plain(retrieval.grid(spark, [75, 140, 300], POSITIONS).withColumn("target_index", T.target_index(F.col("position_ratio"), F.col("num_keys"))))
+    """Every group of orders in every cell, and where its record goes."""
+    rows = table(spark, d, "orders").select(F.floor(F.col("o_orderkey") / GROUP).alias("source_index")).distinct()
+    return plain(retrieval.with_cells(rows, [75, 140, 300], POSITIONS).withColumn("target_index", T.target_index(F.col("position_ratio"), F.col("num_keys"))))
 
 
 def _shown(rows):
@@ -147,7 +155,7 @@ def litm_cropped(spark, d):
 
 
 def minikv_examples(spark, d):
-    return plain(retrieval.mini(spark, [4, 6], [0.0, 0.5, 1.0], 20, SEED).withColumn("prompt", F.md5("prompt")))
+    return plain(retrieval.mini(spark, [4, 6], [0.0, 0.5, 1.0], _asked(spark, d), SEED).withColumn("prompt", F.md5("prompt")))
 
 
 def minikv_reval(spark, d):
@@ -155,12 +163,13 @@ def minikv_reval(spark, d):
 
 
 def record_budget_fit(spark, d):
-    lines = spark.range(1, 2001).select(F.col("id").cast("int").alias("i"), (F.lit(8) + F.col("id") % 5).alias("n"))
-    return plain(retrieval.budget_fit(lines, 30, [256, 1024, 4096]))
+    """A line for each part, as long as its size says, and one for each of its digits."""
+    lines = table(spark, d, "part").select(F.col("p_partkey").alias("i"), (F.lit(8) + F.col("p_size") % 5 + F.length(F.col("p_partkey").cast("string"))).cast("long").alias("n"))
+    return plain(retrieval.budget_fit(lines, 30, BUDGETS))
 
 
 def needle_probe(spark, d):
-    return plain(retrieval.needles(spark, [256, 512], POSITIONS, 4, SEED).withColumn("prompt", F.md5("prompt")))
+    return plain(retrieval.needles(spark, [256, 512], POSITIONS, _asked(spark, d), SEED).withColumn("prompt", F.md5("prompt")))
 
 
 SCORES = ("exact_match", "contains_value", "first_value_match", "first_extracted_value", "num_extracted_values", "format_error", "predicted_index", "predicted_position_ratio", "predicted_in_context", "wrong_context_value", "hallucinated_value", "index_delta", "abs_index_delta")
@@ -271,7 +280,9 @@ def trainlog_summary(spark, d):
 
 
 def lr_schedule(spark, d):
-    return plain(spark.range(0, 1200, 20).select(F.col("id").alias("step"), (trainlog.learning_rate(F.col("id"), 3e-4, 3e-5, 100, 1000) * 1e6).alias("lr_millionths")))
+    """The rate of each event's step, warm-up and decay being a tenth and the most of a thousand steps."""
+    step = F.col("event_id") % 1_200
+    return plain(table(spark, d, "events").select("event_id", step.alias("step"), (trainlog.learning_rate(step, 3e-4, 3e-5, 100, 1000) * 1e6).alias("lr_millionths")))
 
 
 def train_val_split(spark, d):
@@ -326,7 +337,7 @@ _RATES = ", ".join(f"round(avg({c}), 6) AS {n}" for n, c in scoring.RATES.items(
 _SHOWN = "example_id, num_keys, position_ratio, sample_index, source_index, target_index, key, value, md5(prompt) AS prompt_md5, len({t})::BIGINT AS actual_prompt_tokens, target_record_token_start, target_record_token_start + own_n AS target_record_token_end"
 _SHOWN = _SHOWN.replace("{t}", tokens_sql("prompt"))
 _MINI_H = "md5('{seed}{what}:' || num_records || ':' || sample_index || ':' || i)"
-_MINI = f"""m AS (SELECT n AS num_records, p AS position_ratio, x AS sample_index FROM (SELECT unnest([4, 6]) AS n), (SELECT unnest([0.0, 0.5, 1.0]::DOUBLE[]) AS p), (SELECT unnest(range(0, 20)) AS x)),
+_MINI = f"""m AS (SELECT n AS num_records, p AS position_ratio, x AS sample_index FROM (SELECT unnest([4, 6]) AS n), (SELECT unnest([0.0, 0.5, 1.0]::DOUBLE[]) AS p), (SELECT c_custkey AS x FROM customer)),
 mr AS (SELECT *, list_transform(range(0, num_records), lambda i: {{
   'key': translate(substr({_MINI_H.format(seed=SEED, what="k")}, 1, 6), '0123456789', 'ghijklmnop') || lpad(translate(i::VARCHAR, '0123456789', 'qrstuvwxyz'), 3, 'q'),
   'value': (('0x' || substr({_MINI_H.format(seed=SEED, what="v")}, 1, 6))::BIGINT % 90000 + 10000)::VARCHAR || lpad(i::VARCHAR, 3, '0')}}) AS records FROM m),
@@ -371,7 +382,7 @@ def _attention_sql(keys: str, cast: str) -> str:
 
 _LOG = "lg AS (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step, epoch_us(ts) / 1e6::DOUBLE AS t, value AS loss FROM events), l2 AS (SELECT *, step * 4096 AS tokens_seen FROM lg), l3 AS (SELECT *, (tokens_seen - lag(tokens_seen) OVER w) / greatest(1e-6, t - lag(t) OVER w) AS tok_per_s, row_number() OVER w AS up, row_number() OVER (PARTITION BY run ORDER BY step DESC) AS down FROM l2 WINDOW w AS (PARTITION BY run ORDER BY step))"
 _BUCKET = "CASE WHEN predicted_index < 0 THEN 'not_in_context' WHEN predicted_index = 0 THEN 'target_0' " + " ".join(f"WHEN predicted_index / greatest(1, num_keys - 1)::DOUBLE < {b} THEN '{n}'" for b, n in T.INDEX_BUCKETS) + " ELSE 'end_90_100' END"
-_NEEDLE = f"""c AS (SELECT l AS context_length_target, p AS position_ratio, x AS sample_index FROM (SELECT unnest([256, 512]) AS l), (SELECT unnest({POSITIONS}::DOUBLE[]) AS p), (SELECT unnest(range(0, 4)) AS x)),
+_NEEDLE = f"""c AS (SELECT l AS context_length_target, p AS position_ratio, x AS sample_index FROM (SELECT unnest([256, 512]) AS l), (SELECT unnest({POSITIONS}::DOUBLE[]) AS p), (SELECT c_custkey AS x FROM customer)),
 n1 AS (SELECT *, lpad((('0x' || substr(md5('{SEED}:' || context_length_target || ':' || printf('%.2f', position_ratio) || ':' || sample_index), 1, 8))::BIGINT % 1000000)::VARCHAR, 6, '0') AS answer, greatest(2, (context_length_target - 15) // 7)::INT AS lines FROM c),
 n2 AS (SELECT *, greatest(1, floor(lines * position_ratio)::INT) AS ahead FROM n1), n3 AS (SELECT *, greatest(1, lines - ahead) AS after FROM n2),
 n4 AS (SELECT *, array_to_string(list_transform(range(1, ahead + 1), lambda i: 'Reference item ' || lpad(i::VARCHAR, 5, '0') || ' is on file.' || chr(10)), '') AS before, 'The access code is ' || answer || '.' || chr(10) AS evidence,
@@ -379,7 +390,7 @@ n4 AS (SELECT *, array_to_string(list_transform(range(1, ahead + 1), lambda i: '
 n5 AS (SELECT *, before || evidence || behind || 'Question: What is the access code?' || chr(10) || 'Answer:' AS text FROM n4)"""
 
 QUERIES: dict[str, Query] = {
-    "litm_grid": (litm_grid, f"SELECT n::BIGINT AS num_keys, p AS position_ratio, round_even(p * (n - 1), 0)::BIGINT AS target_index FROM (SELECT unnest([75, 140, 300]) AS n), (SELECT unnest({POSITIONS}::DOUBLE[]) AS p)"),
+    "litm_grid": (litm_grid, f"SELECT source_index, n::BIGINT AS num_keys, p AS position_ratio, round_even(p * (n - 1), 0)::BIGINT AS target_index FROM (SELECT DISTINCT o_orderkey // {GROUP} AS source_index FROM orders), (SELECT unnest([75, 140, 300]) AS n), (SELECT unnest({POSITIONS}::DOUBLE[]) AS p)"),
     "litm_examples": (litm_examples, f"WITH {_examples_sql(SIZES, 'kv', _SAMPLED)} SELECT {_SHOWN} FROM ex"),
     "litm_cropped": (litm_cropped, f"WITH {_examples_sql(CROPPED, 'crop', _SAMPLED)} SELECT {_SHOWN} FROM ex"),
     "minikv_examples": (minikv_examples, f"WITH {_MINI} SELECT * EXCLUDE (prompt), md5(prompt) AS prompt, len({tokens_sql('prompt')})::BIGINT AS actual_prompt_tokens FROM mini"),
@@ -391,7 +402,7 @@ SELECT example_id, key, (('0x' || substr(md5(example_id || ':' || key), 1, 8))::
     ),
     "record_budget_fit": (
         record_budget_fit,
-        "WITH l AS (SELECT i, sum(8 + i % 5) OVER (ORDER BY i) + 30 AS total FROM (SELECT unnest(range(1, 2001)) AS i)), t AS (SELECT unnest([256, 1024, 4096]) AS target_tokens) SELECT target_tokens::BIGINT AS target_tokens, i::BIGINT AS num_records, total::BIGINT AS tokens FROM l, t QUALIFY row_number() OVER (PARTITION BY target_tokens ORDER BY abs(total - target_tokens), i) = 1",
+        f"WITH l AS (SELECT p_partkey AS i, sum(8 + p_size % 5 + length(p_partkey::VARCHAR)) OVER (ORDER BY p_partkey) + 30 AS total FROM part), t AS (SELECT unnest({BUDGETS}) AS target_tokens) SELECT target_tokens::BIGINT AS target_tokens, i::BIGINT AS num_records, total::BIGINT AS tokens FROM l, t QUALIFY row_number() OVER (PARTITION BY target_tokens ORDER BY abs(total - target_tokens), i) = 1",
     ),
     "needle_probe": (
         needle_probe,
@@ -474,7 +485,7 @@ FROM answers WHERE num_candidates > 1 GROUP BY ROLLUP (target_length, evidence_p
     ),
     "lr_schedule": (
         lr_schedule,
-        "SELECT step::BIGINT AS step, round(1e6::DOUBLE * CASE WHEN step < 100 THEN 3e-4::DOUBLE * (step + 1) / 100 WHEN step >= 1000 THEN 3e-5::DOUBLE ELSE 3e-5::DOUBLE + (3e-4::DOUBLE - 3e-5::DOUBLE) * 0.5::DOUBLE * (1 + cos(pi() * (step - 100) / 900.0::DOUBLE)) END, 6) AS lr_millionths FROM (SELECT unnest(range(0, 1200, 20)) AS step)",
+        "SELECT event_id, step::BIGINT AS step, round(1e6::DOUBLE * CASE WHEN step < 100 THEN 3e-4::DOUBLE * (step + 1) / 100 WHEN step >= 1000 THEN 3e-5::DOUBLE ELSE 3e-5::DOUBLE + (3e-4::DOUBLE - 3e-5::DOUBLE) * 0.5::DOUBLE * (1 + cos(pi() * (step - 100) / 900.0::DOUBLE)) END, 6) AS lr_millionths FROM (SELECT event_id, event_id % 1200 AS step FROM events)",
     ),
     "train_val_split": (
         train_val_split,

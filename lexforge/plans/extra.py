@@ -9,6 +9,7 @@ from lexforge.functions import params
 from lexforge.functions import text as T
 from lexforge.operators import corpus, generators, quality, ranking, retrieval, scoring, tokenmetrics, training
 from lexforge.plans import evaluation as E
+from lexforge.plans import training as TR
 from lexforge.plans.common import Query, documents, plain, spread, table
 
 SEED, FIRST, BATCH, TOP = 42, 5, 7, 5
@@ -24,24 +25,24 @@ def _answered(rows, salt: str, answer: str = "answer"):
     return rows.withColumn("generated_text", said).withColumn("latency_sec", (digit + 1) / 16.0)
 
 
-def _probes(spark, salt):
-    return scoring.score_number(_answered(retrieval.needles(spark, [256, 512], E.POSITIONS, 4, SEED), salt))
+def _probes(spark, d, salt):
+    return scoring.score_number(_answered(retrieval.needles(spark, [256, 512], E.POSITIONS, E._asked(spark, d), SEED), salt))
 
 
 def score_position(spark, d):
-    return plain(_probes(spark, "p").select("example_id", "exact_match", "contains_answer", "first_number", "first_number_match"))
+    return plain(_probes(spark, d, "p").select("example_id", "exact_match", "contains_answer", "first_number", "first_number_match"))
 
 
 def summary_position(spark, d):
-    return plain(scoring.mean_summary(_probes(spark, "p"), ["context_length_target", "position_ratio"], scoring.POSITION_MEANS).orderBy("context_length_target", "position_ratio"))
+    return plain(scoring.mean_summary(_probes(spark, d, "p"), ["context_length_target", "position_ratio"], scoring.POSITION_MEANS).orderBy("context_length_target", "position_ratio"))
 
 
 def score_generation(spark, d):
-    return plain(_probes(spark, "g").select("example_id", "exact_match", "contains_answer", "first_number", "first_number_match", "num_numbers", "format_error"))
+    return plain(_probes(spark, d, "g").select("example_id", "exact_match", "contains_answer", "first_number", "first_number_match", "num_numbers", "format_error"))
 
 
 def summary_generation(spark, d):
-    rows = _probes(spark, "g").withColumn("method", F.lit("base")).unionByName(_probes(spark, "h").withColumn("method", F.lit("scaled")))
+    rows = _probes(spark, d, "g").withColumn("method", F.lit("base")).unionByName(_probes(spark, d, "h").withColumn("method", F.lit("scaled")))
     keys = ["method", "context_length_target", "position_ratio"]
     return plain(scoring.mean_summary(rows, keys, scoring.GENERATION_MEANS).orderBy(*keys))
 
@@ -56,7 +57,7 @@ def attention_right_wrong(spark, d):
 
 def _budget(spark, d):
     """Small examples as those of token budgets, two answers of each; target_tokens by their size."""
-    rows = retrieval.mini(spark, [4, 6, 9], [0.0, 0.5, 1.0], 20, SEED).withColumn("target_tokens", F.col("num_records") * 16)
+    rows = retrieval.mini(spark, [4, 6, 9], [0.0, 0.5, 1.0], E._asked(spark, d), SEED).withColumn("target_tokens", F.col("num_records") * 16)
     digit = E._digit(F.col("example_id"), "b")
     listed = T.record_values(F.col("prompt"), r"\d+")
     said = F.when(digit < 8, F.concat(F.lit("value "), "value")).when(digit < 12, F.get(listed, F.lit(2))).when(digit < 14, F.lit("00000000")).otherwise(F.lit("none"))
@@ -116,15 +117,15 @@ def chat_documents(spark, d):
 
 
 def targets_by_phase(spark, d):
-    out = corpus.phase_targets(PHASES, SCALE)
-    return plain(spark.createDataFrame([(p, s, n) for p, own in out.items() for s, n in own.items()], "phase string, source string, tokens long"))
+    """Each phase's tokens dealt to the sources of the documents by their shares of all documents."""
+    weights = corpus.shares(table(spark, d, "documents").groupBy("source").agg(F.count("*").cast("double").alias("n")), "source", "n")
+    return plain(corpus.targets(weights, {p: n for p, (n, _) in PHASES.items()}, SCALE))
 
 
 def source_shares(spark, d):
     """Weights of nations' customers, some below zero, over their sum."""
-    rows = table(spark, d, "customer").groupBy("c_nationkey").agg(F.sum(F.col("c_acctbal").cast("decimal(18,2)")).cast("double").alias("w")).collect()  # a row for each nation
-    own = params.shares([str(r["c_nationkey"]) for r in rows], {str(r["c_nationkey"]): r["w"] for r in rows})
-    return plain(spark.createDataFrame(list(own.items()), "nation string, share double"))
+    rows = table(spark, d, "customer").groupBy(F.col("c_nationkey").cast("string").alias("nation")).agg(F.sum(F.col("c_acctbal").cast("decimal(18,2)")).cast("double").alias("w"))
+    return plain(corpus.shares(rows, "nation", "w"))
 
 
 def rank_rollup_ordered(spark, d):
@@ -189,20 +190,20 @@ def batches(spark, d):
 
 def placed_blocks(spark, d):
     """Blocks of records with filler around; the tests hold them against plain Python."""
-    return plain(generators.placed_blocks(generators.groups(spark, 6, 8, SEED), 400, [0.0, 0.5, 1.0]).withColumn("prompt", F.md5("prompt")))
+    return plain(generators.placed_blocks(TR._groups(spark, d), 400, [0.0, 0.5, 1.0]).withColumn("prompt", F.md5("prompt")))
 
 
 def shared_filler(spark, d):
-    groups = generators.groups(spark, 6, 8, SEED)
+    groups = TR._groups(spark, d)
     return plain(generators.with_shared_filler(generators.queries_of(groups), groups, 120).withColumn("prompt", F.md5("prompt")).drop("distractor_values"))
 
 
 def dense_examples(spark, d):
-    return plain(generators.dense_examples(spark, 4, [256, 512], SEED, most=120).withColumn("prompt", F.md5("prompt")))
+    return plain(generators.dense_examples(spark, table(spark, d, "supplier").select(F.col("s_suppkey").alias("sample")), [256, 512], SEED, most=120).withColumn("prompt", F.md5("prompt")))
 
 
 def dense_counters(spark, d):
-    rows = generators.dense_examples(spark, 4, [256, 512], SEED, most=120)
+    rows = generators.dense_examples(spark, table(spark, d, "supplier").select(F.col("s_suppkey").alias("sample")), [256, 512], SEED, most=120)
     return plain(generators.counters(rows, ["target_length", "evidence_position", "answer_type", "template", "family", "records_in_context"]))
 
 
@@ -301,9 +302,9 @@ r AS (SELECT *, CASE WHEN chars < {quality.LEAST_CHARS} THEN 'fragment' WHEN lin
     "chat_documents": (chat_documents, f"SELECT doc_id AS seq FROM documents WHERE doc_id % 5 <> 0 AND NOT coalesce(regexp_matches(text, '{_CHAT}'), false)"),
     "targets_by_phase": (
         targets_by_phase,
-        "WITH p(phase, total, source, w, k) AS (VALUES "
-        + ", ".join(f"('{p}', {n}, '{s}', {w}::DOUBLE, {k})" for p, (n, own) in PHASES.items() for k, (s, w) in enumerate(own.items()))
-        + f"), t AS (SELECT *, round_even(total * {SCALE}::DOUBLE, 0)::BIGINT AS tt FROM p), r AS (SELECT *, round_even(tt * w, 0)::BIGINT AS n FROM t) SELECT phase, source, (n + CASE WHEN k = 0 THEN tt - sum(n) OVER (PARTITION BY phase) ELSE 0 END)::BIGINT AS tokens FROM r",
+        "WITH ph(phase, total) AS (VALUES "
+        + ", ".join(f"('{p}', {n})" for p, (n, _) in PHASES.items())
+        + f"), w AS (SELECT source, count(*) / sum(count(*)) OVER ()::DOUBLE AS w, row_number() OVER (ORDER BY source) - 1 AS k FROM documents GROUP BY source), p AS (SELECT * FROM ph, w), t AS (SELECT *, round_even(total * {SCALE}::DOUBLE, 0)::BIGINT AS tt FROM p), r AS (SELECT *, round_even(tt * w, 0)::BIGINT AS n FROM t) SELECT phase, source, (n + CASE WHEN k = 0 THEN tt - sum(n) OVER (PARTITION BY phase) ELSE 0 END)::BIGINT AS tokens FROM r",
     ),
     "source_shares": (source_shares, "WITH w AS (SELECT c_nationkey::VARCHAR AS nation, greatest(0, sum(c_acctbal::DECIMAL(18, 2)))::DOUBLE AS w FROM customer GROUP BY 1) SELECT nation, round(w / sum(w) OVER (), 6) AS share FROM w"),
     "rank_rollup_ordered": (

@@ -16,7 +16,7 @@ from lexforge.sources import readers, sinks
 from lexforge.sources.shardsink import write_shards
 from lexforge.sources.shared import fresh_folder
 
-ROWS, LENGTH, VOCABULARY, SEED = 500, 16, 60_000, 42
+LENGTH, VOCABULARY, SEED = 16, 60_000, 42
 
 
 def _texts(rows):
@@ -75,9 +75,7 @@ def src_kv_records(spark, d):
     """Groups of orders as the largest benchmark file; a size that has none reads it."""
     folder = fresh_folder(spark, "kv")
     rows = E._sources(spark, d).select("key", "value", F.transform("records", lambda r: F.array(r["key"], r["value"])).alias("ordered_kv_records"))
-    sinks.write_lines(rows.coalesce(1), folder, ".jsonl.gz", "gzip").collect()
-    store, base = readers.store_of(folder)
-    store.move(f"{base}/part-00000.jsonl.gz", f"{base}/kv-retrieval-300_keys.jsonl.gz")
+    sinks.write_lines(rows, f"{folder}/kv-retrieval-300_keys.jsonl.gz", ".jsonl.gz", "gzip").collect()  # a path for each part
     out = readers.kv_records(spark, folder, 40)
     return plain(out.select("key", "value", F.size("ordered_kv_records").alias("records"), F.get(F.get("ordered_kv_records", F.lit(0)), F.lit(1)).alias("first_value")))
 
@@ -104,7 +102,9 @@ def src_reuse(spark, d):
 
 
 def src_synthetic(spark, d):
-    return plain(readers.synthetic(spark, ROWS, LENGTH, VOCABULARY, SEED).select("row", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids")))
+    """A row of ids for each customer."""
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("row"))
+    return plain(readers.synthetic(spark, rows, LENGTH, VOCABULARY, SEED).select("row", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids")))
 
 
 def _written(spark, d):
@@ -189,7 +189,7 @@ QUERIES: dict[str, Query] = {
     "src_reuse": (src_reuse, "SELECT r_regionkey::BIGINT AS r_regionkey, r_name FROM region"),
     "src_synthetic": (
         src_synthetic,
-        f"SELECT r AS row, array_to_string(list_transform(range(0, {LENGTH + 1}), lambda i: ('0x' || substr(md5('{SEED}:' || r || ':' || i), 1, 7))::BIGINT % {VOCABULARY}), ',') AS ids FROM (SELECT unnest(range(0, {ROWS})) AS r)",
+        f"SELECT r AS row, array_to_string(list_transform(range(0, {LENGTH + 1}), lambda i: ('0x' || substr(md5('{SEED}:' || r || ':' || i), 1, 7))::BIGINT % {VOCABULARY}), ',') AS ids FROM (SELECT c_custkey AS r FROM customer)",
     ),
     "src_token_shards": (src_token_shards, f"WITH {C._PIECES} SELECT shard_idx::BIGINT AS shard_idx, sum(len(piece))::BIGINT AS tokens, sum(list_sum(piece))::BIGINT AS id_sum FROM pieces GROUP BY 1"),
     "src_manifest": (src_manifest, f"WITH {C._PIECES} SELECT shard_idx::BIGINT AS shard_idx, sum(len(piece))::BIGINT AS tokens, 'uint16' AS dtype FROM pieces GROUP BY 1"),

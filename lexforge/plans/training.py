@@ -9,7 +9,7 @@ from lexforge.operators import generators, listing, ranking, training
 from lexforge.plans import evaluation as E
 from lexforge.plans.common import Query, plain, table, token_id_sql, tokens_sql
 
-GROUPS, RECORDS, SEED, NEAR = 6, 8, 42, 5
+RECORDS, SEED, NEAR = 8, 42, 5
 
 
 def hard_values(spark, d):
@@ -21,21 +21,22 @@ def hard_values(spark, d):
     return plain(rows.withColumn("negatives", F.array_join(generators.near_misses(F.col("gold"), F.col("kind"), F.col("family"), F.col("s"), NEAR), ",")))
 
 
-def _groups(spark):
-    return generators.groups(spark, GROUPS, RECORDS, SEED)
+def _groups(spark, d):
+    """Every supplier's groups, one for each template."""
+    return generators.groups(spark, table(spark, d, "supplier").select(F.col("s_suppkey").alias("g")), RECORDS, SEED)
 
 
 def multi_query_examples(spark, d):
-    q = generators.queries_of(_groups(spark))
+    q = generators.queries_of(_groups(spark, d))
     return plain(q.withColumn("prompt", F.md5("prompt")).withColumn("distractor_values", F.array_join("distractor_values", ",")))
 
 
 def record_fit(spark, d):
-    return plain(generators.fitted(_groups(spark), 70, 3))
+    return plain(generators.fitted(_groups(spark, d), 70, 3))
 
 
 def build_counters(spark, d):
-    return plain(generators.counters(generators.queries_of(_groups(spark)), ["task_type", "split", "answer_type"]))
+    return plain(generators.counters(generators.queries_of(_groups(spark, d)), ["task_type", "split", "answer_type"]))
 
 
 def loss_masks(spark, d):
@@ -57,7 +58,7 @@ def sampler_shards(spark, d):
 
 
 def epoch_mix(spark, d):
-    return plain(training.mixed(spark.range(100).withColumnRenamed("id", "step"), 7, 12))
+    return plain(training.mixed(table(spark, d, "events").select(F.col("event_id").alias("step")), 7, 12))
 
 
 def token_losses(spark, d):
@@ -145,7 +146,7 @@ _TEMPLATES = ", ".join("(" + ", ".join("'" + x.replace("'", "''").replace("\n",
 _R = "(group_id || '/' || i)"
 _LINE = "replace(replace(line, '{key}', r.key), '{value}', r.value)"
 _GROUPS = f"""t(task_type, split, header, line, final) AS (VALUES {_TEMPLATES}),
-g0 AS (SELECT '{SEED}-' || task_type || '-' || split || '-' || g AS group_id, * FROM t, (SELECT unnest(range(0, {GROUPS})) AS g)),
+g0 AS (SELECT '{SEED}-' || task_type || '-' || split || '-' || g AS group_id, * FROM t, (SELECT s_suppkey AS g FROM supplier)),
 g1 AS (SELECT *, CASE WHEN {_number('group_id', 't')} % 100 < 60 THEN 'alphanumeric' ELSE 'number' END AS answer_type FROM g0),
 g2 AS (SELECT *, unnest(range(0, {RECORDS})) AS i FROM g1),
 g3 AS (SELECT *, {_letter(_number(_R, 'k'))} || lpad(({_number(_R, 'l')} % 1000)::VARCHAR, 3, '0') || lpad(i::VARCHAR, 2, '0') AS key, {_value(_R, 'answer_type')} AS value FROM g2),
@@ -182,7 +183,7 @@ fill AS (SELECT c_nationkey, list(x ORDER BY i) AS more FROM n GROUP BY 1)
 SELECT c_nationkey::BIGINT AS c_nationkey, gold, array_to_string(list_concat(coalesce(own, []), more)[1:6], ',') AS negatives FROM c LEFT JOIN s USING (c_nationkey) JOIN fill USING (c_nationkey)""",
     ),
     "sampler_shards": (sampler_shards, f"WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY md5('{SEED}:' || doc_id), doc_id) - 1 AS p, count(*) OVER () AS n FROM documents) SELECT doc_id, p % 3 AS rank, p // 3 AS nth FROM o WHERE p < n - n % 3"),
-    "epoch_mix": (epoch_mix, "SELECT step, step % 7 AS replay_batch, step % 12 AS retrieval_batch, step // 12 AS epoch FROM (SELECT unnest(range(0, 100)) AS step)"),
+    "epoch_mix": (epoch_mix, "SELECT step, step % 7 AS replay_batch, step % 12 AS retrieval_batch, step // 12 AS epoch FROM (SELECT event_id AS step FROM events)"),
     "token_losses": (
         token_losses,
         "WITH l AS (SELECT vec_id, list_sum(list_transform(embedding, lambda x: ln(least(1.0::DOUBLE, abs(x::DOUBLE) + 1e-6)))) AS s, len(embedding) AS n FROM embeddings) SELECT vec_id, round(s, 6) AS sum_logprob, round(-s / n, 6) AS mean_nll, round(exp(least(80.0::DOUBLE, -s / n)), 6) AS ppl FROM l",

@@ -271,8 +271,9 @@ def token_shards(spark: SparkSession, paths: list[str], dtype: str = "uint16", b
     return spark.read.format("token_shards").option("dtype", dtype).option("block", block).option("files", files).load()
 
 
-def synthetic(spark: SparkSession, n: int, length: int, vocabulary: int, seed: int) -> DataFrame:
-    """n rows of `length` + 1 ids from hashes of row, place and seed."""
+def synthetic(spark: SparkSession, n: int | DataFrame, length: int, vocabulary: int, seed: int) -> DataFrame:
+    """Rows of `length` + 1 ids from hashes of row, place and seed: n of them, or one for each number `row` that a table gives."""
     at = F.sequence(F.lit(0), F.lit(length))
     one = lambda i: (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("row").cast("string"), i.cast("string"))), 1, 7), 16, 10).cast("long") % vocabulary).cast("int")
-    return spark.range(n).withColumnRenamed("id", "row").withColumn("ids", F.transform(at, one))
+    rows = n if isinstance(n, DataFrame) else spark.range(n).withColumnRenamed("id", "row")
+    return rows.withColumn("ids", F.transform(at, one))

@@ -92,12 +92,24 @@ def test_merges_are_those_of_counting_again_each_time(spark):
     assert got == expected and len(got) > 30
 
 
+def test_shares_and_targets_of_sources(spark):
+    def of(weights):
+        df = spark.createDataFrame(list(weights.items()), "source string, w double")
+        return {r["source"]: r["share"] for r in corpus.shares(df, "source", "w").collect()}
+
+    assert of({"a": 3.0, "b": 1.0, "c": -2.0}) == {"a": 0.75, "b": 0.25, "c": 0.0} and of({"a": -1.0, "b": 0.0}) == {"a": 0.5, "b": 0.5} and of({}) == {}
+    shares = {"a": 0.335, "b": 0.335, "c": 0.33}
+    df = spark.createDataFrame(list(shares.items()), "source string, share double")
+    got = {(r["phase"], r["source"]): r["tokens"] for r in corpus.targets(df, {"p": 100, "q": 37}, 1.5).collect()}
+    expected = {}
+    for phase, n in (("p", 150), ("q", round(37 * 1.5))):
+        own = {k: round(n * w) for k, w in shares.items()}
+        own["a"] += n - sum(own.values())
+        expected |= {(phase, k): v for k, v in own.items()}
+    assert got == expected
+
+
 def test_parameters():
-    assert params.integer("1_000") == 1000 and params.integer(7) == 7 and params.listed(" a, ,b ") == ["a", "b"]
-    assert params.pairs("a=1_0, b = 2") == {"a": 10, "b": 2} and params.pairs("") == {} and params.pairs("x=.5", float) == {"x": 0.5}
-    with pytest.raises(ValueError):
-        params.pairs("a")
-    assert params.shares(["a", "b"], {"a": 3, "b": 1, "c": 9}) == {"a": 0.75, "b": 0.25} and params.shares(["a", "b"], {"a": -1}) == {"a": 0.5, "b": 0.5}
     assert params.layered({"a": None, "m": {"x": 1}}, {"a": 2, "m": {"x": 3, "y": 4}}, {"a": 5, "z": 6}) == {"a": 2, "m": {"x": 1, "y": 4}, "z": 6}
     params.checked([0, 0.5, 1], 0.1, ["a"], ["a", "b"])
     for bad in (dict(positions=[1.1]), dict(ratio=0.0), dict(ratio=1.0), dict(names=["c"], known=["a"])):
