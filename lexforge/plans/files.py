@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from lexforge.functions import text as T
-from lexforge.operators import corpus, folds, listing, shards
+from lexforge.operators import corpus, folds, listing, scoring, shards
 from lexforge.plans import corpus as C
 from lexforge.plans import evaluation as E
 from lexforge.plans.common import Query, plain, table, token_id_sql, tokens_sql
@@ -15,6 +15,7 @@ from lexforge.plans.training import _listing
 from lexforge.sources import readers, sinks
 from lexforge.sources.shardsink import write_shards
 from lexforge.sources.shared import fresh_folder
+from lexforge.streaming import predictions
 
 LENGTH, VOCABULARY, SEED = 16, 60_000, 42
 
@@ -101,6 +102,33 @@ def src_reuse(spark, d):
     return plain(readers.read_or_make(spark, folder, lambda: made().limit(0), schema))
 
 
+def positional_lines(spark, d):
+    """Two files' lines matched by their places in them: documents' ids, and beside them what was said of each, both in order but
+    cut into parts at other places."""
+    folder = fresh_folder(spark, "lines")
+    docs = table(spark, d, "documents").select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("said"))
+    docs.repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id").select(F.to_json(F.struct("doc_id"))).write.text(f"{folder}/asked")
+    docs.repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").select("said").write.text(f"{folder}/said")
+    asked, said = (readers.numbered_lines(spark, f"{folder}/{x}") for x in ("asked", "said"))
+    out = asked.withColumnRenamed("value", "line").join(said.select("n", F.col("value").alias("said")), "n")
+    return plain(out.select("n", F.from_json("line", "doc_id long")["doc_id"].alias("doc_id"), "said"))
+
+
+def stream_landed(spark, d):
+    """Predictions that arrive in two lots, half of the first again in the second, taken in by a stream that is stopped between them
+    and goes on from its checkpoint; rates by cell of what it has written."""
+    folder = fresh_folder(spark, "stream")
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("source_index") % 3_000)  # all within the watermark
+    rows = E._predictions(spark, d).withColumn("at", at)
+    names = [x.split(" ")[0] for x in predictions.SCHEMA.split(", ")]
+    for lot in ("source_index % 2 = 0", "source_index % 4 IN (0, 1, 3)"):
+        rows.filter(lot).select(*names).write.mode("append").json(f"{folder}/in")
+        scored = scoring.score_kv(predictions.once(predictions.read(spark, f"{folder}/in", files=8)))
+        predictions.land(scored.select("example_id", "num_keys", "position_ratio", "first_value_match", "format_error"), f"{folder}/out", f"{folder}/checkpoint")
+    cells = predictions.landed(spark, f"{folder}/out").groupBy("num_keys", "position_ratio")
+    return plain(cells.agg(F.count("*").alias("n"), F.count_distinct("example_id").alias("examples"), F.avg("first_value_match").alias("first_value_match"), F.avg("format_error").alias("format_error_rate")))
+
+
 def src_synthetic(spark, d):
     """A row of ids for each customer."""
     rows = table(spark, d, "customer").select(F.col("c_custkey").alias("row"))
@@ -187,6 +215,11 @@ QUERIES: dict[str, Query] = {
     "src_csv": (src_csv, "SELECT s_suppkey::BIGINT AS num_keys, s_nationkey::BIGINT AS n, round(round(s_acctbal, 2), 6) AS accuracy FROM supplier"),
     "src_rows": (src_rows, "SELECT event_id, event_type, round(value, 6) AS value FROM events UNION ALL SELECT -1, 'more', 0.5::DOUBLE"),
     "src_reuse": (src_reuse, "SELECT r_regionkey::BIGINT AS r_regionkey, r_name FROM region"),
+    "positional_lines": (positional_lines, "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS n, doc_id, md5(coalesce(text, '')) AS said FROM documents"),
+    "stream_landed": (
+        stream_landed,
+        f"WITH {E._SC} SELECT num_keys, position_ratio, count(*) AS n, count(DISTINCT example_id) AS examples, round(avg(first_value_match), 6) AS first_value_match, round(avg(format_error), 6) AS format_error_rate FROM sc GROUP BY 1, 2",
+    ),
     "src_synthetic": (
         src_synthetic,
         f"SELECT r AS row, array_to_string(list_transform(range(0, {LENGTH + 1}), lambda i: ('0x' || substr(md5('{SEED}:' || r || ':' || i), 1, 7))::BIGINT % {VOCABULARY}), ',') AS ids FROM (SELECT c_custkey AS r FROM customer)",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -129,6 +129,40 @@ def corpora(spark: SparkSession, paths: dict[str, list[str]]) -> DataFrame:
     return out
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Text files -> (n, path, value): n is the line's place in all of them, from 0, by path and place in the file.
+
+    Large files are read in byte ranges by several tasks. A task numbers the lines of each of its ranges, whose counts, a row
+    for each range, add up to where the next ones begin. Lines are read twice and not sorted.
+    """
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        now, n = None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            start = b.column(2).to_numpy()
+            file = b.column(1).dictionary_encode().indices.to_numpy()
+            at = [0, *(1 + np.flatnonzero((np.diff(start) != 0) | (np.diff(file) != 0))).tolist(), b.num_rows]
+            places = []
+            for a, z in zip(at, at[1:]):
+                key = (b.column(1)[a].as_py(), int(start[a]))
+                now, n = key, n if key == now else 0
+                places.append(np.arange(n, n + z - a))
+                n += z - a
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(places), pa.int64())], [*b.schema.names, "k"])
+
+    numbered = rows.mapInArrow(run, "value string, path string, start long, k long")
+    ranges = numbered.groupBy("path", "start").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("path", "start").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    first = ranges.select("path", "start", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    return numbered.join(first, ["path", "start"]).select((F.col("__first") + F.col("k")).alias("n"), "path", "value")
+
+
 def jsonl(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """Strict JSON lines, compressed or not; blank lines are passed over."""
     reader = spark.read.option("mode", "FAILFAST")

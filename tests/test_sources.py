@@ -186,3 +186,38 @@ def test_prediction_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("once").count() == 2
+
+
+def test_a_stream_that_restarts_in_the_middle_of_a_batch(spark, tmp_path):
+    """The last batch is written but not noted when the run is lost; it is made again, and every row is there once."""
+    from lexforge.streaming import predictions
+
+    rows = [(f"e{k % 30}", 8, 0.5, 0, "v", "p", "v", 3, f"2024-01-01 00:00:{k % 50:02d}") for k in range(60)]
+    df = spark.createDataFrame(rows, predictions.SCHEMA.replace("at timestamp", "at string")).repartition(6)
+    df.write.json(f"{tmp_path}/in")
+    go = lambda: predictions.land(predictions.once(predictions.read(spark, f"{tmp_path}/in", files=2)).select("example_id"), f"{tmp_path}/out", f"{tmp_path}/check")
+    go()
+    first = sorted(r["example_id"] for r in predictions.landed(spark, f"{tmp_path}/out").collect())
+    assert first == sorted(f"e{k}" for k in range(30))
+    commits = sorted((p for p in (tmp_path / "check" / "commits").iterdir() if p.name.isdigit()), key=lambda p: int(p.name))
+    assert len(commits) >= 3
+    for p in (commits[-1], commits[-1].with_name(f".{commits[-1].name}.crc")):
+        p.unlink(missing_ok=True)
+    df.limit(5).write.mode("append").json(f"{tmp_path}/in")
+    go()
+    assert sorted(r["example_id"] for r in predictions.landed(spark, f"{tmp_path}/out").collect()) == first
+
+
+def test_lines_keep_their_numbers_when_a_file_is_split(spark, tmp_path):
+    lines = [f"{k} " + "x" * (k * 37 % 90) for k in range(3_000)]
+    (tmp_path / "b.txt").write_text("\n".join(lines) + "\n")
+    (tmp_path / "a.txt").write_text("first\n\nthird")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        rows = readers.numbered_lines(spark, str(tmp_path))
+        assert spark.read.text(f"{tmp_path}/b.txt").rdd.getNumPartitions() > 5
+        assert [r["value"] for r in rows.orderBy("n").collect()] == ["first", "", "third", *lines]
+        assert [r["n"] for r in rows.orderBy("n").collect()] == list(range(3_003))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
