@@ -15,9 +15,10 @@ from lexforge.plans.training import _listing
 from lexforge.sources import readers, sinks
 from lexforge.sources.shardsink import write_shards
 from lexforge.sources.shared import fresh_folder
+from lexforge.sources.zstframes import zst_lines
 from lexforge.streaming import predictions
 
-LENGTH, VOCABULARY, SEED = 16, 60_000, 42
+LENGTH, VOCABULARY, SEED, FRAME_BYTES = 16, 60_000, 42, 30_000
 
 
 def _texts(rows):
@@ -102,6 +103,34 @@ def src_reuse(spark, d):
     return plain(readers.read_or_make(spark, folder, lambda: made().limit(0), schema))
 
 
+def src_zst_frames(spark, d):
+    """Documents as lines in files of many frames, cut anywhere, each file read by several tasks."""
+    folder = fresh_folder(spark, "frames")
+    lines = _docs(spark, d).select(F.to_json(F.struct("doc_id", "text")).alias("line"))
+
+    def write(batches):
+        import pyarrow as pa
+        import zstandard
+        from pyspark import TaskContext
+
+        store, base = readers.store_of(folder)
+        store.create_dir(base, recursive=True)
+        at = f"{base}/part-{TaskContext.get().partitionId():05d}.jsonl.zst"
+        pack, n = zstandard.ZstdCompressor(), 0
+        with store.open_output_stream(f"{at}.{TaskContext.get().taskAttemptId()}") as f:
+            for b in batches:
+                raw = "".join(x + "\n" for x in b.column(0).to_pylist()).encode()
+                for k in range(0, len(raw), FRAME_BYTES):
+                    f.write(pack.compress(raw[k : k + FRAME_BYTES]))
+                    n += 1
+        store.move(f"{at}.{TaskContext.get().taskAttemptId()}", at)
+        yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{at.rsplit('/', 1)[-1]}"]), pa.array([n], pa.int64())], ["path", "frames"])
+
+    paths = [r["path"] for r in lines.mapInArrow(write, "path string, frames long").filter("frames > 0").collect()]  # a path for each part
+    read = zst_lines(spark, paths).select(F.from_json("line", "doc_id long, text string").alias("r"))
+    return plain(read.select(F.col("r.doc_id").alias("doc_id"), F.md5("r.text").alias("text_md5")))
+
+
 def positional_lines(spark, d):
     """Two files' lines matched by their places in them: documents' ids, and beside them what was said of each, both in order but
     cut into parts at other places."""
@@ -215,6 +244,7 @@ QUERIES: dict[str, Query] = {
     "src_csv": (src_csv, "SELECT s_suppkey::BIGINT AS num_keys, s_nationkey::BIGINT AS n, round(round(s_acctbal, 2), 6) AS accuracy FROM supplier"),
     "src_rows": (src_rows, "SELECT event_id, event_type, round(value, 6) AS value FROM events UNION ALL SELECT -1, 'more', 0.5::DOUBLE"),
     "src_reuse": (src_reuse, "SELECT r_regionkey::BIGINT AS r_regionkey, r_name FROM region"),
+    "src_zst_frames": (src_zst_frames, "SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE text <> ''"),
     "positional_lines": (positional_lines, "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS n, doc_id, md5(coalesce(text, '')) AS said FROM documents"),
     "stream_landed": (
         stream_landed,

@@ -221,3 +221,39 @@ def test_lines_keep_their_numbers_when_a_file_is_split(spark, tmp_path):
         assert [r["n"] for r in rows.orderBy("n").collect()] == list(range(3_003))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_frames_of_one_file_are_read_by_several_tasks(spark, tmp_path):
+    """Frames with and without sizes and checksums, one to skip, lines and characters cut anywhere, frames within one line."""
+    import io
+    import random
+    import struct
+
+    import zstandard
+
+    from lexforge.sources import zstframes
+
+    rng = random.Random(1)
+    lines = [f"{k} é漢 " + "y" * rng.choice([0, 3, 50, 4_000]) for k in range(400)] + ["z" * 50_000, "end"]
+    raw, out, at, spans = "\n".join(lines).encode(), io.BytesIO(), 0, []
+    while at < len(raw):
+        n = rng.choice([1, 7, 500, 9_000])
+        frame = zstandard.ZstdCompressor(write_checksum=rng.random() < 0.5, write_content_size=rng.random() < 0.5).compress(raw[at : at + n])
+        spans.append((out.tell(), len(frame)))
+        out.write(frame)
+        if rng.random() < 0.1:
+            out.write(struct.pack("<II", 0x184D2A50 + rng.randrange(16), 5) + b"12345")
+        at += n
+    (tmp_path / "a.zst").write_bytes(out.getvalue())
+    (tmp_path / "b.zst").write_bytes(zstandard.compress(b"one\n\ntwo\n") + zstandard.compress(b""))
+    assert len(spans) > 20 and list(zstframes.frames(io.BytesIO(out.getvalue()), len(out.getvalue()))) == spans
+    rows = zstframes.zst_lines(spark, [f"{tmp_path}/a.zst", f"{tmp_path}/b.zst"], step=1_000)
+    got = rows.collect()
+    assert sorted(r["line"] for r in got if r["path"].endswith("a.zst")) == sorted(lines)
+    assert sorted(r["line"] for r in got if r["path"].endswith("b.zst")) == ["one", "two"]
+    by = spark.read.format("binaryFile").load(str(tmp_path)).count()
+    tasks = rows.filter("path LIKE '%a.zst'").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert by == 2 and tasks > 1
+    (tmp_path / "torn.zst").write_bytes(out.getvalue()[:-3])
+    with pytest.raises(Exception, match="cut short|no zstd frame|reserved"):
+        zstframes.zst_lines(spark, [f"{tmp_path}/torn.zst"]).collect()
