@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexforge.operators.prefix import with_running_total
+
 
 def answer_rows(rows: DataFrame, length: int) -> DataFrame:
     """rows (prompt_ids, answer_ids, suffix_ids) -> input_ids, target_ids and loss_mask of `length` places.
@@ -75,9 +77,9 @@ def losses(logprobs: Column) -> dict[str, Column]:
 def locate(windows: DataFrame, asked: DataFrame) -> DataFrame:
     """windows (shard_idx, n), asked (i) -> (i, shard_idx, local): where the i-th window of all shards is.
 
-    A row for each shard; the running totals are a bounded table and the lookup an equality on blocks of indices.
+    Running totals are taken in stretches of shard_idx; the lookup is an equality on blocks of indices.
     """
-    w = windows.withColumn("first", F.coalesce(F.sum("n").over(Window.orderBy("shard_idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).filter("n > 0")
+    w = with_running_total(windows, [], "shard_idx", "n", "first").filter("n > 0")
     block = 1 << 16
     spread = w.withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / block), F.floor((F.col("first") + F.col("n") - 1) / block))))
     return asked.withColumn("block", F.floor(F.col("i") / block)).join(spread, "block").filter("i >= first AND i < first + n").select("i", "shard_idx", (F.col("i") - F.col("first")).alias("local"))

@@ -68,10 +68,10 @@ def token_losses(spark, d):
 
 
 def window_lookup(spark, d):
-    """Orders of each customer as a shard's windows; every tenth index of all of them is looked up."""
+    """Orders of each customer as a shard's windows; every index of all of them is looked up."""
     orders = table(spark, d, "orders")
     w = orders.groupBy(F.col("o_custkey").alias("shard_idx")).agg(F.count("*").alias("n"))
-    return plain(training.locate(w, spark.range(0, orders.count(), 10).withColumnRenamed("id", "i")))
+    return plain(training.locate(w, spark.range(orders.count()).withColumnRenamed("id", "i")))
 
 
 def _listing(spark, d):
@@ -190,7 +190,7 @@ SELECT c_nationkey::BIGINT AS c_nationkey, gold, array_to_string(list_concat(coa
     ),
     "window_lookup": (
         window_lookup,
-        "WITH w AS (SELECT o_custkey AS shard_idx, count(*) AS n FROM orders GROUP BY 1), f AS (SELECT *, coalesce(sum(n) OVER (ORDER BY shard_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM w) SELECT i, shard_idx, i - first AS local FROM f, (SELECT unnest(range(0, (SELECT count(*) FROM orders), 10)) AS i) WHERE i >= first AND i < first + n",
+        "WITH w AS (SELECT o_custkey AS shard_idx, count(*) AS n FROM orders GROUP BY 1), f AS (SELECT *, coalesce(sum(n) OVER (ORDER BY shard_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM w) SELECT i, shard_idx, i - first AS local FROM f, (SELECT unnest(range(0, (SELECT count(*) FROM orders))) AS i) WHERE i >= first AND i < first + n",
     ),
     "download_check": (
         download_check,
