@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexforge.llm.common import cut, fold, mapped, pieces, utf8
+from lexforge.operators.bitmap import bitmap, may_have
 
 #: Slots that n-grams are hashed into.
 SLOTS = 1 << 18
@@ -153,14 +154,19 @@ def bounded(rows: Iterable[tuple[int, int, bytes, float]], most: int) -> list[tu
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model | None:
     """docs (doc_id, text), labels (doc_id, quality) -> a model from the folds other than 0 of 5; None without labels.
 
-    Texts meet labels in a join that broadcasts these behind a count, or else shuffles both and builds on the labels. The
+    Texts meet labels in a join that broadcasts these behind a count; beyond, a bitmap of the labels' ids (64 MB at most) is broadcast,
+    and only texts that it lets through, the labelled ones and few others, are shuffled. The
     counts go to the driver as SLOTS numbers for each label, the sample as slots of `most` documents about.
     """
     known = labels.filter("quality IN (0, 1)").filter(fold("doc_id", 5) != 0).groupBy("doc_id").agg(F.max("quality").cast("int").alias("y"))
     texts = docs.select("doc_id", "text").filter(fold("doc_id", 5) != 0)
     known = cut(known)
-    side = F.broadcast(known) if known.count() <= BROADCAST_LABELS else known.hint("shuffle_hash")
-    n = {r["slot"]: (r["ones"], r["zeros"]) for r in counted(texts.join(side, "doc_id")).collect()}
+    labelled = known.count()
+    if labelled <= BROADCAST_LABELS:
+        met = texts.join(F.broadcast(known), "doc_id")
+    else:
+        met = may_have(texts, F.col("doc_id"), *bitmap(known, F.col("doc_id"), labelled)).join(known.hint("shuffle_hash"), "doc_id")
+    n = {r["slot"]: (r["ones"], r["zeros"]) for r in counted(met).collect()}
     all_ones, all_zeros = n.pop(-1, (0, 0))
     if not all_ones + all_zeros:
         return None

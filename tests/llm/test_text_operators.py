@@ -317,6 +317,14 @@ def marked(spark):
     return docs, spark.createDataFrame([(i, q, 0) for i, _, q in rows] + [(5, None, 0), (900, 7, 0)], "doc_id long, quality int, toxic int")
 
 
+def test_labels_beyond_a_broadcast_give_the_same_scores(marked, monkeypatch):
+    docs, labels = marked
+    scores = lambda: {r["doc_id"]: round(r["score"], 9) for r in nbsvm.quality(docs, labels).collect()}
+    few = scores()
+    monkeypatch.setattr(nbsvm, "BROADCAST_LABELS", -1)
+    assert scores() == few and len(set(few.values())) > 10
+
+
 def test_quality_of_held_out_documents(marked):
     docs, labels = marked
     got = {r["doc_id"]: r for r in nbsvm.quality(docs, labels).collect()}
