@@ -103,6 +103,15 @@ def samples_of(spark, samples: int | DataFrame) -> DataFrame:
     return samples.select(F.col("sample_index").cast("long")) if isinstance(samples, DataFrame) else spark.range(samples).withColumnRenamed("id", "sample_index")
 
 
+#: Parts for each core of narrow rows that much is made of.
+PARTS = 4
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows, narrow ones of which many large ones are made, dealt to all cores: a file of few bytes, or of one row group, is else one task."""
+    return rows.repartition(PARTS * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def mini(spark, sizes: list[int], positions: list[float], samples: int | DataFrame, seed: int) -> DataFrame:
     """Examples of n short records: eight letters and eight digits from hashes of the sample, distinct by their index in them."""
     cells = with_cells(samples_of(spark, samples), sizes, positions)
@@ -145,24 +154,29 @@ def budget_fit(lines: DataFrame, fixed: int, targets: list[int]) -> DataFrame:
 
 
 def needles(spark, lengths: list[int], positions: list[float], samples: int | DataFrame, seed: int) -> DataFrame:
-    """Needle probes: numbered filler lines up to a token budget with one line of evidence at a share of it."""
-    cells = with_cells(samples_of(spark, samples), lengths, positions).withColumnRenamed("num_keys", "context_length_target")
-    code = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("context_length_target").cast("string"), F.format_string("%.2f", "position_ratio"), F.col("sample_index").cast("string"))), 1, 8), 16, 10).cast("long")
-    answer = F.lpad((code % 1_000_000).cast("string"), 6, "0")
-    evidence = F.concat(F.lit("The access code is "), F.col("answer"), F.lit(".\n"))
+    """Needle probes: numbered filler lines up to a token budget with one line of evidence at a share of it.
+
+    A cell's filler is the same for all samples: it is made once for each cell, and the cells, a literal table, are broadcast. Tokens
+    do not span line ends, so the counts of the parts add up.
+    """
     filler = lambda a, n: F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("Reference item "), F.lpad((i + a).cast("string"), 5, "0"), F.lit(" is on file.\n"))), "")
     per = 7  # tokens of a filler line
     fixed = 6 + 9  # of the evidence and of the question
     total = F.greatest(F.lit(2), F.floor((F.col("context_length_target") - fixed) / per)).cast("int")
-    rows = cells.withColumn("answer", answer).withColumn("lines", total).withColumn("ahead", F.greatest(F.lit(1), F.floor(F.col("lines") * F.col("position_ratio")).cast("int"))).withColumn("after", F.greatest(F.lit(1), F.col("lines") - F.col("ahead")))
-    before = filler(F.lit(0), F.col("ahead"))
+    cells = grid(spark, lengths, positions).withColumnRenamed("num_keys", "context_length_target")
+    cells = cells.withColumn("lines", total).withColumn("ahead", F.greatest(F.lit(1), F.floor(F.col("lines") * F.col("position_ratio")).cast("int"))).withColumn("after", F.greatest(F.lit(1), F.col("lines") - F.col("ahead")))
+    tail = F.concat(filler(F.col("ahead"), F.col("after")), F.lit("Question: What is the access code?\nAnswer:"))
+    cells = cells.withColumns({"before": filler(F.lit(0), F.col("ahead")), "tail": tail})
+    cells = cells.withColumns({"evidence_token_start": T.token_count(F.col("before")), "tail_tokens": T.token_count(F.col("tail"))})
+    rows = dealt(samples_of(spark, samples)).join(F.broadcast(cells))
+    code = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("context_length_target").cast("string"), F.format_string("%.2f", "position_ratio"), F.col("sample_index").cast("string"))), 1, 8), 16, 10).cast("long")
+    evidence = F.concat(F.lit("The access code is "), F.col("answer"), F.lit(".\n"))
     return (
-        rows.withColumn("evidence", evidence)
-        .withColumn("before", before)
-        .withColumn("prompt", F.concat("before", "evidence", filler(F.col("ahead"), F.col("after")), F.lit("Question: What is the access code?\nAnswer:")))
-        .withColumn("evidence_token_start", T.token_count(F.col("before")))
+        rows.withColumn("answer", F.lpad((code % 1_000_000).cast("string"), 6, "0"))
+        .withColumn("evidence", evidence)
+        .withColumn("prompt", F.concat("before", "evidence", "tail"))
         .withColumn("evidence_token_end", F.col("evidence_token_start") + T.token_count(F.col("evidence")))
-        .withColumn("actual_prompt_tokens", T.token_count(F.col("prompt")))
+        .withColumn("actual_prompt_tokens", F.col("evidence_token_end") + F.col("tail_tokens"))
         .withColumn("example_id", F.format_string("needle%d_pos%.2f_sample%d", "context_length_target", "position_ratio", "sample_index"))
         .select("example_id", "context_length_target", "position_ratio", "sample_index", "answer", "prompt", "evidence_token_start", "evidence_token_end", "actual_prompt_tokens")
     )
