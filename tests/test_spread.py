@@ -17,3 +17,11 @@ def test_needles_of_one_small_file_are_made_by_all_cores(spark):
     counted = rows.withColumn("n", T.token_count(F.col("prompt"))).withColumn("at", T.token_count(F.element_at(F.split("prompt", "The access"), 1)))
     got = counted.collect()
     assert len(got) == 240 and all(r["n"] == r["actual_prompt_tokens"] and r["at"] == r["evidence_token_start"] for r in got)
+
+
+def test_summaries_of_probes_make_no_prompts(spark):
+    from lexforge.plans import catalog
+
+    plan = catalog.queries()["summary_position"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above = plan.split("Join")[0]  # what is done for every example
+    assert "Join" in plan and "Reference item" not in above and "regexp_extract_all(concat(before" not in above and "tail#" not in above
