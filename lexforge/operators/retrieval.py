@@ -113,8 +113,10 @@ def dealt(rows: DataFrame) -> DataFrame:
 
 
 def mini(spark, sizes: list[int], positions: list[float], samples: int | DataFrame, seed: int) -> DataFrame:
-    """Examples of n short records: eight letters and eight digits from hashes of the sample, distinct by their index in them."""
-    cells = with_cells(samples_of(spark, samples), sizes, positions)
+    """Examples of n short records: eight letters and eight digits from hashes of the sample, distinct by their index in them.
+
+    A sample's records are the same at all positions: they are made once for each size, then placed. The first is asked for.
+    """
     n = F.col("num_keys")
 
     def h(i: Column, what: str) -> Column:
@@ -127,12 +129,17 @@ def mini(spark, sizes: list[int], positions: list[float], samples: int | DataFra
         return F.concat(F.lpad((F.conv(F.substring(h(i, "v"), 1, 6), 16, 10).cast("long") % 90_000 + 10_000).cast("string"), 5, "0"), F.lpad(i.cast("string"), 3, "0"))
 
     records = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(key(i).alias("key"), value(i).alias("value")))
-    rows = cells.withColumn("records", records).withColumn("key", F.col("records")[0]["key"]).withColumn("value", F.col("records")[0]["value"])
-    rows = rows.withColumn("target_index", T.target_index(F.col("position_ratio"), n))
-    placed = moved(F.col("records"), F.col("key"), F.col("target_index"))
+    made = dealt(samples_of(spark, samples)).withColumn("num_keys", F.explode(F.array(*[F.lit(x) for x in sizes]))).withColumn("records", records)
+    made = made.select("sample_index", "num_keys", F.get("records", F.lit(0)).alias("own"), F.transform("records", line).alias("lines"))
+    rows = made.withColumn("position_ratio", F.explode(F.array(*[F.lit(float(p)) for p in positions]))).withColumn("target_index", T.target_index(F.col("position_ratio"), n))
+    rows = rows.select("*", F.col("own.key").alias("key"), F.col("own.value").alias("value"))
+    at = F.col("target_index")
+    placed = F.concat(F.slice("lines", F.lit(2), at), F.slice("lines", 1, 1), F.slice("lines", at + 2, n))
+    question = F.concat(F.lit("\nQuestion: What is the value associated with key "), F.col("key"), F.lit("?\nAnswer:"))
+    record = line(F.struct(F.lit("a").alias("key"), F.lit("1").alias("value")))  # keys are letters and values digits, so every line has as many tokens
     return (
-        rows.withColumn("prompt", prompt(placed, F.col("key")))
-        .withColumn("actual_prompt_tokens", T.token_count(F.col("prompt")))
+        rows.withColumn("prompt", F.concat(F.lit(PREFIX), F.array_join(placed, ""), question))
+        .withColumn("actual_prompt_tokens", T.token_count(F.lit(PREFIX)) + n * T.token_count(record) + T.token_count(question))
         .withColumn("example_id", F.format_string("mini%d_pos%.2f_sample%d", "num_keys", "position_ratio", "sample_index"))
         .withColumnRenamed("num_keys", "num_records")
         .select("example_id", "num_records", "position_ratio", "sample_index", "target_index", "key", "value", "prompt", "actual_prompt_tokens")

@@ -36,15 +36,19 @@ def score_kv(rows: DataFrame) -> DataFrame:
     ).drop("__u", "__r")
 
 
-def score_mini(rows: DataFrame, kind: str) -> DataFrame:
+def score_mini(rows: DataFrame, kind: str, gold_index: str | None = None) -> DataFrame:
     """rows with seven scores of one-token answers: `word` compares the first run of letters lower-cased, `digits` the first
-    run of digits."""
+    run of digits. gold_index: a column for where the value itself is listed first, or -1."""
     said = F.col("generated_text")
     if kind == "digits":
         predicted, listed, gold = F.regexp_extract(said, r"\d+", 0), T.record_values(F.col("prompt"), r"\d+"), F.col("value")
     else:
         predicted, listed, gold = F.lower(F.regexp_extract(said, "[A-Za-z]+", 0)), T.record_values(F.col("prompt"), "[A-Za-z]+"), F.lower("value")
-    out = rows.withColumn("predicted_value", predicted).withColumn("predicted_index", T.index_of(listed, F.col("predicted_value")))
+    # the prompt's values in a step of their own: beside the scores they would be read again for every use of an index
+    each = [c for c in rows.columns if c != "predicted_value"]
+    out = rows.select(*each, predicted.alias("predicted_value"), F.explode(F.array(listed)).alias("__r"))
+    places = {"predicted_index": T.index_of(F.col("__r"), F.col("predicted_value"))} | ({gold_index: T.index_of(F.col("__r"), F.col("value"))} if gold_index else {})
+    out = out.withColumns(places).drop("__r")
     p, i = F.col("predicted_value"), F.col("predicted_index")
     return out.withColumns(
         {
@@ -60,9 +64,8 @@ def score_mini(rows: DataFrame, kind: str) -> DataFrame:
 def score_budget(rows: DataFrame) -> DataFrame:
     """rows of token-budget examples with the scores of digit answers and index_delta, how far from the value's first place
     the answer's is; 0 where either is not in the context."""
-    gold = T.index_of(T.record_values(F.col("prompt"), r"\d+"), F.col("value"))
-    i = F.col("predicted_index")
-    return score_mini(rows, "digits").withColumn("index_delta", F.when((i >= 0) & (gold >= 0), i - gold).otherwise(0))
+    i, gold = F.col("predicted_index"), F.col("__gold")
+    return score_mini(rows, "digits", "__gold").withColumn("index_delta", F.when((i >= 0) & (gold >= 0), i - gold).otherwise(0)).drop("__gold")
 
 
 def score_number(rows: DataFrame) -> DataFrame:

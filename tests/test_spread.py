@@ -1,5 +1,6 @@
 """Steps whose work lay in one task, or was done again for every row, at larger sizes."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexforge.functions import text as T
@@ -25,3 +26,19 @@ def test_summaries_of_probes_make_no_prompts(spark):
     plan = catalog.queries()["summary_position"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     above = plan.split("Join")[0]  # what is done for every example
     assert "Join" in plan and "Reference item" not in above and "regexp_extract_all(concat(before" not in above and "tail#" not in above
+
+
+@pytest.mark.parametrize("name", ["score_token_budget", "minikv_examples", "summary_token_budget", "summary_minikv", "score_minikv"])
+def test_short_record_examples_are_dealt_to_all_cores(spark, name):
+    from lexforge.plans import catalog
+
+    assert "Repartition" in catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_short_records_are_placed_and_counted(spark):
+    rows = retrieval.mini(spark, [1, 4, 12], [0.0, 0.5, 1.0], one_part(spark, 20, "sample_index"), 3)
+    assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    got = rows.withColumn("n", T.token_count(F.col("prompt"))).withColumn("values", T.record_values(F.col("prompt"), r"\d+")).collect()
+    assert len(got) == 180
+    for r in got:
+        assert r["n"] == r["actual_prompt_tokens"] and len(r["values"]) == r["num_records"] and r["values"].index(r["value"]) == r["target_index"]
