@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexforge.functions import text as T
+from lexforge.operators.retrieval import dealt
 
 #: Letters of generated values, without I and O; fixed values.
 LETTERS = "ABCDEFGHJKLMNPQRSTUVWXYZ"
@@ -94,7 +95,7 @@ def filled(template: Column, key: Column, value: Column) -> Column:
 def groups(spark: SparkSession, n: int | DataFrame, records: int, seed: int) -> DataFrame:
     """A group for each template and number below n, or each number `g` that a table gives: (group_id, task_type, split, answer_type, records of distinct keys, the template)."""
     numbers = n if isinstance(n, DataFrame) else spark.range(n).withColumnRenamed("id", "g")
-    rows = numbers.select("g", F.inline(templates()))
+    rows = dealt(numbers.select("g")).select("g", F.inline(templates()))
     gid = F.concat_ws("-", F.lit(str(seed)), "task_type", "split", F.col("g").cast("string"))
     rows = rows.withColumn("group_id", gid).withColumn("answer_type", F.when(number(F.col("group_id"), "t") % 100 < 60, "alphanumeric").otherwise("number"))
 
@@ -107,10 +108,12 @@ def groups(spark: SparkSession, n: int | DataFrame, records: int, seed: int) ->
 
 def queries_of(rows: DataFrame) -> DataFrame:
     """Every record of a group as the gold one of a query; the other values are its distractors."""
-    each = rows.select("*", F.posexplode("records").alias("q", "r"))
-    context = F.concat("header", F.array_join(F.transform("records", lambda r: filled(F.col("line"), r["key"], r["value"])), ""))
-    before = F.concat("header", F.array_join(F.transform(F.slice("records", F.lit(1), F.col("q")), lambda r: filled(F.col("line"), r["key"], r["value"])), ""))
-    own = filled(F.col("line"), F.col("r.key"), F.col("r.value"))
+    lines = F.transform("records", lambda r: filled(F.col("line"), r["key"], r["value"]))
+    each = rows.select("*", F.explode(F.array(lines)).alias("__lines"))  # once for a group, not for each of its queries
+    each = each.select("*", F.posexplode("records").alias("q", "r"))
+    context = F.concat("header", F.array_join("__lines", ""))
+    before = F.concat("header", F.array_join(F.slice("__lines", F.lit(1), F.col("q")), ""))
+    own = F.get("__lines", F.col("q"))
     return (
         each.withColumn("prompt", F.concat(context, filled(F.col("final"), F.col("r.key"), F.col("r.value"))))
         .withColumn("evidence_token_start", T.token_count(before))
@@ -171,9 +174,9 @@ FILLER_TOKENS = 8
 def filler(label: Column, tokens: Column) -> Column:
     """Text of exactly so many tokens, single spaces between and a line end after; '' for none: numbered lines that a hash of the
     label varies, cut to the budget."""
-    line = lambda i: F.concat(F.lit("The archive keeps note "), number(F.concat(label, F.lit("#"), i.cast("string")), "f").cast("string"), F.lit(" on file. "))
-    lines = F.transform(F.sequence(F.lit(0), F.floor(tokens / FILLER_TOKENS).cast("int")), line)
-    return F.when(tokens > 0, F.concat(F.array_join(F.slice(T.tokens(F.array_join(lines, "")), F.lit(1), tokens), " "), F.lit("\n"))).otherwise("")
+    line = lambda i: F.array(*[F.lit(x) for x in ("The", "archive", "keeps", "note")], number(F.concat(label, F.lit("#"), i.cast("string")), "f").cast("string"), *[F.lit(x) for x in ("on", "file", ".")])
+    lines = F.flatten(F.transform(F.sequence(F.lit(0), F.floor(tokens / FILLER_TOKENS).cast("int")), line))
+    return F.when(tokens > 0, F.concat(F.array_join(F.slice(lines, F.lit(1), tokens), " "), F.lit("\n"))).otherwise("")
 
 
 def decoy_line(task: Column, split: Column, line: Column) -> Column:
@@ -206,9 +209,11 @@ def placed_blocks(rows: DataFrame, target: int, ratios: list[float]) -> DataFram
     each = each.withColumn("tail", F.concat(F.lit("\nSummary line:\n"), F.replace("final", F.lit("{key}"), F.col("key"))))
     fixed = sum((T.token_count(F.col(x)) for x in ("ahead", "own", "behind", "tail", "gold")), F.lit(1))  # and a full stop
     each = each.withColumn("budget", F.greatest(F.lit(0), F.lit(target) - fixed).cast("int")).withColumn("before", F.floor(F.col("budget") * F.col("ratio")).cast("int"))
-    each = each.withColumns({"pre": filler(F.concat("group_id", F.lit("-pre")), F.col("before")), "post": filler(F.concat("group_id", F.lit("-post")), F.col("budget") - F.col("before"))})
+    # a step of their own: the prompt, which is counted twice, would be made again for each count
+    fillers = F.struct(filler(F.concat("group_id", F.lit("-pre")), F.col("before")).alias("pre"), filler(F.concat("group_id", F.lit("-post")), F.col("budget") - F.col("before")).alias("post"))
+    each = each.select("*", F.explode(F.array(fillers)).alias("f")).select("*", "f.pre", "f.post")
     start = T.token_count(F.col("pre")) + T.token_count(F.col("ahead"))
-    return each.select(
+    out = each.select(
         F.format_string("%s-%.2f", "group_id", "ratio").alias("example_id"),
         "task_type",
         "split",
@@ -218,16 +223,18 @@ def placed_blocks(rows: DataFrame, target: int, ratios: list[float]) -> DataFram
         F.concat("pre", "ahead", "own", "behind", "post", "tail").alias("prompt"),
         start.alias("evidence_token_start"),
         (start + T.token_count(F.col("own"))).alias("evidence_token_end"),
-    ).withColumns({"prompt_tokens": T.token_count(F.col("prompt")), "full_tokens": T.token_count(F.col("prompt")) + T.token_count(F.col("gold_value")) + 1})
+    )
+    out = out.select("*", F.explode(F.array(T.token_count(F.col("prompt")))).alias("prompt_tokens"))
+    return out.withColumn("full_tokens", F.col("prompt_tokens") + T.token_count(F.col("gold_value")) + 1)
 
 
 def with_shared_filler(queries: DataFrame, groups: DataFrame, tokens: int) -> DataFrame:
     """queries_of() with the same filler before each prompt of a group: made once for each group and joined, not once for each query."""
-    made = groups.select("group_id", filler(F.concat("group_id", F.lit("-pre")), F.lit(tokens)).alias("__f"))
+    made = groups.select("group_id", F.explode(F.array(filler(F.concat("group_id", F.lit("-pre")), F.lit(tokens)))).alias("__f"))
+    made = made.select("group_id", "__f", F.explode(F.array(T.token_count(F.col("__f")))).alias("__n"))  # once for each group
     q = queries.withColumn("group_id", F.regexp_replace("example_id", r"-q\d+$", ""))
     out = q.join(made, "group_id").withColumn("prompt", F.concat("__f", "prompt"))
-    shift = T.token_count(F.col("__f"))
-    return out.withColumns({c: F.col(c) + shift for c in ("prompt_tokens", "evidence_token_start", "evidence_token_end")}).drop("__f", "group_id")
+    return out.withColumns({c: F.col(c) + F.col("__n") for c in ("prompt_tokens", "evidence_token_start", "evidence_token_end")}).drop("__f", "__n", "group_id")
 
 
 def dense_line(template: Column, key: Column, value: Column, i: Column) -> Column:
@@ -235,6 +242,10 @@ def dense_line(template: Column, key: Column, value: Column, i: Column) -> Colum
     return F.when(template == "record_kv", record).otherwise(F.concat(F.lit("key: "), key, F.lit(" | value: "), value, F.lit("\n")))
 
 
+#: Tokens of the shortest record line, `key: A | value: 1`, and decoys that are made beyond those that can fit.
+LEAST_LINE, SPARE = 7, 4
+
+
 def dense_examples(spark: SparkSession, samples: int | DataFrame, lengths: list[int], seed: int, positions=DENSE_POSITIONS, most: int = 400) -> DataFrame:
     """Key-value examples of long contexts: `samples` (a number, or a table of `sample`s) for each length and each of nine positions. Template and answer type are
     weighted choices; of hard_kv, seven keys in ten share the target's first five characters; near misses of a family come
@@ -243,27 +254,34 @@ def dense_examples(spark: SparkSession, samples: int | DataFrame, lengths: list[
     """
     cells = F.array(*[F.struct(F.lit(n).alias("target_length"), F.lit(name).alias("evidence_position"), F.lit(ratio).alias("position_ratio")) for n in lengths for name, ratio in positions])
     numbers = samples if isinstance(samples, DataFrame) else spark.range(samples).withColumnRenamed("id", "sample")
-    rows = numbers.select("sample", F.explode(cells).alias("c")).select("sample", "c.*")
+    rows = dealt(numbers.select("sample")).select("sample", F.explode(cells).alias("c")).select("sample", "c.*")
     rows = rows.withColumn("example_id", F.concat_ws("-", F.lit(str(seed)), F.col("target_length").cast("string"), "evidence_position", F.col("sample").cast("string")))
     e = F.col("example_id")
     rows = rows.withColumns({"template": weighted(e, "template", TEMPLATE_WEIGHTS), "answer_type": weighted(e, "answer", ANSWER_WEIGHTS), "family": F.element_at(F.array(*[F.lit(x) for x in FAMILIES]), (number(e, "family") % len(FAMILIES) + 1).cast("int"))})
     key = lambda s: F.concat(letter(number(s, "k")), letter(number(s, "l")), letter(number(s, "m")), letter(number(s, "n")), F.lit("-"), F.lpad((number(s, "o") % 100_000).cast("string"), 5, "0"))
     rows = rows.withColumns({"key": key(e), "gold": value_of(e, F.col("answer_type"))})
-    rows = rows.withColumn("near", near_misses(F.col("gold"), F.col("answer_type"), F.col("family"), e, 8))
+    # a step of their own: within the decoys the near misses would be made again for each of them
+    rows = rows.select("*", F.explode(F.array(near_misses(F.col("gold"), F.col("answer_type"), F.col("family"), e, 8))).alias("near"))
 
     def decoy(i: Column) -> Column:
         s = F.concat(e, F.lit("/"), i.cast("string"))
         own = F.when((F.col("template") == "hard_kv") & (number(s, "h") % 100 < 70), F.concat(F.substring("key", 1, 5), F.lpad(((number(s, "o") + i) % 100_000).cast("string"), 5, "0"))).otherwise(key(s))
         return F.struct(own.alias("key"), F.coalesce(F.get("near", i), value_of(s, F.col("answer_type"))).alias("value"))
 
-    decoys = F.filter(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), decoy), lambda r: (r["key"] != F.col("key")) & (r["value"] != F.col("gold")))
-    rows = rows.withColumn("decoys", decoys)
+    def upto(n: Column) -> Column:
+        return F.filter(F.transform(F.sequence(F.lit(0), n - 1), decoy), lambda r: (r["key"] != F.col("key")) & (r["value"] != F.col("gold")))
+
+    # a line has LEAST_LINE tokens at least, so more decoys than `room` can't be used; all are made only where too many of these are left out
+    room = F.floor(F.col("target_length") / LEAST_LINE).cast("int")
+    few = rows.withColumn("room", room).select("*", F.explode(F.array(upto(F.greatest(F.lit(1), F.least(F.lit(most), F.col("room") + SPARE))))).alias("few"))
+    rows = few.select("*", F.explode(F.array(F.when((F.size("few") >= F.col("room")) | (F.col("room") + SPARE >= most), F.col("few")).otherwise(upto(F.lit(most))))).alias("decoys"))
     zero = F.lit(0)
     query = F.when(F.col("template") == "record_kv", F.concat(F.lit("lookup_key: "), "key", F.lit(" | lookup_value:"))).otherwise(F.concat(F.lit("key: "), "key", F.lit(" | value:")))
     rows = rows.withColumn("query", query).withColumn("fixed", T.token_count(dense_line(F.col("template"), F.col("key"), F.col("gold"), zero)) + T.token_count(F.col("query")) + T.token_count(F.col("gold")))
     sizes = F.transform("decoys", lambda r: T.token_count(dense_line(F.col("template"), r["key"], r["value"], zero)))
-    fits = F.aggregate(sizes, F.struct(F.col("fixed").alias("t"), F.lit(0).alias("n"), F.lit(True).alias("go")), lambda a, x: F.struct(F.when(a["go"] & (a["t"] + x <= F.col("target_length")), a["t"] + x).otherwise(a["t"]).alias("t"), F.when(a["go"] & (a["t"] + x <= F.col("target_length")), a["n"] + 1).otherwise(a["n"]).alias("n"), (a["go"] & (a["t"] + x <= F.col("target_length"))).alias("go")))
-    rows = rows.withColumn("fit", fits).withColumn("records_in_context", F.col("fit.n") + 1)
+    rows = rows.select("*", F.explode(F.array(sizes)).alias("sizes"))
+    fits = F.aggregate("sizes", F.struct(F.col("fixed").alias("t"), F.lit(0).alias("n"), F.lit(True).alias("go")), lambda a, x: F.struct(F.when(a["go"] & (a["t"] + x <= F.col("target_length")), a["t"] + x).otherwise(a["t"]).alias("t"), F.when(a["go"] & (a["t"] + x <= F.col("target_length")), a["n"] + 1).otherwise(a["n"]).alias("n"), (a["go"] & (a["t"] + x <= F.col("target_length"))).alias("go")))
+    rows = rows.select("*", F.explode(F.array(fits)).alias("fit")).withColumn("records_in_context", F.col("fit.n") + 1)
     at = T.target_index(F.col("position_ratio"), F.col("records_in_context"))
     own = F.array(F.struct(F.col("key"), F.col("gold").alias("value")))
     rows = rows.withColumn("at", at).withColumn("records", F.concat(F.slice("decoys", F.lit(1), F.col("at")), own, F.slice("decoys", F.col("at") + 1, F.col("fit.n") - F.col("at"))))
