@@ -13,9 +13,14 @@ def window_count(n, length: int, stride: int):
     return F.when(n > length, F.floor((n - length - 1) / stride) + 1).otherwise(0).cast("int")
 
 
-def cut(docs: DataFrame, shard_tokens: int, span: int = 1 << 20, domain: DataFrame | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+#: Documents of a stretch whose ids go through a task together.
+WIDE_SPAN = 1 << 12
+
+
+def cut(docs: DataFrame, shard_tokens: int, span: int = WIDE_SPAN, domain: DataFrame | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """docs (seq, ids, ...) -> pieces (shard_idx, shard_start, doc_start, piece, ...): the stream of all documents in order of
-    seq, cut every shard_tokens; documents may go over a cut. With keys (a phase, say), a stream for each value of them."""
+    seq, cut every shard_tokens; documents may go over a cut. With keys (a phase, say), a stream for each value of them. Rows
+    with ids are wide, so a stretch of them is shorter than one of counts."""
     sized = with_running_total(docs.withColumn("n", F.size("ids").cast("long")), list(keys), "seq", "n", "at", span, domain)
     first, last = F.floor(F.col("at") / shard_tokens), F.floor((F.col("at") + F.col("n") - 1) / shard_tokens)
     cuts = sized.filter("n > 0").withColumn("shard_idx", F.explode(F.sequence(first, last)))

@@ -31,7 +31,8 @@ def _ids(spark, d):
 
 
 def _pieces(spark, d):
-    return shards.cut(_ids(spark, d), SHARD, domain=documents(spark, d).select("seq"))
+    """Pieces of shards; ids are made once, not for counts and cuts apart."""
+    return shards.cut(saved(_ids(spark, d)), SHARD, domain=documents(spark, d).select("seq"))
 
 
 def _docs(spark, d):
