@@ -245,10 +245,16 @@ def token_count(path: str, dtype: str) -> int:
     return size // width
 
 
-class _Range(InputPartition):
-    def __init__(self, path: str, start: int, stop: int):
+#: Tokens that a task reads of flat files, whatever the files' and blocks' sizes.
+TASK_TOKENS = 1 << 20
+
+
+class _Ranges(InputPartition):
+    """(path, first token, the one after the last) of pieces that a task reads."""
+
+    def __init__(self, pieces: list[tuple[str, int, int]]):
         super().__init__(None)
-        self.path, self.start, self.stop = path, start, stop
+        self.pieces = pieces
 
 
 class _ShardReader(DataSourceReader):
@@ -259,30 +265,60 @@ class _ShardReader(DataSourceReader):
         self.dtype = options.get("dtype", "uint16")
         self.block = int(options.get("block", 1 << 20))
 
-    def partitions(self) -> list[_Range]:
+    def partitions(self) -> list[_Ranges]:
         from concurrent.futures import ThreadPoolExecutor
 
         with ThreadPoolExecutor(32) as pool:  # sizes that no manifest gives: a request each
             sizes = list(pool.map(lambda x: token_count(x[0], self.dtype) if x[1] is None else x[1], self.files))
-        return [_Range(path, a, min(n, a + self.block)) for (path, _), n in zip(self.files, sizes) for a in range(0, n, self.block)]
-
-    def read(self, part: _Range) -> Iterator[tuple]:
+        most = max(1, TASK_TOKENS // self.block) * self.block  # whole blocks
+        out, pieces, n = [], [], 0
+        for (path, _), size in zip(self.files, sizes):
+            for a in range(0, size, most):
+                b = min(size, a + most)
+                if pieces and n + b - a > most:
+                    out.append(_Ranges(pieces))
+                    pieces, n = [], 0
+                pieces.append((path, a, b))
+                n += b - a
+        return out + ([_Ranges(pieces)] if pieces else [])
+
+    def read(self, part: _Ranges):
         import numpy as np
 
-        store, at = store_of(part.path)
-        with store.open_input_file(at) as f:
-            dtype, _, start = npy_header(f) if part.path.endswith(".npy") else (self.dtype, (), 0)
-            width = np.dtype(dtype).itemsize
-            f.seek(start + part.start * width)
-            ids = np.frombuffer(f.read((part.stop - part.start) * width), dtype)
-        yield part.path, part.start, ids.astype(np.int32).tolist()
+        rows, n = [], 0
+        for path, first, stop in part.pieces:
+            store, at = store_of(path)
+            with store.open_input_file(at) as f:
+                dtype, _, start = npy_header(f) if path.endswith(".npy") else (self.dtype, (), 0)
+                width = np.dtype(dtype).itemsize
+                for a in range(first, stop, self.block):
+                    b = min(stop, a + self.block)
+                    f.seek(start + a * width)
+                    rows.append((path, a, np.frombuffer(f.read((b - a) * width), dtype).astype(np.int32)))
+                    n += b - a
+                    if n >= TASK_TOKENS >> 2:
+                        yield _batch(rows)
+                        rows, n = [], 0
+        if rows:
+            yield _batch(rows)
+
+
+def _batch(rows: list[tuple]):
+    """(path, token_start, ids) of blocks as an Arrow batch."""
+    import numpy as np
+    import pyarrow as pa
+
+    offsets = np.cumsum([0, *[len(r[2]) for r in rows]]).astype(np.int32)
+    ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([r[2] for r in rows])))
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64()), ids], ["path", "token_start", "ids"])
 
 
 class TokenShards(DataSource):
     """Flat or .npy files of token ids: spark.read.format("token_shards").option("dtype", "uint16").load("a.bin"), or the option
     `files`, a JSON list of paths and token counts (null: by the file's size).
 
-    A row for each block of a file; only a block's bytes are read by its task.
+    A row for each block of a file; a task reads about TASK_TOKENS, of many small files or of a stretch of a large one, and holds
+    a part of them at a time.
     """
 
     @classmethod
