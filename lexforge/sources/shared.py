@@ -9,6 +9,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of an Arrow batch between Spark and a Python worker.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches to Python workers bounded by bytes: rows of long texts or lists else make batches of any size. It is a setting of the
+    session, which is set here unless the session has a smaller one."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(name))
+    if not now or int(now[1]) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def root(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a local master without that gets a folder of its own, once for its session, a cluster an error."""
     sc = spark.sparkContext

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexforge.sources.shared import small_batches
+
 
 def write_token_shards(shards: DataFrame, folder: str, dtype: str = "uint16", vocabulary: int | None = None) -> DataFrame:
     """shards (shard_idx, ids) -> one file shard_<index>.bin each in a folder that all executors reach; returns (shard_idx, path, tokens).
@@ -26,8 +28,11 @@ def write_token_shards(shards: DataFrame, folder: str, dtype: str = "uint16", vo
         store.create_dir(base, recursive=True)
         most = min(np.iinfo(dtype).max + 1, vocabulary or 1 << 62)
         for b in batches:
-            for index, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = np.array(ids, np.int64)
+            ids, indices = b.column(1), b.column(0).to_pylist()
+            for k, index in enumerate(indices):
+                x = ids[k].values.to_numpy(zero_copy_only=False)  # of one shard; lists of Python numbers take ten times as much
+                if x.dtype.kind != "i":
+                    raise ValueError(f"shard {index}: an id is null")
                 if len(x) and (x.min() < 0 or x.max() >= most):
                     raise ValueError(f"shard {index}: an id is out of range")
                 path = f"{base}/shard_{index:06d}.bin"
@@ -37,6 +42,7 @@ def write_token_shards(shards: DataFrame, folder: str, dtype: str = "uint16", vo
                 store.move(temp, path)
                 yield pa.RecordBatch.from_arrays([pa.array([index], pa.int64()), pa.array([path]), pa.array([len(x)], pa.int64())], ["shard_idx", "path", "tokens"])
 
+    small_batches(shards.sparkSession)
     return shards.select(F.col("shard_idx").cast("long"), "ids").mapInArrow(run, "shard_idx long, path string, tokens long")
 
 
