@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -38,6 +39,23 @@ def loaded(path: str) -> tuple[Callable, Callable, Callable]:
     return lambda xs: s.encode(list(xs), num_threads=1), lambda xs: [s.decode(list(x)) for x in xs], s.id_to_piece
 
 
+#: Characters that are encoded together: what the encoder keeps of a text is many times as large.
+SLICE_CHARS = 1 << 20
+
+
+def slices(texts: list[str], most: int = SLICE_CHARS) -> Iterator[list[str]]:
+    """The texts in order, in lists of `most` characters about, one text at least."""
+    out, n = [], 0
+    for x in texts:
+        if out and n + len(x) > most:
+            yield out
+            out, n = [], 0
+        out.append(x)
+        n += len(x)
+    if out:
+        yield out
+
+
 def encode(path: str):
     """A function of a text column: array<int>; null texts have no ids."""
 
@@ -45,7 +63,7 @@ def encode(path: str):
     def f(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         to_ids = loaded(path)[0]
         for b in batches:
-            yield pd.Series(to_ids(b.fillna("").tolist()))
+            yield pd.Series([np.array(i, np.int32) for x in slices(b.fillna("").tolist()) for i in to_ids(x)], dtype="object")
 
     return f
 
@@ -69,7 +87,7 @@ def count(path: str):
     def f(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         to_ids = loaded(path)[0]
         for b in batches:
-            yield pd.Series([len(x) for x in to_ids(b.fillna("").tolist())])
+            yield pd.Series([len(i) for x in slices(b.fillna("").tolist()) for i in to_ids(x)], dtype="int64")
 
     return f
 
@@ -81,9 +99,8 @@ def prefix(path: str, most: int):
     def f(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         to_ids, to_text, _ = loaded(path)
         for b in batches:
-            texts = b.fillna("").tolist()
-            ids = to_ids(texts)
-            yield pd.Series([x if len(i) <= most else to_text([list(map(int, i[: max(0, most)]))])[0] for x, i in zip(texts, ids)], dtype="object")
+            each = ((x, i) for part in slices(b.fillna("").tolist()) for x, i in zip(part, to_ids(part)))
+            yield pd.Series([x if len(i) <= most else to_text([list(map(int, i[: max(0, most)]))])[0] for x, i in each], dtype="object")
 
     return f
 

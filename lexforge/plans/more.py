@@ -10,6 +10,7 @@ from lexforge.functions import text as T
 from lexforge.operators import corpus, ranking, scoring, trainlog
 from lexforge.plans import evaluation as E
 from lexforge.plans.common import Query, documents, plain, table
+from lexforge.sources.shared import small_batches
 
 #: A vocabulary file; another one is another parameter.
 VOCABULARY = "byte_bpe_50k.json"
@@ -17,6 +18,7 @@ VOCABULARY = "byte_bpe_50k.json"
 
 def bpe_encode(spark, d):
     """Cleaned documents as ids of a byte-level vocabulary; SQL has no such function, the tests hold it against the library."""
+    small_batches(spark)
     ids = encode.encode(public_tokenizers.path(VOCABULARY))
     rows = corpus.cleaned(documents(spark, d)).select("seq", "source", F.length("text").alias("chars"), ids("text").alias("ids"))
     return plain(rows.select("seq", "source", "chars", F.size("ids").alias("tokens"), F.crc32(F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").cast("binary")).alias("ids_crc32")))
