@@ -233,7 +233,8 @@ def with_shared_filler(queries: DataFrame, groups: DataFrame, tokens: int) -> Da
     made = groups.select("group_id", F.explode(F.array(filler(F.concat("group_id", F.lit("-pre")), F.lit(tokens)))).alias("__f"))
     made = made.select("group_id", "__f", F.explode(F.array(T.token_count(F.col("__f")))).alias("__n"))  # once for each group
     q = queries.withColumn("group_id", F.regexp_replace("example_id", r"-q\d+$", ""))
-    out = q.join(made, "group_id").withColumn("prompt", F.concat("__f", "prompt"))
+    # both sides are estimated by the small table they are made of, and fillers of all groups are no broadcast
+    out = q.join(made.hint("merge"), "group_id").withColumn("prompt", F.concat("__f", "prompt"))
     return out.withColumns({c: F.col(c) + F.col("__n") for c in ("prompt_tokens", "evidence_token_start", "evidence_token_end")}).drop("__f", "__n", "group_id")
 
 

@@ -74,3 +74,9 @@ def test_a_shared_filler_is_counted_once_for_a_group(spark):
     assert "__n" in out._jdf.queryExecution().optimizedPlan().toString()
     got = out.withColumn("n", T.token_count(F.col("prompt"))).collect()
     assert got and all(r["n"] == r["prompt_tokens"] for r in got)
+
+
+def test_fillers_of_all_groups_are_not_broadcast(spark):
+    groups = generators.groups(spark, one_part(spark, 2, "g"), 3, 1)
+    plan = generators.with_shared_filler(generators.queries_of(groups), groups, 30)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
