@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexforge.functions import text as T
 from lexforge.operators.prefix import with_running_total
+from lexforge.sources.shared import saved
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
@@ -27,10 +28,11 @@ def with_duplicate_flag(docs: DataFrame, scope: str = "source") -> DataFrame:
     """docs with `duplicate`: an earlier row (by seq) of the same source, or of any, has the same text.
 
     The first row of each text comes from a partial aggregation and is matched by (text, seq), so copies of one text,
-    however many, are spread over all tasks. docs may have the text's fingerprint `fp` instead of it: then no text is moved.
+    however many, are spread over all tasks. docs may have the text's fingerprint `fp` instead of it: then no text is moved, and
+    docs are saved, so that texts are read, cleaned and counted once, not for either side of the join and each use of the result.
     """
     keys = ["source", "fp"] if scope == "source" else ["fp"]
-    marked = docs if "fp" in docs.columns else docs.withColumn("fp", T.fingerprint(F.col("text")))
+    marked = saved(docs) if "fp" in docs.columns else docs.withColumn("fp", T.fingerprint(F.col("text")))
     first = marked.groupBy(*keys).agg(F.min("seq").alias("seq")).withColumn("first", F.lit(True))
     out = marked.withColumn("key_source", F.col("source")) if scope == "source" else marked
     if scope == "source":
